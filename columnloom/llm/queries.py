@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from columnloom.llm import bpe, chat, exact_dedup, language_id, packing, token_counts, toxicity
+from columnloom.llm import bpe, chat, exact_dedup, html_extract, language_id, packing, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +39,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_chat_formatting, op4_language_id, op6_cost_balanced_packing, op7_bpe_encode_decode, op8_exact_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_chat_formatting, op4_language_id, op6_cost_balanced_packing, op7_bpe_encode_decode, op8_exact_dedup, op9_html_extraction, op10_token_counts)}
 
 ORACLES = {
     "op3_chat_formatting": r"""
