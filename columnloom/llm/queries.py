@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from columnloom.llm import bpe, chat, exact_dedup, html_extract, language_id, ngram_join, packing, token_counts, toxicity
+from columnloom.llm import bpe, chat, exact_dedup, html_extract, language_id, near_embeddings, ngram_join, packing, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings.near_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -51,7 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_chat_formatting, op4_language_id, op6_cost_balanced_packing, op7_bpe_encode_decode, op8_exact_dedup, op9_html_extraction, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_chat_formatting, op4_language_id, op5_embedding_near_dedup, op6_cost_balanced_packing, op7_bpe_encode_decode, op8_exact_dedup, op9_html_extraction, op10_token_counts)}
 
 ORACLES = {
     "op1_ngram_jaccard_join": r"""
@@ -82,6 +86,19 @@ ORACLES = {
                    + len(regexp_extract_all(text, '[<\[]\\*(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)'))) AS BIGINT) AS formatted_chars
         FROM rows GROUP BY conv_id
     """,
+    "op5_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS (
+            SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.e) = len(q.e)
+            WHERE list_cosine_similarity(p.e, q.e) >= 0.93
+        ), r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+        g AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+        SELECT d.vec_id, (SELECT count(*) FROM l WHERE l.a = d.vec_id) AS n_links, g.component_id, d.vec_id = g.component_id AS kept
+        FROM embeddings d JOIN g ON g.a = d.vec_id
+    """,
     "op8_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
