@@ -38,7 +38,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 300, 30_000
 MAX_LANGUAGES = 200
 #: One document in so many of the sample calibrates instead of counting.
 CALIBRATION = 5
-REJECT_MARGIN = 0.75
+#: Nats beyond the worst calibration text; a text of n characters has ``SHORT / sqrt(n)`` more.
+REJECT_MARGIN, SHORT = 1.5, 8.0
 UNDETERMINED = "und"
 
 
@@ -178,7 +179,7 @@ class LanguageModels:
         """Temperature by likelihood; per language the highest cross-entropy of its calibration texts."""
         entropy = [self.cross_entropy(t) for t in texts]
         for i, language in enumerate(self.languages):
-            own = [e[i] - 3 / math.sqrt(len(t)) for e, t, x in zip(entropy, texts, truth, strict=True) if x == language]
+            own = [e[i] - SHORT / math.sqrt(len(t)) for e, t, x in zip(entropy, texts, truth, strict=True) if x == language]
             if own:
                 self.limit[i] = max(own) + REJECT_MARGIN
         best = np.inf
@@ -200,7 +201,7 @@ class LanguageModels:
         entropy = self.cross_entropy(cp)
         best = int(np.argmin(entropy))
         score = float(self._softmax(entropy, self.temperature)[best])
-        return self.languages[best], score, float(entropy[best]), bool(entropy[best] - 3 / math.sqrt(len(cp)) > self.limit[best])
+        return self.languages[best], score, float(entropy[best]), bool(entropy[best] - SHORT / math.sqrt(len(cp)) > self.limit[best])
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModels | None:
