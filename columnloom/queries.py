@@ -1,6 +1,588 @@
-"""Queries of the column-alignment engine over the driver's tables, each with the same in SQL."""
+"""Queries of the column-alignment engine over the driver's tables, each with the same in SQL where SQL can say it.
+
+Mapping: the tables region, nation, customer, supplier and part stand for five data sources with one table each; in the
+blocking queries region is a domain, nation a source and supplier a column; ``embeddings`` are column vectors with the
+label as their source.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from columnloom.operators import candidates, catalog, cluster, evaluate, graph, parse, text, vectors
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+#: The testdata's vectors are nearly orthogonal, so the pair threshold is lower than the operator's default.
+SIMILAR, LINKED = 0.3, 0.2
+#: (source, table, key) in source order.
+TABLES = [("source1", "region", "r_regionkey"), ("source2", "nation", "n_nationkey"), ("source3", "customer", "c_custkey"), ("source4", "supplier", "s_suppkey"), ("source5", "part", "p_partkey")]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _each(spark: SparkSession, d: str, f) -> DataFrame:
+    return reduce(DataFrame.unionByName, [f(_t(spark, d, table), source, table, key) for source, table, key in TABLES])
+
+
+# --- catalog --------------------------------------------------------------------------------------------------------
+
+_COLUMNS = {
+    "region": ["r_regionkey:int64", "r_name:str"],
+    "nation": ["n_nationkey:int64", "n_name:str", "n_regionkey:int64"],
+    "customer": ["c_custkey:int64", "c_name:str", "c_nationkey:int64", "c_acctbal:float64", "c_mktsegment:str"],
+    "supplier": ["s_suppkey:int64", "s_name:str", "s_nationkey:int64", "s_acctbal:float64"],
+    "part": ["p_partkey:int64", "p_name:str", "p_brand:str", "p_type:str", "p_size:int64", "p_retailprice:float64"],
+}
+_FLAT = [(s, t, c.split(":")[0], i, c.split(":")[1], k) for s, t, k in TABLES for i, c in enumerate(_COLUMNS[t])]
+_TYPES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{t}', '{c}', {i}, '{k}')" for s, t, c, i, k, _ in _FLAT) + ") v(source_id, table_name, column_name, ordinal, data_type)"
+
+
+def _samples_sql(limit: str = "") -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{s}' AS source_id, '{t}' AS table_name, '{c}' AS column_name, {i} AS ordinal, "
+        f"coalesce((SELECT list(x ORDER BY k) FROM (SELECT CAST({c} AS VARCHAR) AS x, {key} AS k FROM (SELECT * FROM {t} ORDER BY {key} {limit}) WHERE {c} IS NOT NULL ORDER BY {key} LIMIT 3)), []) AS samples"
+        for s, t, c, i, _, key in _FLAT
+    )
+
+
+def _types(spark, d):
+    return _each(spark, d, lambda df, s, t, k: catalog.profile_types(df, s, t))
+
+
+def _samples(spark, d, head=None):
+    return _each(spark, d, lambda df, s, t, k: catalog.profile_samples(df, s, t, [k], head=head))
+
+
+#: Descriptions for some tables and columns only, so that defaults show.
+_TABLE_VIEWS = [("source1", "region", "Regions of the world."), ("source2", "nation", "Nations and their region."), ("source3", "customer", "Customers with their balance and market segment.")]
+_COLUMN_VIEWS = [("source1", "region", "r_name", "Name of the region"), ("source2", "nation", "n_name", "Name of the nation"), ("source3", "customer", "c_name", "Name of the customer"), ("source5", "part", "p_brand", "Brand of the part"), ("source5", "part", "p_missing", "A key that names no column")]
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows) + f") v({names})"
+
+
+def _views(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    tables = spark.createDataFrame(_TABLE_VIEWS, "source_id string, table_name string, description string")
+    columns = spark.createDataFrame(_COLUMN_VIEWS, "source_id string, table_name string, column_name string, description string")
+    return tables, columns
+
+
+def _catalog(spark: SparkSession, d: str) -> DataFrame:
+    """source_id, table_name, column_name, ordinal (over all), column_id, data_type, samples, description, table_desc."""
+    tables, columns = _views(spark)
+    rows = _types(spark, d).join(_samples(spark, d), ["source_id", "table_name", "column_name", "ordinal"])
+    rows = catalog.with_descriptions(catalog.with_table_descriptions(catalog.with_ids(rows), tables), columns)
+    return rows.withColumn("ordinal", F.substring("source_id", 7, 9).cast("int") * 100 + F.col("ordinal"))
+
+
+_CATALOG_SQL = f"""
+    t AS ({_TYPES_SQL}), s AS ({_samples_sql()}),
+    tv AS (SELECT * FROM {_values(_TABLE_VIEWS, 'source_id, table_name, description')}),
+    cv AS (SELECT * FROM {_values(_COLUMN_VIEWS, 'source_id, table_name, column_name, description')}),
+    c AS (
+        SELECT t.source_id, t.table_name, t.column_name, CAST(substr(t.source_id, 7) AS INT) * 100 + t.ordinal AS ordinal, t.data_type, s.samples,
+               t.source_id || '.' || t.table_name || '.' || t.column_name AS column_id, coalesce(tv.description, 'No description available.') AS table_desc,
+               coalesce(cv.description, 'Refer to table description.') AS description,
+               '["' || array_to_string(s.samples, '","') || '"]' AS shown
+        FROM t JOIN s USING (source_id, table_name, column_name) LEFT JOIN tv USING (source_id, table_name) LEFT JOIN cv USING (source_id, table_name, column_name)
+    )
+"""
+
+
+@query(f"SELECT source_id, table_name, list(column_name ORDER BY ordinal) AS columns FROM ({_TYPES_SQL}) GROUP BY ALL")
+def schema_inventory(spark, d):
+    return _each(spark, d, lambda df, s, t, k: catalog.schema_inventory(df, s, t))
+
+
+@query(_TYPES_SQL)
+def profile_types(spark, d):
+    return _types(spark, d)
+
+
+@query(_TYPES_SQL)
+def profile_head_types(spark, d):
+    return _each(spark, d, lambda df, s, t, k: catalog.profile_types(df.orderBy(k).limit(catalog.HEAD_ROWS), s, t))
+
+
+@query(_samples_sql())
+def profile_samples(spark, d):
+    return _samples(spark, d)
+
+
+@query(_samples_sql("LIMIT 5"))
+def profile_samples_head5(spark, d):
+    return _samples(spark, d, catalog.HEAD_ROWS)
+
+
+@query(f"SELECT source_id, table_name, column_name, source_id || '.' || table_name || '.' || column_name AS column_id FROM ({_TYPES_SQL})")
+def column_ids(spark, d):
+    return catalog.with_ids(_types(spark, d)).select("source_id", "table_name", "column_name", "column_id")
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT DISTINCT source_id, table_name, table_desc FROM c")
+def table_desc_default(spark, d):
+    return catalog.with_table_descriptions(_types(spark, d), _views(spark)[0]).select("source_id", "table_name", "table_desc").distinct()
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT column_id, data_type, samples, description, table_desc FROM c")
+def catalog_enriched(spark, d):
+    return _catalog(spark, d).select("column_id", "data_type", "samples", "description", "table_desc")
+
+
+@query(
+    f"WITH {_CATALOG_SQL} SELECT source_id, table_name, column_name, description FROM cv "
+    "UNION ALL SELECT source_id, table_name, column_name, NULL FROM t WHERE (source_id, table_name) NOT IN (SELECT source_id, table_name FROM cv)"
+)
+def catalog_fallback(spark, d):
+    return catalog.with_fallback(_views(spark)[1], _types(spark, d))
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT * FROM cv WHERE (source_id, table_name, column_name) NOT IN (SELECT source_id, table_name, column_name FROM t)")
+def unmatched_views(spark, d):
+    return catalog.unmatched_views(_types(spark, d), _views(spark)[1])
+
+
+def _described(spark, d):
+    """Documents as columns: a label without quality stands for a short or uncertain description."""
+    docs, labels = _t(spark, d, "documents").select("doc_id", "text"), _t(spark, d, "labels")
+    said = F.when(F.col("quality") == 0, F.lit("Uncertain")).when(F.col("quality") == 1, F.substring("text", 1, 40)).when(F.col("doc_id") % 3 == 0, F.lit(" short "))
+    return docs.join(labels, "doc_id", "left").select("doc_id", said.alias("description"))
+
+
+_DESCRIBED_SQL = """
+    SELECT doc_id, CASE WHEN quality = 0 THEN 'Uncertain' WHEN quality = 1 THEN substr(text, 1, 40) WHEN doc_id % 3 = 0 THEN ' short ' END AS description
+    FROM documents LEFT JOIN labels USING (doc_id)
+"""
+
+
+@query(f"SELECT doc_id, coalesce(length(trim(description, ' ')) < 10, true) AS needs_description FROM ({_DESCRIBED_SQL})")
+def needs_description(spark, d):
+    return catalog.needs_description(_described(spark, d)).select("doc_id", "needs_description")
+
+
+@query(f"SELECT doc_id, coalesce(contains(upper(description), 'UNCERTAIN') AND length(description) < 15, false) AS escalate FROM ({_DESCRIBED_SQL})")
+def uncertain_split(spark, d):
+    return catalog.uncertain_split(_described(spark, d)).select("doc_id", "escalate")
+
+
+# --- texts ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT r_name AS source_id, r_name || ' region Tables: ' || coalesce(array_to_string(list(n_name ORDER BY n_name) FILTER (n_name IS NOT NULL), ', '), '') AS text "
+    "FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name"
+)
+def source_text(spark, d):
+    names = _t(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("tables"))
+    rows = _t(spark, d, "region").join(names, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    return text.source_text(rows.select(F.col("r_name").alias("source_id"), F.concat("r_name", F.lit(" region")).alias("description"), F.coalesce("tables", F.array().cast("array<string>")).alias("tables")))
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT column_id, column_name || ' ' || description AS text FROM c")
+def column_text(spark, d):
+    return text.column_text(_catalog(spark, d))
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT column_id, column_name AS text FROM c")
+def column_text_plain(spark, d):
+    return text.column_text(_catalog(spark, d), augmented=False)
+
+
+@query(f"""WITH {_CATALOG_SQL}
+    SELECT source_id, table_name, min(ordinal) AS doc_ord, 'Table ' || source_id || '.' || table_name || ' is about: ' || arg_min(table_desc, ordinal) || chr(10) || 'It contains the following columns:' || chr(10)
+        || string_agg('- ' || column_name || ' (' || data_type || '): ' || description || ' Samples: ' || shown, chr(10) ORDER BY ordinal) AS text
+    FROM c GROUP BY source_id, table_name""")
+def table_documents(spark, d):
+    return text.table_documents(_catalog(spark, d))
+
+
+@query(f"""WITH {_CATALOG_SQL}
+    SELECT column_id, 'Column ''' || column_name || ''' (Type: ' || data_type || ') belongs to table ''' || table_name || ''' in ' || source_id || '. Semantic Meaning: ' || description
+        || '. Sample Values: ' || shown || '. Table Context: This table is about ' || substr(table_desc, 1, 200) || '...' AS text FROM c""")
+def column_narrative(spark, d):
+    return text.column_narrative(_catalog(spark, d))
+
+
+@query(f"""WITH {_CATALOG_SQL}
+    SELECT column_id, 'FIELD: ''' || column_name || ''' in Table ''' || table_name || ''' (' || source_id || ')' || chr(10) || 'SEMANTIC MEANING: ' || description || chr(10)
+        || 'TECHNICAL SPEC: Type ' || data_type || ', Samples ' || shown || chr(10) || 'LINEAGE: ' || source_id || ' > ' || table_name || ' > ' || column_name AS text FROM c""")
+def field_narrative(spark, d):
+    return text.field_narrative(_catalog(spark, d))
+
+
+@query(f"""WITH {_CATALOG_SQL}
+    SELECT source_id, table_name, 'TABLE: ' || table_name || chr(10) || 'SOURCE: ' || source_id || chr(10) || 'DESCRIPTION: ' || arg_min(table_desc, ordinal) || chr(10) || 'COLUMN_MANIFEST_WITH_SAMPLES:' || chr(10) || '- '
+        || string_agg(column_name || ' (Samples: ' || shown || ')', chr(10) || '- ' ORDER BY ordinal) AS text FROM c GROUP BY source_id, table_name""")
+def table_narrative(spark, d):
+    return text.table_narrative(_catalog(spark, d))
+
+
+@query(f"""WITH {_CATALOG_SQL}, i AS (SELECT source_id, table_name, min(ordinal) AS ordinal, arg_min(table_desc, ordinal) AS description, string_agg(column_name, ', ' ORDER BY ordinal) AS names FROM c GROUP BY ALL)
+    SELECT source_id, 'DATA SOURCE: ' || source_id || chr(10) || 'BUSINESS SCOPE: ' || arg_min(description, ordinal) || chr(10) || 'ASSET MANIFEST:' || chr(10)
+        || string_agg('- Table: ' || table_name || ' (Columns: ' || names || ')', chr(10) ORDER BY ordinal) AS text FROM i GROUP BY source_id""")
+def source_narrative(spark, d):
+    rows = _catalog(spark, d).groupBy("source_id", "table_name").agg(F.min("ordinal").alias("ordinal"), F.min_by("table_desc", "ordinal").alias("description"), F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "column_name"))), lambda s: s["column_name"]).alias("columns"))
+    return text.source_narrative(rows)
+
+
+@query("SELECT floor(rn / 10)::BIGINT AS batch_no, count(*) AS n_docs, string_agg(text, chr(10) || chr(10) || '===' || chr(10) || chr(10) ORDER BY rn) AS text FROM (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents) GROUP BY 1")
+def doc_batches(spark, d):
+    return text.batches(_t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query("SELECT conv_id, turn, length(text) AS n_chars FROM conversations WHERE length(text) > 0")
+def nonempty_docs(spark, d):
+    return text.nonempty_docs(_t(spark, d, "conversations"), "text").select("conv_id", "turn", F.length("text").cast("long").alias("n_chars"))
+
+
+# --- vectors --------------------------------------------------------------------------------------------------------
+
+
+def _columns(spark, d):
+    source = F.concat(F.lit("source"), F.col("label").cast("string"))
+    return _t(spark, d, "embeddings").select(F.lit("domain_0").alias("domain_id"), F.concat(source, F.lit(".t.c"), F.col("vec_id").cast("string")).alias("column_id"), F.col("vec_id").alias("ordinal"), source.alias("source_id"), F.col("embedding").alias("vector"))
+
+
+_COLUMNS_SQL = """
+    v AS (SELECT 'source' || label || '.t.c' || vec_id AS column_id, vec_id AS ordinal, 'source' || label AS source_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    p AS (SELECT a.column_id AS id_a, b.column_id AS id_b, a.source_id AS source_a, b.source_id AS source_b, list_cosine_similarity(a.e, b.e) AS score
+          FROM v a JOIN v b ON a.ordinal < b.ordinal AND a.source_id <> b.source_id)
+"""
+
+
+@query(f"WITH {_COLUMNS_SQL} SELECT id_a, id_b, round(score, 6) AS score FROM p")
+def cosine_pairs(spark, d):
+    return vectors.scored_pairs(_columns(spark, d)).select("id_a", "id_b", F.round("score", 6).alias("score"))
+
+
+_CENTRES_SQL = """
+    u AS (SELECT label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL),
+    m AS (SELECT label, list(x ORDER BY i) AS e FROM (SELECT label, i, avg(e[i]) AS x FROM u, range(1, 65) r(i) GROUP BY label, i) GROUP BY label)
+"""
+
+
+def _centres(spark, d):
+    places = _t(spark, d, "embeddings").where("label IS NOT NULL").select("label", F.posexplode("embedding").alias("place", "x"))
+    means = places.groupBy("label", "place").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    rows = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("vector"))
+    return rows.select(F.lit("all").alias("universe"), F.concat(F.lit("source"), F.col("label").cast("string")).alias("source_id"), F.col("label").alias("ordinal"), "vector")
+
+
+@query(f"WITH {_CENTRES_SQL} SELECT 'source' || a.label AS id_a, 'source' || b.label AS id_b, round(greatest(0.0, least(2.0, 1 - list_cosine_similarity(a.e, b.e))), 6) AS distance FROM m a JOIN m b ON a.label < b.label")
+def distance_pairs(spark, d):
+    rows = _centres(spark, d).withColumn("column_id", F.col("source_id")).withColumn("domain_id", F.col("universe"))
+    return vectors.scored_pairs(rows, cross_source=False).select("id_a", "id_b", F.round(vectors.distance(F.col("score")), 6).alias("distance"))
+
+
+def _similar(spark, d, threshold=SIMILAR):
+    return vectors.similarity_join(_columns(spark, d), threshold)
+
+
+@query(f"""WITH {_COLUMNS_SQL}
+    SELECT id_a AS src_id, id_b AS tgt_id, 'similar_to' AS keywords, round(score, 6) AS weight, id_a || ' and ' || id_b || ' are semantically similar columns.' AS description, source_a AS source_id
+    FROM p WHERE score >= {SIMILAR}""")
+def similarity_edges(spark, d):
+    return graph.similarity_edges(_similar(spark, d))
+
+
+@query(f"""WITH {_COLUMNS_SQL}, sides AS (SELECT id_a AS column_id, id_b AS other_id, round(score, 6) AS score FROM p UNION ALL SELECT id_b, id_a, round(score, 6) FROM p)
+    SELECT * FROM (SELECT column_id, other_id, score, CAST(row_number() OVER (PARTITION BY column_id ORDER BY score DESC, other_id) AS INT) AS rank FROM sides) WHERE rank <= 3""")
+def topk_similar(spark, d):
+    return vectors.topk_similar(_columns(spark, d), 3)
+
+
+@query(f"WITH {_COLUMNS_SQL} SELECT DISTINCT least(id_a, id_b) AS col_a, greatest(id_a, id_b) AS col_b FROM p WHERE score >= {SIMILAR}")
+def canonical_pairs(spark, d):
+    return vectors.canonical_pairs(_similar(spark, d), "id_a", "id_b")
+
+
+# --- clustering -----------------------------------------------------------------------------------------------------
+
+#: The default sweep suits another encoder; these bounds suit the centroids of the testdata.
+_SWEEP = (0.80, 1.15, 0.05)
+
+
+@query("SELECT CAST(i / 20.0 AS DOUBLE) AS threshold FROM range(1, 16) r(i)")
+def threshold_sweep(spark, d):
+    return spark.createDataFrame([(t,) for t in cluster.threshold_sweep()], "threshold double")
+
+
+@query("""WITH s AS (SELECT m, label % m AS c, count(*) AS n FROM embeddings, range(1, 12) r(m) WHERE label IS NOT NULL GROUP BY ALL)
+    SELECT CAST(m AS BIGINT) AS cut, count(*) AS k, CAST(sum(n) AS BIGINT) AS n, min(n) AS least, count(*) >= 2 AND count(*) < sum(n) AND min(n) >= 2 AS admissible FROM s GROUP BY m""")
+def cluster_admissible(spark, d):
+    rows = _t(spark, d, "embeddings").where("label IS NOT NULL").select("label", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(11).cast("long"))).alias("cut"))
+    return cluster.cluster_sizes(rows.select("cut", (F.col("label") % F.col("cut")).alias("cluster")), "cut", "cluster")
+
+
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL),
+    d AS (SELECT a.vec_id, a.label, b.label AS other, sum(1 - list_cosine_similarity(a.e, b.e)) AS s, count(*) AS n FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY ALL),
+    x AS (SELECT vec_id, max(CASE WHEN other = label THEN s / n END) AS a, min(CASE WHEN other <> label THEN s / n END) AS b FROM d GROUP BY vec_id)
+    SELECT count(*) AS n, (SELECT count(DISTINCT label) FROM v) AS k, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM x""")
+def silhouette(spark, d):
+    return cluster.silhouette(_t(spark, d, "embeddings"), "label", "embedding").withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query(f"""WITH {_CENTRES_SQL}, k AS (SELECT label, e, CAST(label % t AS BIGINT) AS c, t FROM m, range(2, 6) r(t)),
+    d AS (SELECT a.t, a.label, a.c, b.c AS other, avg(1 - list_cosine_similarity(a.e, b.e)) AS far FROM k a JOIN k b ON a.t = b.t AND a.label <> b.label GROUP BY ALL),
+    x AS (SELECT t, label, max(CASE WHEN other = c THEN far END) AS a, min(CASE WHEN other <> c THEN far END) AS b FROM d GROUP BY ALL),
+    s AS (SELECT t, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM x GROUP BY t)
+    SELECT CAST(t AS DOUBLE) AS threshold, silhouette FROM s ORDER BY silhouette DESC, t LIMIT 1""")
+def best_cut(spark, d):
+    cuts = [cluster.silhouette(_centres(spark, d).withColumn("cluster", F.col("ordinal") % t), "cluster", "vector").select(F.lit("all").alias("universe"), F.lit(float(t)).alias("threshold"), "silhouette") for t in range(2, 6)]
+    return cluster.best_cut(reduce(DataFrame.unionByName, cuts), digits=6).select("threshold", "silhouette")
+
+
+@query()
+def domains(spark, d):
+    """Average linkage has no SQL form; tests compare it with a direct computation."""
+    return cluster.domains(_centres(spark, d), cluster.threshold_sweep(*_SWEEP))
+
+
+@query()
+def cluster_members(spark, d):
+    return cluster.cluster_members(cluster.domains(_centres(spark, d), cluster.threshold_sweep(*_SWEEP)))
+
+
+# --- graph ----------------------------------------------------------------------------------------------------------
+
+
+def _customers(spark, d):
+    """region <- nation <- customer as source <- table <- column."""
+    rows = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.select(F.col("r_name").alias("source_id"), F.col("n_name").alias("table_name"), F.col("c_name").alias("column_name"), F.col("c_custkey").alias("ordinal"), F.lit("str").alias("data_type"), F.col("c_mktsegment").alias("description"), F.concat(F.lit("Customers of "), "n_name").alias("table_desc"), F.array("c_mktsegment").alias("samples"))
+    return catalog.with_ids(rows)
+
+
+_CUSTOMERS_SQL = """c AS (SELECT r_name AS source_id, n_name AS table_name, c_name AS column_name, r_name || '.' || n_name || '.' || c_name AS column_id, c_mktsegment AS description
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+_EDGES_SQL = """e AS (
+    SELECT DISTINCT source_id || '.' || table_name AS src_id, source_id AS tgt_id, 'Table ' || table_name || ' belongs to data source ' || source_id AS description, source_id FROM c
+    UNION ALL SELECT column_id, source_id || '.' || table_name, 'Column ' || column_name || ' belongs to table ' || table_name, source_id FROM c)"""
+
+
+@query(f"""WITH {_CUSTOMERS_SQL}
+    SELECT DISTINCT source_id AS node_id, 'SOURCE' AS node_type, 'Data source ' || source_id AS description, source_id FROM c
+    UNION ALL SELECT DISTINCT source_id || '.' || table_name, 'TABLE', 'Customers of ' || table_name, source_id FROM c
+    UNION ALL SELECT column_id, 'COLUMN', description || ' Type: str, Samples: ["' || description || '"]', source_id FROM c""")
+def skeleton_nodes(spark, d):
+    return graph.skeleton_nodes(_customers(spark, d))
+
+
+@query(f"WITH {_CUSTOMERS_SQL}, {_EDGES_SQL} SELECT src_id, tgt_id, 'belongs_to' AS keywords, CAST(1 AS DOUBLE) AS weight, description, source_id FROM e")
+def skeleton_edges(spark, d):
+    return graph.skeleton_edges(_customers(spark, d))
+
+
+@query(f"""WITH {_CUSTOMERS_SQL}, {_EDGES_SQL}, b AS (SELECT src_id AS f, tgt_id AS t FROM e UNION SELECT tgt_id, src_id FROM e),
+    s AS (SELECT DISTINCT source_id AS seed_id FROM c),
+    h AS (SELECT seed_id, seed_id AS node_id, 0 AS hop FROM s UNION ALL SELECT seed_id, t, 1 FROM s JOIN b ON f = seed_id
+          UNION ALL SELECT s.seed_id, b2.t, 2 FROM s JOIN b ON b.f = s.seed_id JOIN b b2 ON b2.f = b.t)
+    SELECT seed_id, node_id, min(hop) AS hop FROM h GROUP BY ALL""")
+def neighborhood(spark, d):
+    rows = _customers(spark, d)
+    return graph.neighborhood(graph.skeleton_edges(rows), rows.select(F.col("source_id").alias("node_id")).distinct())
+
+
+# --- blocking -------------------------------------------------------------------------------------------------------
+
+
+def _suppliers(spark, d):
+    """region = domain, nation = source, supplier = column."""
+    rows = _t(spark, d, "supplier").join(_t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(F.col("r_name").alias("domain_id"), F.col("n_name").alias("source_id"), F.col("s_name").alias("column_id"), F.col("s_suppkey").alias("ordinal"))
+
+
+def _sources(spark, d):
+    rows = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(F.col("r_name").alias("domain_id"), F.col("n_name").alias("source_id"), F.col("n_nationkey").alias("ordinal"))
+
+
+_SUPPLIERS_SQL = """
+    c AS (SELECT r_name AS domain_id, n_name AS source_id, s_name AS column_id, s_suppkey AS ordinal FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    n AS (SELECT r_name AS domain_id, n_name AS source_id, n_nationkey AS ordinal FROM nation JOIN region ON n_regionkey = r_regionkey),
+    p AS (SELECT a.domain_id, a.source_id AS source_a, b.source_id AS source_b FROM n a JOIN n b ON a.domain_id = b.domain_id AND a.ordinal < b.ordinal),
+    l AS (SELECT source_id, list(column_id ORDER BY ordinal) AS ids FROM c GROUP BY source_id)
+"""
+
+
+@query(f"WITH {_SUPPLIERS_SQL} SELECT domain_id, source_id, count(*) AS n_columns FROM c GROUP BY ALL")
+def columns_per_source(spark, d):
+    return candidates.columns_per_source(_suppliers(spark, d))
+
+
+@query(f"WITH {_SUPPLIERS_SQL} SELECT domain_id, source_id, column_id FROM c")
+def domain_columns(spark, d):
+    rows = _suppliers(spark, d)
+    return candidates.domain_columns(_sources(spark, d).select("domain_id", "source_id"), rows.select("source_id", "column_id"))
+
+
+@query(f"WITH {_SUPPLIERS_SQL} SELECT domain_id, count(DISTINCT source_id) AS n_sources FROM c GROUP BY domain_id HAVING count(DISTINCT source_id) >= 2")
+def valid_domains(spark, d):
+    return candidates.valid_domains(_suppliers(spark, d))
+
+
+@query(f"WITH {_SUPPLIERS_SQL} SELECT * FROM p")
+def source_pairs(spark, d):
+    return candidates.source_pairs(_sources(spark, d))
+
+
+@query(f"WITH {_SUPPLIERS_SQL} SELECT p.*, x.ids AS columns_a, y.ids AS columns_b FROM p JOIN l x ON x.source_id = source_a JOIN l y ON y.source_id = source_b")
+def pair_payload(spark, d):
+    return candidates.pair_payload(candidates.source_pairs(_sources(spark, d)), _suppliers(spark, d))
+
+
+@query(f"""WITH {_SUPPLIERS_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY domain_id, source_a, source_b) - 1 AS position FROM p WHERE source_a >= 'F')
+    SELECT *, CAST(floor(position / 10) AS BIGINT) AS checkpoint FROM r""")
+def resume_pending(spark, d):
+    pairs = candidates.source_pairs(_sources(spark, d))
+    return candidates.resume_pending(pairs, pairs.where("source_a < 'F'"))
+
+
+# --- answers --------------------------------------------------------------------------------------------------------
+
+#: Answers with noise: bullets, both orientations, unknown ids, one source, two arrows, white space.
+_ANSWERS = [
+    ("domain_0", 1, "Here are the matches:\n- s1.t.a <-> s2.t.a\ns2.t.a <-> s1.t.a\n--s1.t.b<->s2.t.b.c  \n* s1.t.c <-> s2.t.c\ns1.t.a <-> s1.t.b"),
+    ("domain_0", 2, "s1.t.a <-> s3.t.x\ns1.t.a <-> s3.t.x <-> s1.t.b\ns1.t.zz <-> s3.t.x\n s3.t.y <-> s1.t.b\nnone"),
+    ("domain_1", 3, ""),
+    ("domain_1", 4, "   s8.t.q <-> s9.t.q \nS8.t.q <-> s9.t.q\n-s8.t.r- <-> -s9.t.q"),
+]
+_KNOWN = [(1, c) for c in ("s1.t.a", "s1.t.b", "s1.t.c", "s2.t.a", "s2.t.b.c")] + [(2, c) for c in ("s1.t.a", "s1.t.b", "s3.t.x", "s3.t.y")] + [(4, c) for c in ("s8.t.q", "s8.t.r", "s9.t.q")]
+
+
+def _answers(spark):
+    return spark.createDataFrame(_ANSWERS, "domain_id string, response_id int, response string"), spark.createDataFrame(_KNOWN, "response_id int, column_id string")
+
+
+_SPACE = "[\\s ]+"
+_PARSED_SQL = f"""
+    a AS (SELECT * FROM {_values(_ANSWERS, 'domain_id, response_id, response')}), k AS (SELECT * FROM {_values(_KNOWN, 'response_id, column_id')}),
+    l AS (SELECT domain_id, response_id, unnest(string_split(response, chr(10))) AS line, generate_subscripts(string_split(response, chr(10)), 1) AS line_no FROM a),
+    q AS (SELECT domain_id, response_id, line_no, string_split(line, '<->') AS parts FROM l WHERE contains(line, '<->') AND len(string_split(line, '<->')) = 2),
+    s AS (SELECT domain_id, response_id, line_no, regexp_replace(trim(regexp_replace(parts[1], '^{_SPACE}|{_SPACE}$', '', 'g'), '-'), '^{_SPACE}|{_SPACE}$', '', 'g') AS col_a,
+                 regexp_replace(parts[2], '^{_SPACE}|{_SPACE}$', '', 'g') AS col_b FROM q)
+"""
+
+
+@query(f"""WITH {_PARSED_SQL}, v AS (
+        SELECT *, row_number() OVER (PARTITION BY domain_id, response_id, least(col_a, col_b), greatest(col_a, col_b) ORDER BY line_no) AS rn FROM s
+        WHERE (response_id, col_a) IN (SELECT response_id, column_id FROM k) AND (response_id, col_b) IN (SELECT response_id, column_id FROM k) AND split_part(col_a, '.', 1) <> split_part(col_b, '.', 1))
+    SELECT domain_id, response_id, col_a, col_b FROM v WHERE rn = 1""")
+def parse_matches(spark, d):
+    return parse.parse_matches(*_answers(spark))
+
+
+_MENTIONS_SQL = """
+    c AS (SELECT r_name AS domain_id, s_name AS column_id, n_name AS source_id FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    r AS (SELECT domain_id, column_id, source_id, 'Related to ' || lead(column_id, 1, '') OVER w || ' and ' || lead(column_id, 2, '') OVER w || '0' AS response FROM c WINDOW w AS (PARTITION BY domain_id ORDER BY column_id))
+"""
+
+
+@query(f"""WITH {_MENTIONS_SQL} SELECT DISTINCT r.domain_id, least(r.column_id, c.column_id) AS col_a, greatest(r.column_id, c.column_id) AS col_b
+    FROM r JOIN c ON r.domain_id = c.domain_id AND r.source_id <> c.source_id AND contains(r.response, c.column_id)""")
+def mention_pairs(spark, d):
+    rows = _suppliers(spark, d).select("domain_id", "column_id", "source_id")
+    w = Window.partitionBy("domain_id").orderBy("column_id")
+    said = F.concat(F.lit("Related to "), F.lead("column_id", 1, "").over(w), F.lit(" and "), F.lead("column_id", 2, "").over(w), F.lit("0"))
+    return parse.mention_pairs(rows.withColumn("response", said), rows)
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------
+
+
+def _gt_sources():
+    return F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+
+
+@query("""SELECT DISTINCT 'orders' AS label, least(a, b) AS col_a, greatest(a, b) AS col_b FROM (
+        SELECT 'o.' || o_orderstatus || '.' || o_orderkey AS a, 'l.' || l_returnflag || '.' || l_partkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1)""")
+def gt_pairs_flat(spark, d):
+    rows = _t(spark, d, "orders").join(_t(spark, d, "lineitem").where("l_linenumber = 1"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return evaluate.gt_pairs_flat(rows.select(F.lit("orders").alias("label"), F.lit("o").alias("source_id"), F.col("o_orderstatus").alias("source_table"), F.col("o_orderkey").cast("string").alias("source_column"), F.lit("l").alias("target_id"), F.col("l_returnflag").alias("target_table"), F.col("l_partkey").cast("string").alias("target_column")))
+
+
+@query("""WITH r AS (SELECT DISTINCT l_orderkey AS anchor_id, 's' || l_suppkey AS source_id, 's' || l_suppkey || '.' || l_returnflag || '.' || l_partkey AS column_id FROM lineitem)
+    SELECT DISTINCT 'lineitem' AS label, a.column_id AS col_a, b.column_id AS col_b FROM r a JOIN r b ON a.anchor_id = b.anchor_id AND a.column_id < b.column_id AND a.source_id <> b.source_id""")
+def gt_pairs_group(spark, d):
+    source = _gt_sources()
+    rows = _t(spark, d, "lineitem").select(F.lit("lineitem").alias("label"), F.col("l_orderkey").alias("anchor_id"), F.concat_ws(".", source, "l_returnflag", F.col("l_partkey").cast("string")).alias("column_id"), source.alias("source_id"))
+    return evaluate.gt_pairs_group(rows)
+
+
+def _split(spark, d):
+    """Truth and predictions that overlap in part; the answer files split the truth."""
+    pairs = _similar(spark, d, LINKED)
+    number = lambda c: F.substring_index(c, ".c", -1).cast("long")
+    predicted = vectors.canonical_pairs(pairs.where((F.col("score") >= SIMILAR) | ((number("id_a") + number("id_b")) % 7 == 0)), "id_a", "id_b")
+    truth = vectors.canonical_pairs(pairs.where((F.col("score") >= SIMILAR) & (number("id_a") % 2 == 0) | ((number("id_a") + number("id_b")) % 11 == 0)), "id_a", "id_b")
+    return truth.withColumn("label", F.when(F.col("col_b") < "source5", F.lit("answer1")).otherwise(F.lit("answer2"))), predicted
+
+
+_SPLIT_SQL = f"""{_COLUMNS_SQL},
+    w AS (SELECT *, CAST(split_part(id_a, '.c', 2) AS BIGINT) AS na, CAST(split_part(id_b, '.c', 2) AS BIGINT) AS nb FROM p WHERE score >= {LINKED}),
+    pr AS (SELECT DISTINCT least(id_a, id_b) AS col_a, greatest(id_a, id_b) AS col_b FROM w WHERE score >= {SIMILAR} OR (na + nb) % 7 = 0),
+    t0 AS (SELECT DISTINCT least(id_a, id_b) AS col_a, greatest(id_a, id_b) AS col_b FROM w WHERE (score >= {SIMILAR} AND na % 2 = 0) OR (na + nb) % 11 = 0),
+    tr AS (SELECT *, CASE WHEN col_b < 'source5' THEN 'answer1' ELSE 'answer2' END AS label FROM t0)
+"""
+
+
+def _metrics_sql(truth: str) -> str:
+    return f"""WITH {_SPLIT_SQL}, tt AS ({truth}),
+        src AS (SELECT DISTINCT label, split_part(col_a, '.', 1) AS s FROM tt UNION SELECT DISTINCT label, split_part(col_b, '.', 1) FROM tt),
+        rel AS (SELECT a.label, pr.col_a, pr.col_b FROM pr JOIN src a ON a.s = split_part(col_a, '.', 1) JOIN src b ON b.s = split_part(col_b, '.', 1) AND a.label = b.label),
+        j AS (SELECT coalesce(tt.label, rel.label) AS label, tt.col_a IS NOT NULL AS t, rel.col_a IS NOT NULL AS p FROM tt FULL JOIN rel ON tt.label = rel.label AND tt.col_a = rel.col_a AND tt.col_b = rel.col_b),
+        n AS (SELECT label, count(*) FILTER (t) AS n_truth, count(*) FILTER (p) AS n_predicted, count(*) FILTER (t AND p) AS tp, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (t AND NOT p) AS fn FROM j GROUP BY label),
+        m AS (SELECT *, CASE WHEN n_predicted > 0 THEN tp / n_predicted ELSE 0.0 END AS precision, CASE WHEN n_truth > 0 THEN tp / n_truth ELSE 0.0 END AS recall FROM n)
+        SELECT label, n_truth, n_predicted, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall,
+               round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 6) AS f1 FROM m"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query(_metrics_sql("SELECT label, col_a, col_b FROM tr"))
+def eval_metrics(spark, d):
+    return _rounded(evaluate.eval_metrics(*_split(spark, d)))
+
+
+@query(_metrics_sql("SELECT label, col_a, col_b FROM tr UNION ALL SELECT 'ALL', col_a, col_b FROM tr"))
+def eval_all(spark, d):
+    return _rounded(evaluate.eval_all(*_split(spark, d)))
+
+
+@query(f"WITH {_SPLIT_SQL} SELECT col_a, col_b FROM t0 INTERSECT SELECT col_a, col_b FROM pr")
+def pairs_tp(spark, d):
+    return evaluate.hits(*_split(spark, d))
+
+
+@query(f"WITH {_SPLIT_SQL} SELECT col_a, col_b FROM pr EXCEPT SELECT col_a, col_b FROM t0")
+def pairs_fp(spark, d):
+    return evaluate.false_positives(*_split(spark, d))
+
+
+@query(f"WITH {_SPLIT_SQL} SELECT col_a, col_b FROM t0 EXCEPT SELECT col_a, col_b FROM pr")
+def pairs_fn(spark, d):
+    return evaluate.false_negatives(*_split(spark, d))
+
+
+@query(f"WITH {_SPLIT_SQL} SELECT * FROM (SELECT col_a, col_b FROM t0 EXCEPT SELECT col_a, col_b FROM pr) ORDER BY col_a, col_b LIMIT 5")
+def fn_examples(spark, d):
+    return evaluate.examples(evaluate.false_negatives(*_split(spark, d)))
