@@ -57,7 +57,8 @@ def json_object(text: Column, schema: str) -> Column:
     Two objects in one text span both and give null: the whole text is tried only where there is no brace.
     """
     braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.from_json(F.when(braces != "", braces).otherwise(text), schema)
+    chosen = F.when(braces != "", braces).otherwise(text)
+    return F.when(F.json_array_length(F.concat(F.lit("["), chosen, F.lit("]"))) == 1, F.from_json(chosen, schema))
 
 
 def first_non_empty(*texts: Column) -> Column:

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from columnloom.functions.text import LINK, pair, source_of, strip, strip_dashes
 
 
-def proposed_pairs(responses: DataFrame) -> DataFrame:
-    """domain_id, response_id, line_no, col_a, col_b from lines ``a <-> b``. No join: also runs on a stream.
+def proposed_pairs(responses: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """domain_id, response_id, line_no, col_a, col_b (and ``carry``) from lines ``a <-> b``. No join: also runs on a stream.
 
     Dashes before the left id are list bullets and go; the right id is only trimmed; other marks stay and fail later.
     """
-    lines = responses.select("domain_id", "response_id", F.posexplode(F.split(strip(F.col("response")), "\n")).alias("line_no", "line"))
+    lines = responses.select("domain_id", "response_id", *carry, F.posexplode(F.split(strip(F.col("response")), "\n")).alias("line_no", "line"))
     parts = F.split(strip(F.col("line")), LINK)
     lines = lines.where(F.col("line").contains(LINK)).withColumn("parts", parts).where(F.size("parts") == 2)
-    found = lines.select("domain_id", "response_id", "line_no", strip(strip_dashes(strip(F.col("parts")[0]))).alias("col_a"), strip(F.col("parts")[1]).alias("col_b"))
+    found = lines.select("domain_id", "response_id", *carry, "line_no", strip(strip_dashes(strip(F.col("parts")[0]))).alias("col_a"), strip(F.col("parts")[1]).alias("col_b"))
     return found.where(source_of(F.col("col_a")) != source_of(F.col("col_b")))
 
 
