@@ -56,6 +56,14 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 8_000_
             yield batch.slice(start)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_rows(df: DataFrame, drop: DataFrame, key: str) -> DataFrame:
     """``df`` without the rows whose ``key`` is in ``drop``; ``drop`` must be a staged table of distinct keys.
 

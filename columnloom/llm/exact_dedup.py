@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from columnloom.llm.common import drop_rows, staged
+from columnloom.llm.common import drop_rows, fresh, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 8
@@ -211,5 +211,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs``, a stored table, without the rows that :func:`exact_dedup` drops; all columns stay."""
-    gone = staged(exact_dedup(docs).where(~F.col("kept")).select(F.col("row_key").alias("__row_key")), "dedup-drop")
-    return drop_rows(docs.withColumn("__row_key", F.monotonically_increasing_id()), gone, "__row_key").drop("__row_key")
+    key = fresh(docs, "row_key")
+    gone = staged(exact_dedup(docs).where(~F.col("kept")).select(F.col("row_key").alias(key)), "dedup-drop")
+    return drop_rows(docs.withColumn(key, F.monotonically_increasing_id()), gone, key).drop(key)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from columnloom.llm.common import drop_rows, pieces, small_side, staged, to_batch
+from columnloom.llm.common import drop_rows, fresh, pieces, small_side, staged, to_batch
 from columnloom.llm.components import connected_components, grouped, in_blocks, meeting, runs, spanning
 
 WORDS, THRESHOLD = 5, 0.8
@@ -271,5 +271,6 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs``, a stored table, with one row of each group of near copies; all columns stay."""
-    gone = staged(ngram_join(docs, threshold).where(~F.col("kept")).select(F.col("row_key").alias("__row_key")), "ngram-drop")
-    return drop_rows(docs.withColumn("__row_key", F.monotonically_increasing_id()), gone, "__row_key").drop("__row_key")
+    key = fresh(docs, "row_key")
+    gone = staged(ngram_join(docs, threshold).where(~F.col("kept")).select(F.col("row_key").alias(key)), "ngram-drop")
+    return drop_rows(docs.withColumn(key, F.monotonically_increasing_id()), gone, key).drop(key)
