@@ -6,11 +6,11 @@ words, which are also looked up with the signs undone). Trees are boosted on the
 The lexicon and the trees are cross-fitted, so calibration sees out-of-fold scores only.
 
 The classifier learns from a bounded sample: about ``SAMPLE_DOCS`` labelled documents of at most ``SAMPLE_CHARS``
-characters that are not held out, drawn by a hash of the id. Exact copies in the sample count once for the lexicon.
+characters that are not held out, drawn by a hash of the id. Exact copies in the sample count once.
 Scoring is one narrow map over whole texts; the broadcast model has at most ``LEXICON_SIZE`` entries.
 
-Edge cases: null and empty texts have all features 0 and get that score; without labels, or with one class only, every
-score is the sample's rate (0 without any); repeated rows repeat; a document labelled twice counts as toxic if any
+Edge cases: null and empty texts have all features 0 and get that score; without labels, with one class only
+or with fewer than eight labelled rows nothing can be learned and every score is 0; repeated rows repeat; a document labelled twice counts as toxic if any
 label says so; other columns are ignored by ``toxicity`` and kept by ``keep_clean``.
 """
 
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from columnloom.llm.common import held_out, pieces, to_batch
 
 SAMPLE_DOCS, SAMPLE_CHARS = 4000, 30_000
-LEXICON_SIZE, MIN_DOCS, MIN_RATIO = 3000, 3, 12.0
+#: An entry stands in so many toxic documents, in such a share of them, and so many times as often as in clean ones.
+LEXICON_SIZE, MIN_DOCS, MIN_SHARE, MIN_RATIO = 3000, 3, 0.015, 12.0
 PREFIXES = range(4, 8)
-FOLDS, TREES, DEPTH, RATE, BINS, LEAF = 4, 60, 3, 0.15, 32, 4
+FOLDS, TREES, DEPTH, RATE, BINS, LEAF, RIDGE = 4, 60, 3, 0.15, 32, 5, 2.0
 THRESHOLD = 0.3
 NEAR = 5
 CACHE_WORDS = 400_000
@@ -103,8 +104,8 @@ def features(text: str | None, hits: _Hits) -> list[float]:
     kinds = np.bincount(_CLASSES[raw], minlength=5) / len(raw)
     strengths = [h[0] for _, h in bad]
     return [
-        100 * sum(h[1] for _, h in bad) / n, 100 * sum(h[2] for _, h in bad) / n, 100 * sum(strengths) / n, float(np.log1p(len(bad))), max(strengths, default=0.0),
-        float(len({h[5] for _, h in bad})), 100 * near / n, 100 * len(second) / n, kinds[1], kinds[2], kinds[3], kinds[4],
+        float(np.log1p(len(bad))), float(len({h[5] for _, h in bad})), 100 * sum(h[1] for _, h in bad) / n, 100 * sum(h[2] for _, h in bad) / n, 100 * sum(strengths) / n,
+        max(strengths, default=0.0), 100 * near / n, 100 * len(second) / n, kinds[1], kinds[2], kinds[3], kinds[4],
         100 * sum(h[4] > 0 for _, h in found) / n, float(sum(h[4] > 1 for _, h in found)), float(np.log1p(len(words))),
     ]
 
@@ -119,7 +120,7 @@ def learn_lexicon(documents: list[set[str]], labels: np.ndarray, seen: np.ndarra
     for i in rows[labels[rows] == 1]:
         for k in {k for w in documents[i] for k in keys(w)}:
             counts[k] = counts.get(k, 0) + 1
-    counts = {k: c for k, c in counts.items() if c >= MIN_DOCS}
+    counts = {k: c for k, c in counts.items() if c >= max(MIN_DOCS, MIN_SHARE * toxic)}
     against = dict.fromkeys(counts, 0)
     for i in rows[labels[rows] == 0]:
         for k in {k for w in documents[i] for k in keys(w) if k in against}:
@@ -133,7 +134,8 @@ class BoostedTrees:
     """Logistic boosting of small binary trees over quantile bins."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.edges = [np.unique(np.quantile(c[c != 0] if (c != 0).any() else c, np.linspace(0, 1, BINS)[:-1])) for c in x.T]
+        # The first edge parts zero from anything above it, however little.
+        self.edges = [np.unique([1e-12, *np.quantile(c[c > 0] if (c > 0).any() else c, np.linspace(0, 1, BINS)[1:-1])]) for c in x.T]
         bins = self._bins(x)
         rate = min(max(y.mean(), 1e-4), 1 - 1e-4)
         self.base, self.trees = float(np.log(rate / (1 - rate))), []
@@ -154,13 +156,13 @@ class BoostedTrees:
             for f in range(bins.shape[1]):
                 b = bins[rows, f]
                 cut = np.cumsum(np.stack([np.bincount(b, w, BINS + 1) for w in (g[rows], h[rows], np.ones(len(rows)))]), 1)[:, :-1]
-                gain = cut[0] ** 2 / (cut[1] + 1) + (gs - cut[0]) ** 2 / (hs - cut[1] + 1) - gs**2 / (hs + 1)
+                gain = cut[0] ** 2 / (cut[1] + RIDGE) + (gs - cut[0]) ** 2 / (hs - cut[1] + RIDGE) - gs**2 / (hs + RIDGE)
                 gain[(cut[2] < LEAF) | (len(rows) - cut[2] < LEAF)] = -1
                 k = int(np.argmax(gain))
                 if gain[k] > best[0]:
                     best = (gain[k], f, k)
         if best[1] < 0:
-            return float(gs / (hs + 1))
+            return float(gs / (hs + RIDGE))
         _, f, k = best
         low = bins[rows, f] <= k
         return f, k, self._grow(bins, g, h, rows[low], depth - 1), self._grow(bins, g, h, rows[~low], depth - 1)
@@ -192,19 +194,18 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class ToxicityModel:
     def __init__(self, texts: list[str], labels: list[int]) -> None:
-        y = np.array(labels, np.int64)
-        self.rate, self.trees = float(y.mean()) if len(y) else 0.0, None
+        pairs = sorted(set(zip(texts, labels, strict=True)))  # copies count once
+        texts = [t for t, _ in pairs]
+        y = np.array([k for _, k in pairs], np.int64)
+        self.trees = None
         self.lexicon: dict[str, float] = {}
         if len(y) < 2 * FOLDS or y.min() == y.max():
             return
         words = [{w for w in map(bare, set(t.lower().split())) if 2 < len(w) < 40} for t in texts]
         fold = np.array([_fold(t) for t in texts])
-        first = {t: i for i, t in reversed(list(enumerate(texts)))}
-        once = np.zeros(len(texts), bool)
-        once[list(first.values())] = True
         x = np.zeros((len(y), N_FEATURES))
         for k in range(FOLDS):
-            hits = _Hits(learn_lexicon(words, y, once & (fold != k)))
+            hits = _Hits(learn_lexicon(words, y, fold != k))
             for i in np.flatnonzero(fold == k):
                 x[i] = features(texts[i], hits)
         out = np.zeros(len(y))
@@ -213,11 +214,11 @@ class ToxicityModel:
                 out[fold == k] = BoostedTrees(x[fold != k], y[fold != k]).raw(x[fold == k])
         self.places, self.values = isotonic(out, y)
         self.trees = BoostedTrees(x, y)
-        self.lexicon = learn_lexicon(words, y, once)
+        self.lexicon = learn_lexicon(words, y, np.ones(len(y), bool))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
-            return np.full(len(x), self.rate)
+            return np.zeros(len(x))
         return np.clip(np.interp(self.trees.raw(x), self.places, self.values), 0, 1)
 
 

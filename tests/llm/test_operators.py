@@ -1,0 +1,323 @@
+"""Operators against brute force, round trips and held-out accuracy."""
+
+import json
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from columnloom.llm import bpe, chat, components, exact_dedup, html_extract, language_id, near_embeddings, ngram_join, packing, token_counts, toxicity
+
+DATA = "/root/testdata/sf0.01"
+
+
+def union_find(edges):
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in list(parent)}
+
+
+def test_components(spark):
+    draw = random.Random(4)
+    edges = [(i, i + 1) for i in range(1000, 1060)] + [(5, x) for x in range(20, 60)] + [(draw.randrange(100, 300), draw.randrange(100, 300)) for _ in range(120)]
+    edges = [e for e in edges if e[0] != e[1]]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+    assert got == union_find(edges)
+
+
+def test_blocks_pair_everything_once(spark):
+    df = spark.range(50).selectExpr("1L AS key", "id AS item", "50L AS size").unionByName(spark.range(3).selectExpr("2L AS key", "id AS item", "3L AS size"))
+    rows = components.in_blocks(df, "key", "item", "size", 8).collect()
+    met = {}
+    for r in rows:
+        met.setdefault((r.key, r.i, r.j), []).append((r.item, r.side))
+    count = {}
+    for (key, i, j), members in met.items():
+        for x, sx in members:
+            for y, sy in members:
+                if x < y and (i == j or sx != sy):
+                    count[key, x, y] = count.get((key, x, y), 0) + 1
+    assert set(count.values()) == {1} and len(count) == 50 * 49 // 2 + 3
+
+
+# --- exact dedup ----------------------------------------------------------------------------------------------------
+
+
+def test_cuckoo_filter_resizes_and_deletes():
+    shard = exact_dedup.Shard(4)
+    keys = [zlib.crc32(str(i).encode()).to_bytes(8, "little") * 4 for i in range(3000)]
+    for i, k in enumerate(keys):
+        shard.add(k, i, i, 1)
+    assert shard.resized > 0 and all(shard.find(k) for k in keys)
+    assert all(shard.remove(k) for k in keys[:2000]) and not shard.remove(keys[0])
+    assert all(shard.find(k) is None for k in keys[:2000]) and all(shard.find(k) for k in keys[2000:])
+
+
+def test_index_lives_on(spark):
+    rows = exact_dedup.digests(spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string"))
+    index = exact_dedup.DedupIndex.build(rows, 3)
+    index = index.insert(exact_dedup.digests(spark.createDataFrame([(9, "a"), (10, "c")], "doc_id long, text string")))
+    assert sorted((r.keep_id, r.n) for r in index.content.collect()) == [(3, 1), (9, 3), (10, 1)]
+    index = index.delete(exact_dedup.digests(spark.createDataFrame([(0, "B"), (0, "gone")], "doc_id long, text string")))
+    assert sorted(r.keep_id for r in index.content.collect()) == [9, 10]
+
+
+# --- n-gram join ----------------------------------------------------------------------------------------------------
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} - {""}
+
+
+def variants():
+    draw = random.Random(8)
+    texts = []
+    for _ in range(12):
+        words = [f"w{draw.randrange(4000)}" for _ in range(draw.choice([3, 40, 120, 400]))]
+        texts.append(" ".join(words))
+        for _ in range(9):
+            w = list(words)
+            for _ in range(draw.randrange(8)):
+                w[draw.randrange(len(w))] = f"v{draw.randrange(4000)}"
+            texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("small_blocks", [False, True])
+def test_ngram_join(spark, monkeypatch, small_blocks):
+    if small_blocks:
+        monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 3)
+        monkeypatch.setattr(ngram_join, "VERIFY_ROWS", 3)
+    texts = variants()
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(len(texts)) if a != b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    groups = union_find(links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_join.ngram_join(docs).collect()}
+    for i in range(len(texts)):
+        assert got[i].n_links == sum(a == i for a, _ in links) and got[i].class_id == groups.get(i, i) and got[i].kept == (got[i].class_id == i)
+
+
+def test_posterior_bound():
+    """The bound for m matches in n agrees with numerical integration of the posterior."""
+    x = np.linspace(0, 1, 20_001)
+    for n, need in ngram_join.least_matches(0.8):
+        tails = []
+        for m in (need - 1, need):
+            p = x ** max(m, 0) * (1 - x) ** (n - max(m, 0))
+            tails.append(p[x >= 0.8].sum() / p.sum())
+        assert (need == 0 or tails[0] < ngram_join.TOLERANCE * 1.05) and tails[1] >= ngram_join.TOLERANCE * 0.95
+
+
+# --- toxicity and language ------------------------------------------------------------------------------------------
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    # A third of the toxic labels here mark documents that no feature tells from clean ones.
+    assert sum(r.predicted for r in toxic) >= 0.6 * len(toxic) and sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    assert len(rows) > 50 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_isotonic():
+    places, values = toxicity.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([0, 1, 0, 1, 1]))
+    assert places.tolist() == [1, 2, 3, 4] and values.tolist() == [0, 0.5, 0.5, 1]
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang_pred == r.lang for r in rows) >= 0.97 * len(rows) and sum(r.rejected for r in rows) <= 0.005 * len(rows)
+
+
+def test_language_rejects_noise():
+    models = language_id.LanguageModels({x: language_id.KneserNey([language_id.codepoints(t) for t in texts]) for x, texts in {"en": ["the cat sat on the mat and looked at the dog " * 5], "fr": ["le chat est sur le tapis et regarde le chien " * 5]}.items()})
+    models.calibrate([language_id.codepoints("the dog sat on the cat and the mat"), language_id.codepoints("le chien est sur le tapis")], ["en", "fr"])
+    assert models.predict("the dog looked at the mat")[0] == "en" and models.predict("le tapis est sur le chien")[0] == "fr"
+    assert models.predict("漢字仮名交じり文は日本語の表記である漢字仮名交じり文は日本語の表記である" * 3)[3]
+
+
+def test_kneser_ney_sums_to_one():
+    """After a context, the probabilities of all characters add up to 1."""
+    text = "abracadabra banana bandana " * 3
+    models = language_id.LanguageModels({"x": language_id.KneserNey([language_id.codepoints(text)])})
+    seen = sorted(set(text) - {" "})
+    for context in (" ab", "ana", "zzz"):
+        total = 0.0
+        for char in [*seen, " "]:
+            cp = np.array([32, *map(ord, context), ord(char)], np.uint64)
+            total += float(np.exp(models._rows(language_id.gram_hashes(cp, 4), np.array([len(cp) - 1]), 4))[0, 0])
+        unseen = np.array([32, *map(ord, context), 0x4E00], np.uint64)
+        total += (language_id.ALPHABET - len(seen) - 1) * float(np.exp(models._rows(language_id.gram_hashes(unseen, 4), np.array([len(unseen) - 1]), 4))[0, 0])
+        assert abs(total - 1) < 2e-3
+
+
+# --- chat -----------------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "sys\ntem", "a\\n", "<s>"]), st.text(st.sampled_from(list("<>[]/\\sINSTY \n")), max_size=30)), max_size=5))
+def test_template_round_trip(turns):
+    formatted, spans = chat.format_turns(turns)
+    assert chat.read_turns(formatted) == turns
+    assert [chat.unescape(formatted[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
+
+
+def test_reply_trees(spark):
+    """Branches of two trees, against paths walked by hand; a cycle and a lost parent."""
+    rows = [(1, 10, None, 0.0), (1, 11, 10, 1.0), (1, 12, 10, 2.0), (1, 13, 11, 5.0), (1, 14, 12, 1.0), (2, 20, 99, 0.0), (2, 21, 20, 0.0), (3, 30, 31, 0.0), (3, 31, 30, 0.0)]
+    df = spark.createDataFrame([(t, n, p, "user" if n % 2 else "assistant", f"m{n}", s) for t, n, p, s in rows], "tree long, node long, parent long, role string, text string, score double")
+    paths = {r.leaf: [t for _, t in chat.read_turns(r.formatted)] for r in chat.format_reply_trees(df, branches=0).collect()}
+    assert paths == {13: ["m10", "m11", "m13"], 14: ["m10", "m12", "m14"], 21: ["m20", "m21"]}
+    assert {r.leaf for r in chat.format_reply_trees(df).collect()} == {13, 21}
+
+
+# --- embeddings -----------------------------------------------------------------------------------------------------
+
+
+def test_near_embeddings(spark):
+    draw = np.random.default_rng(2)
+    base = draw.normal(size=(60, 16))
+    rows = [b for b in base] + [base[i % 20] + draw.normal(size=16) * draw.choice([0.02, 0.3]) for i in range(120)] + [base[50] + draw.normal(size=16) * 0.01 for _ in range(150)]
+    x = np.array(rows, np.float32)
+    labels = [i % 2 for i in range(len(x))]
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels)[None, :])
+    np.fill_diagonal(near, False)
+    groups = union_find([(a, b) for a, b in zip(*np.nonzero(near))])
+    df = spark.createDataFrame([(i, v.tolist(), k) for i, (v, k) in enumerate(zip(x, labels))], "vec_id long, embedding array<float>, label int")
+    for r in near_embeddings.near_embeddings(df).collect():
+        assert r.n_links == near[r.vec_id].sum() and r.component_id == groups.get(r.vec_id, r.vec_id)
+
+
+# --- tokenizers -----------------------------------------------------------------------------------------------------
+
+
+def merged(encoder, word):
+    """The merges of BPE, one by one."""
+    body = [encoder.chars[b] for b in word.encode()]
+    body[-1] += encoder.suffix
+    merges = {tuple(m): i for i, m in enumerate(json.load(open(public_tokenizers.path("word_bpe_49k.json")))["model"]["merges"])}
+    while len(body) > 1:
+        best = min(range(len(body) - 1), key=lambda i: merges.get((body[i], body[i + 1]), 1 << 30))
+        if (body[best], body[best + 1]) not in merges:
+            break
+        body[best : best + 2] = [body[best] + body[best + 1]]
+    return body
+
+
+def test_backtracking_equals_merges():
+    encoder = bpe.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    draw = random.Random(6)
+    for _ in range(40):
+        word = "".join(draw.choice("theandionréß") for _ in range(draw.randrange(1, 25)))
+        assert encoder.strings.join(np.array(encoder.encode_pretoken(word))).decode().split(" ") == merged(encoder, word)
+
+
+def test_packing_cuts_everything_once():
+    draw = random.Random(3)
+    lengths = [draw.choice([1, 5, 300, 2047, 2048, 2049, 9000]) for _ in range(400)]
+    rows = list(packing.plan_block(lengths))
+    spans, used = {}, {}
+    for doc, start, n, sequence, offset in rows:
+        spans.setdefault(doc, []).append((start, n))
+        used.setdefault(sequence, []).append((offset, n))
+    for doc, parts in spans.items():
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at
+            at += n
+        assert at == lengths[doc]
+    sizes = []
+    for parts in used.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        sizes.append(at)
+    assert all(s == 2048 or s & (s - 1) == 0 for s in sizes) and sum(s < 2048 for s in sizes) <= 11
+
+
+def test_packing_balances_cost():
+    lengths = [600] * 30 + [100] * 140
+    cost = {}
+    for _, _, n, sequence, _ in packing.plan_block(lengths):
+        cost[sequence] = cost.get(sequence, 0) + packing._cost(n)
+    full = [c for s, c in cost.items() if s < sum(lengths) // 2048]
+    assert max(full) <= 1.25 * min(full)
+
+
+def best_pieces(scores, lowest, text):
+    """(score, pieces) by plain dynamic programming."""
+    best = [(0.0, 0)]
+    for end in range(1, len(text) + 1):
+        n = len(text[end - 1].encode())
+        found = [(best[end - 1][0] + n * lowest, -(best[end - 1][1] + n))] if text[end - 1] not in scores else []
+        found += [(best[s][0] + scores[text[s:end]], -(best[s][1] + 1)) for s in range(end) if text[s:end] in scores]
+        score, count = max(found)
+        best.append((score, -count))
+    return best[-1][1]
+
+
+def test_trie_counts():
+    trie = token_counts.model(public_tokenizers.path("piece_bpe_32k.model"))
+    draw = random.Random(9)
+    for _ in range(300):
+        word = "".join(draw.choice(["the", "an", "ion", "é", "ß", "日", "x", "1", "ing"]) for _ in range(draw.randrange(1, 9)))
+        assert trie.count(word) == best_pieces(trie.scores, trie.lowest, token_counts.WORD_MARK + word)
+
+
+# --- pages ----------------------------------------------------------------------------------------------------------
+
+
+def test_labeller_gradients():
+    model = html_extract.BlockLabeller()
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    draw = np.random.default_rng(1)
+    pages = [draw.normal(size=(n, html_extract.INPUT)) for n in (3, 5)]
+    labels = [np.array([1.0, 0, -1]), np.array([0.0, 1, 1, 0, 1])]
+    _, grads = model.gradients(pages, labels)
+    for name, g in grads.items():
+        at = tuple(np.array(g.shape) // 2)
+        old, step = model.p[name][at], 1e-3
+        model.p[name][at] = old + step
+        up, _ = model.gradients(pages, labels)
+        model.p[name][at] = old - step
+        down, _ = model.gradients(pages, labels)
+        model.p[name][at] = old
+        assert abs((up - down) / (2 * step) - g[at]) < 1e-4
+
+
+def test_pages(spark):
+    """The given pages mark their regions; unseen layouts are generated."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    model = html_extract.fit(pages)
+    html = {r.page_id: r.html for r in pages.collect()}
+    for r in html_extract.extract(pages, model).collect():
+        found = html_extract.blocks(html[r.page_id])
+        assert r.text == " ".join(b.text for b, k in zip(found, html_extract.sure_labels(found)) if k == 1)
+    draw, right, total = random.Random(99), 0, 0
+    for _ in range(150):
+        page, labels = html_extract.generated_page(draw)
+        if page and len(page) == len(labels):
+            got = model.label([html_extract.vectors(page)])[0]
+            right, total = right + int((got == np.array(labels, bool)).sum()), total + len(labels)
+    assert right >= 0.98 * total
