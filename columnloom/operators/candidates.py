@@ -41,6 +41,6 @@ def pair_payload(pairs: DataFrame, columns: DataFrame) -> DataFrame:
 def resume_pending(pairs: DataFrame, done: DataFrame, every: int = 10) -> DataFrame:
     """Pairs not done yet with their position and checkpoint number (``every`` pairs each)."""
     rest = pairs.join(done.select("domain_id", "source_a", "source_b").distinct(), ["domain_id", "source_a", "source_b"], "left_anti")
-    keyed = rest.withColumn("__key", F.struct("domain_id", "source_a", "source_b"))
+    keyed = rest.withColumn("__key", F.concat_ws("\u0001", "domain_id", "source_a", "source_b"))
     placed = numbered(keyed, "__key", "position").drop("__key")
     return placed.withColumn("position", F.col("position").cast("long")).withColumn("checkpoint", F.floor(F.col("position") / every).cast("long"))

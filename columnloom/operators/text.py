@@ -35,8 +35,7 @@ def table_documents(catalog: DataFrame) -> DataFrame:
 def batches(docs: DataFrame, order: str, text: str, size: int = 10, separator: str = BLOCK_SEPARATOR, within: str | None = None) -> DataFrame:
     """(within,) batch_no, n_docs, text: ``size`` consecutive documents joined.
 
-    Without ``within`` the position comes from a range partitioning and per-partition counts, so a global order needs no
-    single task.
+    Without ``within`` the position is a global one (:func:`numbered`).
     """
     keys = [within] if within else []
     if within:
@@ -47,14 +46,23 @@ def batches(docs: DataFrame, order: str, text: str, size: int = 10, separator: s
     return placed.groupBy(*keys, "batch_no").agg(F.count(F.lit(1)).alias("n_docs"), _ordered("__n", F.col(text), separator).alias("text"))
 
 
-def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Positions from 0 in a global order: rank inside range partitions plus the counts of the partitions before."""
-    ranged = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    inside = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1)
-    counts = inside.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))  # one row per partition
+def numbered(df: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
+    """Positions from 0 in a global order, nulls first, with no task that sees all rows.
+
+    The order is cut at bounds from a sample of about 50 keys per part. The bounds are constants of the plan, so a part
+    holds the same rows whenever it is computed again. A row's position is its rank in its part plus the sizes of the
+    parts before.
+    """
+    total = df.count()
+    keys = sorted(r[0] for r in df.select(order).where(F.col(order).isNotNull()).sample(min(1.0, 50 * parts / max(1, total)), seed=7).collect())
+    bounds = sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if len(keys) > 2 * parts else []
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    cut = df.withColumn("__p", part)
+    sizes = cut.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))  # one row per part
     before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__p", before.alias("__s"))
-    return inside.join(F.broadcast(starts), "__p").withColumn(name, F.col("__s") + F.col("__i")).drop("__p", "__i", "__s")
+    starts = F.broadcast(sizes.select("__p", before.alias("__s")))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
+    return cut.withColumn("__i", inside).join(starts, "__p").withColumn(name, F.col("__s") + F.col("__i")).drop("__p", "__i", "__s")
 
 
 def nonempty_docs(docs: DataFrame, column: str = "content") -> DataFrame:
