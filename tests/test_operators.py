@@ -165,6 +165,14 @@ def test_batches(spark):
     assert got == {0: (10, "d0"), 1: (10, "d10"), 2: (3, "d20")}
 
 
+def test_numbering_over_many_parts(spark):
+    df = spark.range(0, 6000).selectExpr("IF(id < 5, NULL, (id * 7919) % 6007) AS k", "id").repartition(7)
+    got = [(r.n, r.k) for r in text.numbered(df, "k", "n").orderBy("n").collect()]
+    assert [n for n, _ in got] == list(range(6000))
+    keys = [-1 if k is None else k for _, k in got]
+    assert keys == sorted(keys) and keys.count(-1) == 5
+
+
 def test_resume(spark):
     pairs = spark.createDataFrame([("d", f"a{i:02}", "b") for i in range(25)], "domain_id string, source_a string, source_b string")
     left = candidates.resume_pending(pairs, pairs.where("source_a < 'a03'"))

@@ -3,8 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from columnloom.operators import evaluate
+from columnloom.operators import evaluate, graph
 from columnloom.sources import readers, writers
 from columnloom.streaming.matches import stream_matches
 
@@ -73,6 +74,15 @@ def test_writers(spark, tmp_path):
     assert '"columns":{"b":"x","a":"y"}' in line
 
 
+def test_graph_store(spark, tmp_path):
+    nodes = spark.createDataFrame([("d1", "a"), ("d2", "b")], "domain_id string, node_id string")
+    edges = spark.createDataFrame([("d1", "a", "x"), ("d2", "b", "y")], "domain_id string, src_id string, tgt_id string")
+    graph.write_graph(nodes, edges, str(tmp_path))
+    graph.write_graph(nodes.where("domain_id = 'd1'").withColumn("node_id", F.lit("new")), edges.where("domain_id = 'd1'"), str(tmp_path))
+    assert sorted(r.node_id for r in graph.read_graph(spark, str(tmp_path))[0].collect()) == ["b", "new"]
+    assert [r.node_id for r in graph.read_graph(spark, str(tmp_path), "d2")[0].collect()] == ["b"]
+
+
 def test_stream(spark, tmp_path):
     answers = spark.createDataFrame([("d", 1, "s1.a <-> s2.b\ns2.b <-> s1.a", "2024-01-01 00:00:00"), ("d", 2, "s1.a <-> s9.q", "2024-01-01 00:01:00")], "domain_id string, response_id int, response string, ts string").selectExpr("domain_id", "response_id", "response", "to_timestamp(ts) AS ts")
     answers.write.parquet(str(tmp_path / "in"))
