@@ -56,7 +56,7 @@ def numbered(df: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame
     total = df.count()
     keys = sorted(r[0] for r in df.select(order).where(F.col(order).isNotNull()).sample(min(1.0, 50 * parts / max(1, total)), seed=7).collect())
     bounds = sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if len(keys) > 2 * parts else []
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    part = sum((F.coalesce(F.col(order) >= F.lit(b), F.lit(False)).cast("int") for b in bounds), F.lit(0))
     cut = df.withColumn("__p", part)
     sizes = cut.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))  # one row per part
     before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
