@@ -15,22 +15,32 @@ from columnloom.llm.common import staged
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component) for each node of ``edges`` (a long, b long); a component is its smallest node.
 
-    Minimum labels travel along the edges, then each label takes the label of its label, until nothing changes. Each
-    round is two joins with unique keys on one side (so a hub's rows can be split) and a pre-aggregated minimum, staged.
+    Each node points at its smallest neighbour, pointers are doubled until they rest at roots, and the edges are
+    contracted to edges between roots, which leaves few after one round. Joins have unique keys on one side, so a hub's
+    rows can be split, aggregates are partial first, and every step is staged.
     """
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), f"{name}-labels")
-    before = None
-    while True:
-        total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)")), F.count(F.lit(1))).first()
-        if total == before or not total[1]:
-            return labels
-        before = total
-        heard = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        told = labels.join(heard, "node").select("node", F.least("component", "heard").alias("component"))
-        told = staged(told, f"{name}-told")
-        further = told.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        labels = staged(told.join(further, "component").select("node", F.col("further").alias("component")), f"{name}-labels")
+    left = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-edges")
+    labels = None
+    while left.limit(1).count():
+        ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        roots = staged(ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), f"{name}-roots")
+        moved = True
+        while moved:
+            above = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            roots = staged(roots.join(above, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), f"{name}-roots")
+            moved = roots.where("moved").limit(1).count()
+        roots = roots.select("node", "root")
+        if labels is None:
+            labels = roots.withColumnRenamed("root", "component")
+        else:
+            merged = labels.join(roots.withColumnRenamed("node", "component"), "component", "left")
+            labels = staged(merged.select("node", F.coalesce("root", "component").alias("component")), f"{name}-labels")
+        of_a, of_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+        met = left.join(of_a, "a").join(of_b, "b").where("root_a <> root_b")
+        left = staged(met.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), f"{name}-edges")
+    if labels is None:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return labels
 
 
 def in_blocks(rows: DataFrame, key: str, item: str, size: str, block_rows: int) -> DataFrame:
@@ -51,9 +61,9 @@ def meeting(i: int, j: int, side: np.ndarray) -> np.ndarray | None:
     return None if i == j else side[:, None] != side[None, :]
 
 
-def grouped(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of equal keys together: partitioned and sorted by them, ready for :func:`runs`."""
-    return df.repartition(*keys).sortWithinPartitions(*keys)
+def grouped(df: DataFrame, *keys: str, then: str | None = None) -> DataFrame:
+    """Rows of equal keys together: partitioned and sorted by them (and by ``then``), ready for :func:`runs`."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *([then] if then else []))
 
 
 def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -77,7 +87,10 @@ def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
 
 
 def spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the graph with edges (a[k], b[k]) over n nodes."""
+    """A spanning forest of the graph with edges (a[k], b[k]) over n nodes.
+
+    It takes the earliest edges that it can, so with nodes in a fixed order, groups that overlap give mostly equal edges.
+    """
     parent = list(range(n))
     out = []
     for x, y in zip(a.tolist(), b.tolist(), strict=True):

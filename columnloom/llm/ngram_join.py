@@ -204,7 +204,7 @@ def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
                 out = {"a": [], "b": []}
         yield to_batch(out, schema)
 
-    return grouped(members, "bucket", "i", "j").mapInArrow(run, "a long, b long")
+    return grouped(members, "bucket", "i", "j", then="rep").mapInArrow(run, "a long, b long")
 
 
 def _verified(texts: DataFrame, threshold: float) -> DataFrame:
@@ -236,7 +236,7 @@ def _verified(texts: DataFrame, threshold: float) -> DataFrame:
                 out = {"a": [], "b": [], "n": []}
         yield to_batch(out, schema)
 
-    return grouped(rows, "component", "i", "j").mapInArrow(run, "a long, b long, n long")
+    return grouped(rows, "component", "i", "j", then="rep").mapInArrow(run, "a long, b long, n long")
 
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
