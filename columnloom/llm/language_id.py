@@ -213,7 +213,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModels | Non
         return None
     draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20))
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, int(min(1.0, 1.5 * sample_docs / n) * (1 << 20)) + 1)])
-    rows = able.select(draw.alias("draw"), "doc_id", "lang", "text").where(F.col("draw") < share[F.col("lang")]).collect()
+    drawn = able.select(draw.alias("draw"), "doc_id", "lang", "text").where(F.col("draw") < share[F.col("lang")])
+    # The limit only bounds what repeated rows of one id, or rows without one, could add to the sample.
+    rows = drawn.orderBy("draw", "doc_id", "text").limit(2 * sample_docs * len(totals)).collect()
     by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.draw, r.doc_id or 0, r.text)):
         cp = codepoints(r.text)

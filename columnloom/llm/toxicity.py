@@ -233,7 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> T
     draw = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20))
     chosen = able.where(draw < int(min(1.0, sample_docs / max(1, total)) * (1 << 20)) + 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where(F.length("text").between(1, SAMPLE_CHARS))
-    rows = sorted(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect(), key=lambda r: (r.doc_id, r.text))
+    # The limit only bounds what repeated rows of one id could add to the sample.
+    drawn = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").orderBy(draw, "doc_id", "text").limit(2 * sample_docs)
+    rows = sorted(drawn.collect(), key=lambda r: (r.doc_id, r.text))
     return ToxicityModel([r.text for r in rows], [r.toxic for r in rows])
 
 
