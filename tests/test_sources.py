@@ -74,6 +74,18 @@ def test_writers(spark, tmp_path):
     assert '"columns":{"b":"x","a":"y"}' in line
 
 
+def test_knowledge_text_and_log(spark, tmp_path):
+    blocks = spark.createDataFrame([(2, "b"), (1, "a")], "n int, text string").coalesce(1)
+    writers.knowledge_text(blocks, str(tmp_path / "kb"), "n")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "kb").glob("part-*")))
+    assert text == "a\n\n===\n\nb\n\n===\n\n"
+    for step in (1, 2):
+        writers.audit_log(spark.createDataFrame([(step, "q", "a")], "step int, question string, answer string"), str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    metrics = spark.createDataFrame([("ALL", 2, 2, 1, 1, 1, 0.5, 0.5, 0.5), ("a", 1, 1, 1, 0, 0, 1.0, 1.0, 1.0)], "label string, n_truth int, n_predicted int, tp int, fp int, fn int, precision double, recall double, f1 double")
+    assert [line.split(":")[0] for line in writers.report(metrics)] == ["a", "ALL"]
+
+
 def test_graph_store(spark, tmp_path):
     nodes = spark.createDataFrame([("d1", "a"), ("d2", "b")], "domain_id string, node_id string")
     edges = spark.createDataFrame([("d1", "a", "x"), ("d2", "b", "y")], "domain_id string, src_id string, tgt_id string")
