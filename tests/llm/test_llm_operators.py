@@ -9,7 +9,6 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from columnloom.llm import bpe, chat, components, exact_dedup, html_extract, language_id, near_embeddings, ngram_join, packing, token_counts, toxicity
 
