@@ -61,10 +61,6 @@ def json_object(text: Column, schema: str) -> Column:
     return F.when(F.json_array_length(F.concat(F.lit("["), chosen, F.lit("]"))) == 1, F.from_json(chosen, schema))
 
 
-def first_non_empty(*texts: Column) -> Column:
-    return F.coalesce(*[F.when(F.length(F.trim(t)) > 0, t) for t in texts])
-
-
 #: Spark type -> the name that profiles show.
 PROFILE_TYPES = {"tinyint": "int64", "smallint": "int64", "int": "int64", "bigint": "int64", "float": "float64", "double": "float64", "boolean": "bool"}
 
