@@ -33,7 +33,7 @@ from columnloom.llm.components import connected_components, grouped, in_blocks,
 
 THRESHOLD = 0.93
 TABLES, NEIGHBOURS, MAX_NEIGHBOURS, ROUNDS = 6, 8, 64, 4
-BUCKET, PART, BLOCK = 256, 96, 1024
+BUCKET, PART, BLOCK = 256, 96, 256
 AUDIT, RECALL, BUILDS = 1024, 0.99, 3
 #: Single precision decides what is looked at again in double precision, by this much more.
 MARGIN = 1e-4
