@@ -450,8 +450,11 @@ def fit(pages: DataFrame | None = None) -> BlockLabeller:
         if page and len(page) == len(labels):
             made.append((vectors(page), np.array(labels, np.float32)))
     if pages is not None:
-        able = pages.select("html").where(F.length("html").between(1, 40_000))
-        rows = able.orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
+        # Drawn by a hash, so that what tasks send doesn't grow with their number; repeated pages count once.
+        draw_at = F.pmod(F.xxhash64("html"), F.lit(1 << 30))
+        share = min(1.0, 2 * SAMPLE_PAGES / max(1, pages.count()))
+        able = pages.select("html", draw_at.alias("draw")).where(F.length("html").between(1, 40_000) & (F.col("draw") < int(share * (1 << 30)) + 1))
+        rows = able.distinct().orderBy("draw", "html").limit(SAMPLE_PAGES).collect()
         made += [(vectors(page), sure_labels(page)) for page in map(blocks, [r.html for r in rows]) if page]
     model = BlockLabeller()
     model.train([x for x, _ in made], [y for _, y in made])
