@@ -10,6 +10,8 @@ Vectors with equal labels and a cosine of at least ``THRESHOLD`` (double precisi
    is saturated and doubles, up to ``MAX_NEIGHBOURS``. A hub's neighbourhood is dealt into parts, none is dropped.
 4. The components of the threshold edges are verified in blocks in double precision. This counts links beyond any list's
    length, so a large group of near copies costs no pair rows and loses no link.
+   All other pairs of a label are compared as well, so links between components, which the capped lists did not connect,
+   count too. This work grows with the square of a label's classes, its rows with their power 1.5.
 5. Recall is audited: the links of ``AUDIT`` classes, against all vectors, in one pass. Below ``RECALL`` the graph is built
    again with twice the tables and neighbours.
 
@@ -34,6 +36,8 @@ from columnloom.llm.components import connected_components, grouped, in_blocks,
 THRESHOLD = 0.93
 TABLES, NEIGHBOURS, MAX_NEIGHBOURS, ROUNDS = 6, 8, 64, 4
 BUCKET, PART, BLOCK = 256, 96, 256
+#: Rows of a part when all classes of a label are compared, and of a slice of it.
+CELL, SLICE = 2048, 512
 AUDIT, RECALL, BUILDS = 1024, 0.99, 3
 #: Single precision decides what is looked at again in double precision, by this much more.
 MARGIN = 1e-4
@@ -200,6 +204,58 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
     return grouped(rows, "component", "i", "j", then="rep").mapInArrow(run, "a long, b long, n long")
 
 
+def _across(classes: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
+    """As :func:`_counted`, for the links between classes of one label in different components of ``near``.
+
+    Every such pair is compared: in single precision, and in double precision where that comes near the threshold. The
+    parts of a large label grow with the root of its size, and so does the number of parts each class is sent to.
+    """
+    sizes = classes.groupBy("space").agg(F.count(F.lit(1)).alias("size"))
+    rows = classes.join(near.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(sizes, "space")
+    part = F.greatest(F.lit(float(CELL)), F.sqrt(F.col("size") * CELL))
+    rows = in_blocks(rows, "space", "rep", "size", part).select("space", "i", "j", "rep", "side", "copies", "unit", "component")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+    def compared(block: pa.Table) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Links of each row, and a spanning forest of the links."""
+        i, j = block.column(1)[0].as_py(), block.column(2)[0].as_py()
+        side, copies, component = (block.column(c).to_numpy() for c in (4, 5, 7))
+        units = _matrix(block.column(6))
+        single = units.astype(np.float32)
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        n, tree, edges = np.zeros(len(side), np.int64), np.arange(len(side)), []
+        for start in range(0, len(left), SLICE):
+            x, y = left[start : start + SLICE], right[start:] if i == j else right
+            maybe = single[x] @ single[y].T >= threshold - MARGIN
+            maybe &= component[x][:, None] != component[y][None, :]
+            if i == j:
+                maybe &= x[:, None] < y[None, :]
+            x, y, maybe = x[maybe.any(1)], y[maybe.any(0)], maybe[maybe.any(1)][:, maybe.any(0)]
+            if not len(x):
+                continue
+            linked = maybe & (units[x] @ units[y].T >= threshold)
+            n[x] += linked @ copies[y]
+            n[y] += copies[x] @ linked
+            for k, own in zip(x.tolist(), linked, strict=True):
+                others = y[own]
+                if (tree[others] != tree[k]).any():
+                    met, first = np.unique(tree[others], return_index=True)
+                    edges += [(k, o) for o in others[first[met != tree[k]]].tolist()]
+                    tree[np.isin(tree, met)] = tree[k]
+        return n, edges
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in runs(batches, 3):
+            if block.num_rows > 1:
+                rep = block.column(3).to_numpy()
+                n, edges = compared(block)
+                at, (x, y) = np.flatnonzero(n), np.array(edges, np.int64).reshape(-1, 2).T
+                yield to_batch({"a": rep[at], "b": pa.nulls(len(at), pa.int64()), "n": n[at]}, schema)
+                yield to_batch({"a": rep[x], "b": rep[y], "n": np.zeros(len(x), np.int64)}, schema)
+
+    return grouped(rows, "space", "i", "j", then="rep").mapInArrow(run, "a long, b long, n long")
+
+
 def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT) -> float:
     """Found share of the links of a bounded sample of classes, against all vectors."""
     total = classes.count()
@@ -245,6 +301,8 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         if audit(classes, links, threshold) >= RECALL:
             break
         tables, neighbours = 2 * tables, 2 * neighbours
+    found = found.unionByName(staged(_across(classes, near, threshold), "nn-across"))
+    links = staged(found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links")), "nn-links")
     groups = connected_components(found.where("b IS NOT NULL").select("a", "b"), "nn-groups").withColumnRenamed("node", "rep")
     known = classes.join(links, "rep", "left").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = staged(known.select("rep", "component", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "nn-known")
