@@ -46,3 +46,29 @@ def test_links_between_full_lists(spark):
     twins = np.concatenate([group(draw, a, 80), group(draw, at_cosine(draw, a, 0.95), 80)])
     lost, links, wrong = missing(spark, np.concatenate([twins, draw.normal(size=(300, 64))]))
     assert links == 160 * 159 and (lost, wrong) == (0, 0), (lost, links, wrong)
+
+
+def test_small_groups_beside_a_hot_one(spark, monkeypatch):
+    """The links of a hot group must not outvote isolated pairs that a sparse graph misses."""
+    monkeypatch.setattr(near_embeddings, "TABLES", 1)
+    monkeypatch.setattr(near_embeddings, "ROUNDS", 0)
+    draw = np.random.default_rng(12)
+    alone = unit(draw.normal(size=(500, 64)))
+    pairs = np.stack([at_cosine(draw, x, 0.94) for x in alone[:60]])
+    hot = unit(draw.normal(size=64)) + draw.normal(size=(150, 64)) * 1e-6
+    lost, links, wrong = missing(spark, np.concatenate([hot, alone, pairs]))
+    assert links == 150 * 149 + 2 * 60 and (lost, wrong) == (0, 0), (lost, links, wrong)
+
+
+def test_audit_counts_each_class(spark):
+    """Three of 30 pairs missing beside a group of 150 with all its links."""
+    draw = np.random.default_rng(14)
+    alone = unit(draw.normal(size=(30, 64)))
+    x = np.concatenate([group(draw, unit(draw.normal(size=64)), 150), alone, np.stack([at_cosine(draw, v, 0.94) for v in alone])])
+    classes = spark.createDataFrame([(i, 1, bytearray(v.tobytes()), 1, i) for i, v in enumerate(x)], "rep long, space long, unit binary, copies long, least long")
+    near = unit(x) @ unit(x).T >= 0.93
+    n = near.sum(1) - 1
+    n[[150, 180, 151, 181, 152, 182]] = 0
+    found = lambda n: spark.createDataFrame([(i, int(k)) for i, k in enumerate(n) if k], "rep long, links long")
+    assert near_embeddings.audit(classes, found(n), 0.93) == 0.9
+    assert near_embeddings.audit(classes, found(near.sum(1) - 1), 0.93) == 1
