@@ -1,6 +1,7 @@
 """Inputs on which an operator once did less than the whole job."""
 
 import numpy as np
+import pytest
 
 from columnloom.llm import near_embeddings
 
@@ -72,3 +73,25 @@ def test_audit_counts_each_class(spark):
     found = lambda n: spark.createDataFrame([(i, int(k)) for i, k in enumerate(n) if k], "rep long, links long")
     assert near_embeddings.audit(classes, found(n), 0.93) == 0.9
     assert near_embeddings.audit(classes, found(near.sum(1) - 1), 0.93) == 1
+
+
+def test_links_without_a_graph(spark, monkeypatch):
+    """A neighbour graph that finds nothing, however often it is built, loses no link."""
+    build = near_embeddings.neighbour_graph
+    monkeypatch.setattr(near_embeddings, "ROUNDS", 0)
+    monkeypatch.setattr(near_embeddings, "neighbour_graph", lambda *args: build(*args).limit(0))
+    draw = np.random.default_rng(13)
+    alone = unit(draw.normal(size=(50, 64)))
+    lost, links, wrong = missing(spark, np.concatenate([alone, np.stack([at_cosine(draw, x, 0.94) for x in alone[:20]])]))
+    assert links == 40 and (lost, wrong) == (0, 0), (lost, links, wrong)
+
+
+def test_failed_audit_raises(spark, monkeypatch):
+    """Links that stay missing are an error, not a result."""
+    across, build = near_embeddings._across, near_embeddings.neighbour_graph
+    monkeypatch.setattr(near_embeddings, "ROUNDS", 0)
+    monkeypatch.setattr(near_embeddings, "neighbour_graph", lambda *args: build(*args).limit(0))
+    monkeypatch.setattr(near_embeddings, "_across", lambda *args: across(*args).limit(0))
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="0.0000"):
+        near_embeddings.near_embeddings(df)
