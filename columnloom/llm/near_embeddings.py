@@ -137,7 +137,7 @@ def _first_edges(classes: DataFrame, tables: int, neighbours: int) -> DataFrame:
 
 def _lists(edges: DataFrame, lengths: DataFrame | None, neighbours: int, name: str) -> DataFrame:
     """(a, k, near array<struct<sim,b>>): the best k of each class."""
-    lists = edges.groupBy("a").agg(F.sort_array(F.collect_set(F.struct("sim", "b")), False).alias("near"))
+    lists = edges.groupBy("a", "b").agg(F.max("sim").alias("sim")).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("sim", "b")), False).alias("near"))
     lists = lists.join(lengths, "a", "left").withColumn("k", F.coalesce("k", F.lit(neighbours))) if lengths is not None else lists.withColumn("k", F.lit(neighbours))
     return staged(lists.select("a", "k", F.slice("near", F.lit(1), F.col("k")).alias("near")), name)
 

@@ -95,3 +95,10 @@ def test_failed_audit_raises(spark, monkeypatch):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1)], "vec_id long, embedding array<double>, label int")
     with pytest.raises(RuntimeError, match="0.0000"):
         near_embeddings.near_embeddings(df)
+
+
+def test_lists_hold_different_neighbours(spark):
+    """One pair with two values in the last bits takes one place of a list."""
+    edges = spark.createDataFrame([(1, 2, 0.99), (1, 2, 0.9900001), (1, 3, 0.98), (1, 4, 0.97)], "a long, b long, sim double")
+    row = near_embeddings._lists(edges, None, 2, "test-lists").first()
+    assert [(e.b, e.sim) for e in row.near] == [(2, 0.9900001), (3, 0.98)]
