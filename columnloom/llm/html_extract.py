@@ -11,7 +11,7 @@ footers around articles, with varied or no class names) and on a bounded sample
 whose blocks lie inside unambiguous elements (article, nav, footer and so on). Its weights, under 1 MB, are broadcast.
 Extraction is one narrow map over whole pages.
 
-Edge cases: null or empty html gives an empty text; a page cut off inside a tag, comment or script loses that rest; very
+Edge cases: null or empty html gives an empty text; a head without end tag ends where text or an element of the body starts; a page cut off inside a tag, comment or script loses that rest; very
 long pages are read whole, in sequence batches of bounded size; repeated rows repeat; other columns are ignored.
 """
 
@@ -37,6 +37,8 @@ BLOCKS = set("html body head title main article section header footer nav aside
 HIDDEN = set("script style noscript template textarea svg math canvas object head title iframe select".split())
 RAW = set("script style noscript template textarea iframe title".split())
 VOID = set("br hr img input meta link area base col embed source track wbr".split())
+#: Elements that can start in a head; any other ends it, as text does.
+IN_HEAD = set("html head title base basefont bgsound link meta style script noscript noframes template".split())
 #: Elements whose start ends a sibling before it that has no end tag: the siblings, and where the search stops.
 _LIST, _TERMS, _CELLS = ({"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dl"}), ({"td", "th"}, {"tr", "table"})
 SIBLINGS = {"li": _LIST, "dt": _TERMS, "dd": _TERMS, "td": _CELLS, "th": _CELLS, "tr": ({"tr"}, {"table", "thead", "tbody", "tfoot"}), "option": ({"option"}, {"select"})}
@@ -79,11 +81,17 @@ def blocks(page: str) -> list[Block]:
         name = stack.pop()[0]
         state["hidden"] -= name in HIDDEN
 
+    def end_head() -> None:
+        while stack and stack[-1][0] == "head":
+            pop()
+
     at, n = 0, len(page)
     search = _TAG.search
     while at < n:
         m = search(page, at)
         start = m.start() if m else n
+        if stack and stack[-1][0] == "head" and page[at:start].strip(" \t\n\f\r"):
+            end_head()
         if start > at and not state["hidden"]:
             texts.append(page[at:start])
             if state["link"]:
@@ -95,6 +103,8 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if not m[1] and name not in IN_HEAD:
+            end_head()
         if m[1]:  # an end tag
             if name == "a":
                 state["link"] = 0

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from columnloom.llm import near_embeddings
+from columnloom.llm import html_extract, near_embeddings
 
 
 def unit(x):
@@ -102,3 +102,17 @@ def test_lists_hold_different_neighbours(spark):
     edges = spark.createDataFrame([(1, 2, 0.99), (1, 2, 0.9900001), (1, 3, 0.98), (1, 4, 0.97)], "a long, b long, sim double")
     row = near_embeddings._lists(edges, None, 2, "test-lists").first()
     assert [(e.b, e.sim) for e in row.near] == [(2, 0.9900001), (3, 0.98)]
+
+
+@pytest.mark.parametrize("start", ["<body><article><p>", "<article><p>", "<head><p>", "<span>", "<br>", "", "<!-- c --> <script>x</script><p>"])
+def test_head_without_end_tag(start):
+    """A head whose end tag is left out ends where the body starts, by an element or by text."""
+    page = "<html><head><title>t</title><meta charset=utf-8> <style>b</style>\n" + start
+    assert [b.text for b in html_extract.blocks(page + "Hi")] == ["Hi"]
+    assert [b.text for b in html_extract.blocks(page + "Hi</head><p>there")] == ["Hi", "there"]
+
+
+def test_page_without_head_end(spark):
+    page = "<html><head><title>t</title><body><article><p>A longer sentence stands in this article.</p></article></body></html>"
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert html_extract.extract(df, html_extract.fit()).first().text == "A longer sentence stands in this article."
