@@ -12,7 +12,8 @@ letter (``und``) or when its cross-entropy exceeds what calibration texts of tha
 
 The classifier learns from a bounded sample: at most ``SAMPLE_DOCS`` documents per language, in the order of a hash of
 the id, from those with a language that are not held out and have at most ``SAMPLE_CHARS`` characters. Scoring is one
-narrow map over whole texts with a broadcast model of at most a few MB.
+narrow map over whole texts with a broadcast model. Every language value is learned: the model, a few MB for a handful of
+languages, has a row for each n-gram of any of them and a column for each, so it grows with the square of their number.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; without any learnable row all are; ties take the
 first language by name; repeated rows repeat; other columns are ignored by ``identify`` and kept by ``keep_identified``.
@@ -29,13 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from columnloom.llm.common import held_out, pieces, to_batch
+from columnloom.llm.common import held_out, pieces, small_side, to_batch
 
 ORDER = 4
 ALPHABET = 8192
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 30_000
-#: So many languages are learned at most, the commonest.
-MAX_LANGUAGES = 200
 #: One document in so many of the sample calibrates instead of counting.
 CALIBRATION = 5
 #: Nats beyond the worst calibration text; a text of n characters has ``SHORT / sqrt(n)`` more.
@@ -208,12 +207,12 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModels | Non
     """Learn from a bounded sample; None if there is nothing to learn from."""
     able = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     able = able.where(F.length("text").between(1, SAMPLE_CHARS))
-    totals = {r.lang: r.n for r in able.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    totals = {r.lang: r.n for r in able.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals:
         return None
     draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20))
-    share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, int(min(1.0, 1.5 * sample_docs / n) * (1 << 20)) + 1)])
-    drawn = able.select(draw.alias("draw"), "doc_id", "lang", "text").where(F.col("draw") < share[F.col("lang")])
+    shares = docs.sparkSession.createDataFrame([(k, int(min(1.0, 1.5 * sample_docs / n) * (1 << 20)) + 1) for k, n in totals.items()], "lang string, share long")
+    drawn = able.join(small_side(shares, len(totals)), "lang").where(draw < F.col("share")).select(draw.alias("draw"), "doc_id", "lang", "text")
     # The limit only bounds what repeated rows of one id, or rows without one, could add to the sample.
     rows = drawn.orderBy("draw", "doc_id", "text").limit(2 * sample_docs * len(totals)).collect()
     by: dict[str, list] = {}

@@ -1,9 +1,11 @@
 """Inputs on which an operator once did less than the whole job."""
 
+import zlib
+
 import numpy as np
 import pytest
 
-from columnloom.llm import html_extract, near_embeddings
+from columnloom.llm import html_extract, language_id, near_embeddings
 
 
 def unit(x):
@@ -116,3 +118,12 @@ def test_page_without_head_end(spark):
     page = "<html><head><title>t</title><body><article><p>A longer sentence stands in this article.</p></article></body></html>"
     df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
     assert html_extract.extract(df, html_extract.fit()).first().text == "A longer sentence stands in this article."
+
+
+def test_many_languages(spark):
+    """210 languages, each with letters of its own; the last ten have fewer documents."""
+    draw = np.random.default_rng(15)
+    ids = iter([i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2])  # none of them held out
+    rows = [(next(ids), "".join(map(chr, 0x4E00 + 20 * k + draw.integers(0, 20, 60))), f"x{k:03}") for k in range(210) for _ in range(2 if k < 200 else 1)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: lang for i, _, lang in rows}
