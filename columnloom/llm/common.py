@@ -15,16 +15,66 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or ``/tmp/checkpoints`` where unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder all executors see: ``spark.checkpoint.dir``; ``/tmp/checkpoints`` where unset and the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or "/tmp/checkpoints").rstrip("/")
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of it: lineage ends there and a lost executor loses nothing."""
+    """Write ``df`` to the shared folder and return a scan of it: lineage ends there and a lost executor loses nothing.
+
+    The application's folder goes when its driver ends; :func:`discard` removes a table that is no longer read.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/columnloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/columnloom/{spark.sparkContext.applicationId}"
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _file_system(spark, own)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove staged tables that nothing reads any more (frames that aren't staged are left alone)."""
+    for table in tables:
+        path = getattr(table, "staged_path", None)
+        if path:
+            files, at = _file_system(table.sparkSession, path)
+            files.delete(at, True)
+
+
+def _scans_parquet(df: DataFrame) -> bool:
+    """Whether ``df`` only selects and filters the rows of one Parquet scan."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation" and "parquet" in node.toString().split("\n")[0].rsplit("]", 1)[-1].lower()
+
+
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with a unique long column ``key`` that stays a row's own in every scan, however the files are split.
+
+    Over a Parquet scan the key is the number of the file, by path, and the row's place in it. Any other ``df`` is staged
+    once with its keys.
+    """
+    if not _scans_parquet(df):
+        return staged(df.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    spark, path, row = df.sparkSession, fresh(df, "path"), fresh(df, "row")
+    found = sorted(r[0] for r in df.select(F.col("_metadata.file_path")).distinct().collect())
+    placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
+    if len(found) > 1:
+        numbers = spark.createDataFrame([(p, i << 40) for i, p in enumerate(found)], f"`{path}` string, `{key}` long")
+        return placed.join(small_side(numbers, len(found)), path).withColumn(key, F.col(key) + F.col(row)).drop(path, row)
+    return placed.withColumn(key, F.col(row)).drop(path, row)
 
 
 def small_side(df: DataFrame, n_rows: int) -> DataFrame:

@@ -7,7 +7,7 @@ a hit is verified against the content, so a false positive costs a lookup and ne
 removes the fingerprint; overflow rebuilds the filter at twice the size from the stored keys.
 
 Entries reach their shard pre-aggregated per (digest, salt), so a digest that a third of all rows share arrives as at
-most ``SALTS`` rows. A shard is sized by ``SHARD_ROWS``, so its memory is bounded.
+most ``SALTS`` rows. A shard holds ``SHARD_ROWS`` digests on average; an index that outgrows this is dealt into more shards.
 
 Edge cases: null or empty texts form one group; of equal (doc_id, text) rows exactly one stays (the one with the
 largest internal row key); a null doc_id loses to any other; an empty table gives an empty result; extra columns are
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from columnloom.llm.common import drop_rows, fresh, staged
+from columnloom.llm.common import drop_rows, fresh, keyed, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 8
@@ -158,10 +158,11 @@ def _update(key: tuple, stored: pd.DataFrame, entries: pd.DataFrame) -> pd.DataF
     return _frame(int(key[0]), shard)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_key, doc_id, digest): JVM-side SHA-256 of the normalised text."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
+    """(row_key, doc_id, digest): JVM-side SHA-256 of the normalised text. ``key``: a column of row keys, if there is one."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
-    return docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    row = F.col(key) if key else F.monotonically_increasing_id()
+    return docs.select(row.alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
 def _entries(rows: DataFrame, n_shards: int) -> DataFrame:
@@ -188,21 +189,32 @@ class DedupIndex:
         done = self.content.groupBy("shard").cogroup(entries.groupBy("shard")).applyInPandas(_update, CONTENT)
         return DedupIndex(staged(done, "dedup-content"), self.n_shards)
 
+    def _with_room(self, n_live: int) -> DedupIndex:
+        """The same index, dealt into twice the shards as often as ``n_live`` digests need it."""
+        n_shards = self.n_shards
+        while n_live > n_shards * SHARD_ROWS:
+            n_shards *= 2
+        if n_shards == self.n_shards:
+            return self
+        dealt = self.content.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(n_shards)).cast("int"))
+        return DedupIndex(staged(dealt, "dedup-content"), n_shards)
+
     def insert(self, rows: DataFrame) -> DedupIndex:
-        return self._changed(_entries(rows, self.n_shards))
+        index = self._with_room(self.content.count() + rows.count())
+        return index._changed(_entries(rows, index.n_shards))
 
     def delete(self, rows: DataFrame) -> DedupIndex:
         """Without the digests of ``rows``; digests that are not live change nothing."""
         return self._changed(_entries(rows, self.n_shards).withColumn("n", F.lit(-1).cast("long")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, row_key.
 
     The join back to the rows is a sort-merge join on the digest with unique keys on one side, so adaptive execution
-    splits a hot digest's rows.
+    splits a hot digest's rows. ``key`` names a column of unique row keys to be used as row_key.
     """
-    rows = staged(digests(docs, id_col, text_col), "dedup-rows")
+    rows = staged(digests(docs, id_col, text_col, key), "dedup-rows")
     index = DedupIndex.build(rows, rows.count())
     return rows.join(index.content.drop("shard"), "digest").select(
         "doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row_key") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row_key"
@@ -210,7 +222,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs``, a stored table, without the rows that :func:`exact_dedup` drops; all columns stay."""
+    """``docs`` without the rows that :func:`exact_dedup` drops; all columns stay."""
     key = fresh(docs, "row_key")
-    gone = staged(exact_dedup(docs).where(~F.col("kept")).select(F.col("row_key").alias(key)), "dedup-drop")
-    return drop_rows(docs.withColumn(key, F.monotonically_increasing_id()), gone, key).drop(key)
+    docs = keyed(docs, key)
+    gone = staged(exact_dedup(docs, key=key).where(~F.col("kept")).select(F.col("row_key").alias(key)), "dedup-drop")
+    return drop_rows(docs, gone, key).drop(key)

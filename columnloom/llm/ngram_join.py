@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from columnloom.llm.common import drop_rows, fresh, pieces, small_side, staged, to_batch
+from columnloom.llm.common import drop_rows, fresh, keyed, pieces, small_side, staged, to_batch
 from columnloom.llm.components import connected_components, grouped, in_blocks, meeting, runs, spanning
 
 WORDS, THRESHOLD = 5, 0.8
@@ -158,7 +158,7 @@ def jaccard_links(sets: list[np.ndarray], allowed: np.ndarray | None, threshold:
     return linked & allowed if allowed is not None else linked
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _signed(docs: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
     """row_key, doc_id, n, set_a, set_b, signature."""
     schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary())])
 
@@ -175,7 +175,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 "signature": [next(rest).tobytes() if len(s) else None for s in sets],
             }, schema)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(key).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "row_key long, doc_id long, n long, set_a long, set_b long, signature binary")
 
 
@@ -239,22 +239,25 @@ def _verified(texts: DataFrame, threshold: float) -> DataFrame:
     return grouped(rows, "component", "i", "j", then="rep").mapInArrow(run, "a long, b long, n long")
 
 
-def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``, a stored table: doc_id, class_id, n_links, kept, n_shingles, row_key.
+def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, n_links, kept, n_shingles, row_key.
 
     class_id is the smallest doc_id of the rows reachable by links, n_links the number of other rows linked directly,
-    kept marks the one row of the group that stays.
+    kept marks the one row of the group that stays. ``key`` names a column of :func:`keyed` row keys, if there is one.
     """
-    signed = staged(_signed(docs, id_col, text_col), "ngram-signed")
-    key = ["set_a", "set_b", "n"]
+    if key is None:
+        key = fresh(docs, "row_key")
+        docs = keyed(docs.select(id_col, text_col), key)
+    signed = staged(_signed(docs, id_col, text_col, key), "ngram-signed")
+    same = ["set_a", "set_b", "n"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key"))
-    sets = staged(signed.where("n > 0").groupBy(*key).agg(F.min("row_key").alias("rep"), F.count(F.lit(1)).alias("copies"), first.alias("first")), "ngram-sets")
+    sets = staged(signed.where("n > 0").groupBy(*same).agg(F.min("row_key").alias("rep"), F.count(F.lit(1)).alias("copies"), first.alias("first")), "ngram-sets")
     classes = staged(signed.join(sets.select(F.col("rep").alias("row_key")), "row_key", "left_semi").select(F.col("row_key").alias("rep"), "signature"), "ngram-classes")
 
     near = connected_components(_candidates(classes, threshold), "ngram-near")
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     chosen = staged(near.join(sizes, "component").join(sets.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("row_key"), "component", "size", "copies"), "ngram-chosen")
-    texts = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(text_col).alias("text")).join(small_side(chosen, chosen.count()), "row_key")
+    texts = docs.select(F.col(key).alias("row_key"), F.col(text_col).alias("text")).join(small_side(chosen, chosen.count()), "row_key")
     found = staged(_verified(texts.withColumnRenamed("row_key", "rep"), threshold), "ngram-found")
 
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
@@ -262,15 +265,16 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     known = sets.join(links, "rep", "left").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = staged(known, "ngram-known")
     stays = known.groupBy("component").agg(F.min("first").alias("stays"))
-    known = known.join(stays, "component").select(*key, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("stays.doc_id").alias("class_id"), F.col("stays.row_key").alias("stays"))
-    rows = signed.select("row_key", "doc_id", *key)
-    out = rows.where("n > 0").join(known, key).select("doc_id", "class_id", "n_links", (F.col("row_key") == F.col("stays")).alias("kept"), F.col("n").alias("n_shingles"), "row_key")
+    known = known.join(stays, "component").select(*same, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("stays.doc_id").alias("class_id"), F.col("stays.row_key").alias("stays"))
+    rows = signed.select("row_key", "doc_id", *same)
+    out = rows.where("n > 0").join(known, same).select("doc_id", "class_id", "n_links", (F.col("row_key") == F.col("stays")).alias("kept"), F.col("n").alias("n_shingles"), "row_key")
     alone = rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), F.col("n").alias("n_shingles"), "row_key")
     return out.unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, a stored table, with one row of each group of near copies; all columns stay."""
+    """``docs`` with one row of each group of near copies; all columns stay."""
     key = fresh(docs, "row_key")
-    gone = staged(ngram_join(docs, threshold).where(~F.col("kept")).select(F.col("row_key").alias(key)), "ngram-drop")
-    return drop_rows(docs.withColumn(key, F.monotonically_increasing_id()), gone, key).drop(key)
+    docs = keyed(docs, key)
+    gone = staged(ngram_join(docs, threshold, key=key).where(~F.col("kept")).select(F.col("row_key").alias(key)), "ngram-drop")
+    return drop_rows(docs, gone, key).drop(key)

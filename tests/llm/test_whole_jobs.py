@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from columnloom.llm import html_extract, language_id, near_embeddings
+from columnloom.llm import common, exact_dedup, html_extract, language_id, near_embeddings, ngram_join
 
 
 def unit(x):
@@ -127,3 +127,59 @@ def test_many_languages(spark):
     rows = [(next(ids), "".join(map(chr, 0x4E00 + 20 * k + draw.integers(0, 20, 60))), f"x{k:03}") for k in range(210) for _ in range(2 if k < 200 else 1)]
     got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert got == {i: lang for i, _, lang in rows}
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_exact_copies, ngram_join.drop_near_copies])
+def test_row_keys_survive_other_splits(spark, tmp_path, monkeypatch, drop):
+    """The same rows stay when the files are split in another way in every scan."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(12)]
+    rows = [(i, texts[i % 12], 900 + i) for i in range(600)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, path int").repartition(3).write.option("parquet.block.size", 2048).parquet(path)
+    docs = spark.read.parquet(path).where("doc_id <> 5")
+    want = sorted(tuple(r) for r in drop(docs).collect())
+    assert len(want) == 12
+    parts, write = iter([1, 9, 4, 17, 2, 13, 6, 3, 11, 5, 8, 7] * 9), common.staged
+
+    def shifting(df, name):
+        out = write(df, name)
+        spark.conf.set("spark.sql.files.minPartitionNum", next(parts))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 512 * next(parts))
+        return out
+
+    monkeypatch.setattr(common, "staged", shifting)
+    for module in (exact_dedup, ngram_join):
+        monkeypatch.setattr(module, "staged", shifting)
+    try:
+        assert sorted(tuple(r) for r in drop(docs).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_keys_of_other_frames(spark):
+    """Rows that don't come straight from a scan are staged with their keys."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('a b c d e ', id % 4) AS text")
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(docs.union(docs.limit(3))).collect()) == [36, 37, 38, 39]
+    key = common.keyed(docs, "k")
+    assert [r.k for r in key.orderBy("doc_id").collect()] == [r.k for r in key.orderBy("doc_id").collect()]
+
+
+def test_index_deals_itself_into_more_shards(spark, monkeypatch):
+    """An index that grows keeps its shards small, and finds old digests in them."""
+    monkeypatch.setattr(exact_dedup, "MIN_SHARDS", 1)
+    monkeypatch.setattr(exact_dedup, "SHARD_ROWS", 50)
+    docs = spark.range(300).selectExpr("id AS doc_id", "cast(id % 200 AS string) AS text")
+    rows = common.staged(exact_dedup.digests(docs), "test-digests")
+    index = exact_dedup.DedupIndex.build(rows.where("doc_id < 40"), 40).insert(rows.where("doc_id >= 40"))
+    assert index.n_shards >= 4 and index.content.count() == 200
+    assert index.content.where("n = 2").count() == 100
+
+
+def test_discarded_tables(spark):
+    import os
+
+    table = common.staged(spark.range(3), "test-discard")
+    assert os.path.isdir(table.staged_path)
+    common.discard(table, spark.range(2), None)
+    assert not os.path.isdir(table.staged_path)
