@@ -1,5 +1,6 @@
 """Inputs on which an operator once did less than the whole job."""
 
+import time
 import zlib
 
 import numpy as np
@@ -120,6 +121,40 @@ def test_page_without_head_end(spark):
     assert html_extract.extract(df, html_extract.fit()).first().text == "A longer sentence stands in this article."
 
 
+MARKUP = [
+    ("<p title=it's>First</p><p>2", ["First", "2"]),
+    ('<p title="it>First</p><p class="b">2', ["First", "2"]),
+    ('<p title="a>b">F', ["F"]),
+    ("<p a='x\"y' b=\"q'z\">A<p onclick=\"if(a>b){}\">B", ["A", "B"]),
+    ("<object data=x><p>A", ["A"]),
+    ("<object data=x><p>A</object><p>B", ["B"]),
+    ("<canvas><p>A</p><svg><path d=1><p>B", ["A", "B"]),
+    ("<svg/><p>A<svg><title>t</title><text>x</text></svg>", ["A"]),
+    ("<script src=/js/>alert(1)</script>B", ["B"]),
+    ("<iframe src=x><p>A", ["A"]),
+    ("<!--><p>A<!-- x --!>B", ["AB"]),
+    ("a < b <3 </> c", ["a < b <3 c"]),
+    ("<script>x<p>B", []),
+    ("<table><tr><td>A<td>B<tr><td>C</table><dl><dt>D<dd>E</dl>", ["A", "B", "C", "D", "E"]),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), MARKUP)
+def test_markup(page, want):
+    """Odd quotes, hidden elements without end, omitted end tags."""
+    assert [b.text for b in html_extract.blocks(page)] == want
+
+
+@pytest.mark.parametrize("piece", ['<p a="', "<object><p>x", "<div><iframe>", "<p a=   ", "<div>x", "<ul><li>x", "<!--", "<svg>", "&amp;<b"])
+def test_very_long_pages(piece):
+    """Parsing takes time in proportion to the page, and every text is there."""
+    start = time.perf_counter()
+    found = html_extract.blocks(piece * 20_000 + "<p>end")
+    assert time.perf_counter() - start < 5
+    assert sum(b.text == "x" for b in found) == (20_000 if piece.endswith("x") else 0)
+    assert len(html_extract.vectors(found)) == len(found)
+
+
 def test_many_languages(spark):
     """210 languages, each with letters of its own; the last ten have fewer documents."""
     draw = np.random.default_rng(15)
