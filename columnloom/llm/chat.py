@@ -73,17 +73,17 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def _pointer_tables(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(node, depth, path_score) of the nodes that reach a root, and the tables (node, up) for jumps of 1, 2, 4, ..."""
-    state = staged(nodes.select("node", F.col("parent").alias("up"), F.lit(0).cast("long").alias("depth"), F.col("score").alias("path_score")), "chat-up0")
+    """(node, root, depth, path_score) of the nodes that reach a root, and the tables (node, up) for jumps of 1, 2, 4, ..."""
+    state = staged(nodes.select("node", F.col("parent").alias("up"), F.lit(0).cast("long").alias("depth"), F.col("score").alias("path_score"), F.when(F.col("parent").isNull(), F.col("node")).alias("root")), "chat-up0")
     limit, tables = nodes.count().bit_length() + 1, []
     while state.where("up IS NOT NULL").limit(1).count() and len(tables) < limit:
         tables.append(state.where("up IS NOT NULL").select("node", "up"))
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("above"), F.col("path_score").alias("score_above"))
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("above"), F.col("path_score").alias("score_above"), "root")
         # depth counts once the pointer has passed the root; until then it is overwritten in each round.
-        resting, moving = state.where("up IS NULL"), state.where("up IS NOT NULL").join(above, "up")
-        moved = moving.select("node", F.col("next").alias("up"), (F.col("above") + F.lit(1 << (len(tables) - 1))).alias("depth"), (F.col("path_score") + F.col("score_above")).alias("path_score"))
+        resting, moving = state.where("up IS NULL"), state.where("up IS NOT NULL").drop("root").join(above, "up")
+        moved = moving.select("node", F.col("next").alias("up"), (F.col("above") + F.lit(1 << (len(tables) - 1))).alias("depth"), (F.col("path_score") + F.col("score_above")).alias("path_score"), "root")
         state = staged(resting.unionByName(moved), f"chat-up{len(tables)}")
-    return state.where("up IS NULL").select("node", "depth", "path_score"), tables
+    return state.where("up IS NULL").select("node", "root", "depth", "path_score"), tables
 
 
 def _messages(messages: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def format_reply_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     nodes = staged(nodes.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent"), "score"), "chat-nodes")
     reached, tables = _pointer_tables(nodes)
     leaves = nodes.select("tree", "node").join(nodes.select(F.col("parent").alias("node")).where("node IS NOT NULL"), "node", "left_anti").join(reached, "node")
-    best = Window.partitionBy("tree").orderBy(F.desc("path_score"), F.desc("depth"), "node")
+    best = Window.partitionBy("tree", F.when(F.col("tree").isNull(), F.col("root"))).orderBy(F.desc("path_score"), F.desc("depth"), "node")
     chosen = leaves.withColumn("place", F.row_number().over(best)).where(F.col("place") <= branches) if branches else leaves
     path = staged(chosen.select("tree", F.col("node").alias("leaf"), "path_score", "node", F.lit(0).cast("long").alias("above")), "chat-path")
     for k in range(len(tables) - 1, -1, -1):

@@ -3,17 +3,17 @@
 Each language has one model of character n-grams up to ``ORDER``. Text is lower-cased, each run of non-letters is one
 space. Discounts are ``n1 / (n1 + 2 n2)`` per order; the highest order counts occurrences, lower ones the distinct
 characters before an n-gram, and the last step interpolates with ``1 / ALPHABET``. For scoring, the n-grams of all
-languages are merged into one sorted array of 64-bit hashes per order with a row of log-probabilities (one column per
-language, interpolated and backed off where a language lacks the n-gram), so an n-gram costs one binary search.
+languages are merged into one sorted array of 64-bit hashes per order, with the log-probabilities of those languages that
+have the n-gram; the others back off. An n-gram costs two binary searches per order, however many languages there are.
 
 A document gets the language of the lowest cross-entropy per character. Its score is a softmax of the negative
 cross-entropies at a temperature fitted on a calibration part of the sample. A document is *rejected* when it has no
 letter (``und``) or when its cross-entropy exceeds what calibration texts of that language reached by ``REJECT_MARGIN``.
 
-The classifier learns from a bounded sample: at most ``SAMPLE_DOCS`` documents per language, in the order of a hash of
-the id, from those with a language that are not held out and have at most ``SAMPLE_CHARS`` characters. Scoring is one
-narrow map over whole texts with a broadcast model. Every language value is learned: the model, a few MB for a handful of
-languages, has a row for each n-gram of any of them and a column for each, so it grows with the square of their number.
+The classifier learns from a bounded sample: at most ``SAMPLE_DOCS`` documents and ``SAMPLE_TEXT`` characters per language
+(of all languages ``SAMPLE_TOTAL``), in the order of a hash of the id, from those with a language that are not held out
+and have at most ``SAMPLE_CHARS`` characters; where a language has only longer ones, from its shortest. Scoring is one
+narrow map over whole texts with a broadcast model. Every language value is learned: the model is about 2 MB per language.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; without any learnable row all are; ties take the
 first language by name; repeated rows repeat; other columns are ignored by ``identify`` and kept by ``keep_identified``.
@@ -27,7 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from columnloom.llm.common import held_out, pieces, small_side, to_batch
@@ -35,6 +35,10 @@ from columnloom.llm.common import held_out, pieces, small_side, to_batch
 ORDER = 4
 ALPHABET = 8192
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 30_000
+#: Characters of a language's sample; with many languages they share ``SAMPLE_TOTAL``.
+SAMPLE_TEXT, SAMPLE_TOTAL = 600_000, 40_000_000
+#: N-grams scored at once, so that a long text and many languages need little memory.
+ROWS = 20_000
 #: One document in so many of the sample calibrates instead of counting.
 CALIBRATION = 5
 #: Nats beyond the worst calibration text; a text of n characters has ``SHORT / sqrt(n)`` more.
@@ -45,7 +49,7 @@ UNDETERMINED = "und"
 @cache
 def _letters() -> np.ndarray:
     table = np.zeros(0x110000, bool)
-    table[[c for c in range(0x30000) if chr(c).isalpha()]] = True
+    table[[c for c in range(len(table)) if chr(c).isalpha()]] = True
     return table
 
 
@@ -130,49 +134,56 @@ class KneserNey:
             self.log_back.append(np.log(back))
 
 
+class _Sparse:
+    """Values of (hash, language) pairs: sorted distinct hashes, and for each its languages' values in a row of its own length."""
+
+    def __init__(self, hashes: list[np.ndarray], values: list[np.ndarray]) -> None:
+        """``hashes`` and ``values`` of each language in turn."""
+        key = np.concatenate(hashes)
+        order = np.argsort(key, kind="stable")
+        self.language = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(h) for h in hashes])[order]
+        self.value = np.concatenate(values).astype(np.float32)[order]
+        self.hash, start = np.unique(key[order], return_index=True)
+        self.start = np.append(start, len(key))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place among the keys, language, value) of all that is known of the keys."""
+        at, there = _find(self.hash, keys)
+        own = np.flatnonzero(there)
+        first = self.start[at[own]]
+        n = self.start[at[own] + 1] - first
+        place = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        return np.repeat(own, n), self.language[place], self.value[place]
+
+
 class LanguageModels:
-    """All languages' n-grams merged for scoring."""
+    """All languages' n-grams merged for scoring: an entry for each n-gram and context of each language, none for absent ones."""
 
     def __init__(self, models: dict[str, KneserNey], order: int = ORDER) -> None:
         self.languages, self.order = sorted(models), order
         own = [models[x] for x in self.languages]
-        self.hash, self.log_p, self.contexts, self.log_back = [], [], [], []
-        for k in range(order):
-            hashes, first = np.unique(np.concatenate([m.grams[k].hash for m in own]), return_index=True)
-            suffix = np.concatenate([m.grams[k].suffix for m in own])[first]
-            context = np.concatenate([m.grams[k].context for m in own])[first]
-            contexts = np.unique(np.concatenate([m.contexts[k] for m in own]))
-            back = np.zeros((len(contexts), len(own)))
-            for i, m in enumerate(own):
-                back[np.searchsorted(contexts, m.contexts[k]), i] = m.log_back[k]
-            self.contexts.append(contexts)
-            self.log_back.append(back.astype(np.float32))
-            rows = back[np.searchsorted(contexts, context)]
-            rows = rows + (self.log_p[k - 1][np.searchsorted(self.hash[k - 1], suffix)] if k else math.log(1 / ALPHABET))
-            for i, m in enumerate(own):
-                rows[np.searchsorted(hashes, m.grams[k].hash), i] = m.log_p[k]
-            self.hash.append(hashes)
-            self.log_p.append(rows.astype(np.float32))
+        self.log_p = [_Sparse([m.grams[k].hash for m in own], [m.log_p[k] for m in own]) for k in range(order)]
+        self.log_back = [_Sparse([m.contexts[k] for m in own], [m.log_back[k] for m in own]) for k in range(order)]
         self.temperature, self.limit = 1.0, np.full(len(own), np.inf)
 
-    def _rows(self, hashes: list[np.ndarray], at: np.ndarray, k: int) -> np.ndarray:
-        """Log-probabilities of the k-grams that end at the given positions."""
-        if not k:
-            return np.full((len(at), len(self.languages)), math.log(1 / ALPHABET), np.float32)
-        place, there = _find(self.hash[k - 1], hashes[k - 1][at])
-        out = self.log_p[k - 1][place]
-        if not there.all():
-            missing = at[~there]
-            context = hashes[k - 2][missing - 1] if k > 1 else np.zeros(len(missing), np.uint64)
-            c, known = _find(self.contexts[k - 1], context)
-            out[~there] = self._rows(hashes, missing, k - 1) + np.where(known[:, None], self.log_back[k - 1][c], 0)
+    def _rows(self, hashes: list[np.ndarray], at: np.ndarray, order: int) -> np.ndarray:
+        """Log-probabilities under each language of the n-grams that end at the given positions, from the lowest order up."""
+        out = np.full((len(at), len(self.languages)), math.log(1 / ALPHABET), np.float32)
+        for k in range(order):
+            place, language, value = self.log_back[k].find(hashes[k - 1][at - 1] if k else np.zeros(len(at), np.uint64))
+            out[place, language] += value
+            place, language, value = self.log_p[k].find(hashes[k][at])
+            out[place, language] = value
         return out
 
     def cross_entropy(self, cp: np.ndarray) -> np.ndarray:
         """Nats per character under each language."""
         hashes = gram_hashes(cp, self.order)
         _, at, counts = np.unique(hashes[-1][1:], return_index=True, return_counts=True)
-        return -(counts @ self._rows(hashes, at + 1, self.order)) / (len(cp) - 1)
+        total = np.zeros(len(self.languages))
+        for start in range(0, len(at), ROWS):
+            total -= counts[start : start + ROWS] @ self._rows(hashes, at[start : start + ROWS] + 1, self.order)
+        return total / (len(cp) - 1)
 
     def calibrate(self, texts: list[np.ndarray], truth: list[str]) -> None:
         """Temperature by likelihood; per language the highest cross-entropy of its calibration texts."""
@@ -205,22 +216,25 @@ class LanguageModels:
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModels | None:
     """Learn from a bounded sample; None if there is nothing to learn from."""
-    able = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    able = able.where(F.length("text").between(1, SAMPLE_CHARS))
-    totals = {r.lang: r.n for r in able.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = F.length("text")
+    able = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (size >= 1))
+    totals = able.groupBy("lang").agg(F.sum((size <= SAMPLE_CHARS).cast("long")).alias("n"), F.min(size).alias("least")).collect()
     if not totals:
         return None
     draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20))
-    shares = docs.sparkSession.createDataFrame([(k, int(min(1.0, 1.5 * sample_docs / n) * (1 << 20)) + 1) for k, n in totals.items()], "lang string, share long")
-    drawn = able.join(small_side(shares, len(totals)), "lang").where(draw < F.col("share")).select(draw.alias("draw"), "doc_id", "lang", "text")
+    shares = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, 1.5 * sample_docs / max(1, r.n)) * (1 << 20)) + 1, max(SAMPLE_CHARS, r.least)) for r in totals], "lang string, share long, longest long")
+    drawn = able.join(small_side(shares, len(totals)), "lang").where((draw < F.col("share")) & (size <= F.col("longest"))).select(draw.alias("draw"), "doc_id", "lang", "text")
     # The limit only bounds what repeated rows of one id, or rows without one, could add to the sample.
-    rows = drawn.orderBy("draw", "doc_id", "text").limit(2 * sample_docs * len(totals)).collect()
+    few = drawn.orderBy("draw", "doc_id", "text").limit(2 * sample_docs * len(totals))
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
+    room = max(1, min(SAMPLE_TEXT, SAMPLE_TOTAL // len(totals)))
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = few.withColumn("before", before).withColumn("place", F.row_number().over(order)).where((F.col("before") < room) & (F.col("place") <= sample_docs)).collect()
     by: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.draw, r.doc_id or 0, r.text)):
+    for r in sorted(rows, key=lambda r: r.place):
         cp = codepoints(r.text)
-        if len(cp) > 1 and len(by.setdefault(r.lang, [])) < sample_docs:
-            by[r.lang].append(cp)
-    by = {k: v for k, v in by.items() if v}
+        if len(cp) > 1:
+            by.setdefault(r.lang, []).append(cp)
     if not by:
         return None
     models = LanguageModels({k: KneserNey([t for i, t in enumerate(v) if i % CALIBRATION or len(v) < CALIBRATION]) for k, v in by.items()})

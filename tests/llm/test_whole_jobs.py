@@ -1,12 +1,14 @@
 """Inputs on which an operator once did less than the whole job."""
 
+import collections
+import math
 import time
 import zlib
 
 import numpy as np
 import pytest
 
-from columnloom.llm import common, exact_dedup, html_extract, language_id, near_embeddings, ngram_join
+from columnloom.llm import chat, common, exact_dedup, html_extract, language_id, near_embeddings, ngram_join
 
 
 def unit(x):
@@ -218,3 +220,83 @@ def test_discarded_tables(spark):
     assert os.path.isdir(table.staged_path)
     common.discard(table, spark.range(2), None)
     assert not os.path.isdir(table.staged_path)
+
+
+def plain_kneser_ney(texts, order=4):
+    """Interpolated Kneser-Ney in dictionaries of strings; returns the probability of a string's last character."""
+    stream = " " * (order - 1) + "".join(texts) + " "
+    grams = {k: [stream[i - k + 1 : i + 1] for i in range(order, len(stream))] for k in range(1, order + 1)}
+    counts = {order: collections.Counter(grams[order])}
+    for k in range(1, order):
+        counts[k] = collections.Counter(dict.fromkeys(grams[k], 0))
+        for g in set(grams[k + 1]):
+            counts[k][g[1:]] += 1
+        counts[k] = collections.Counter({g: max(n, 1) for g, n in counts[k].items()})
+    discount, total, kinds = {}, {}, {}
+    for k, own in counts.items():
+        n1, n2 = (sum(n == x for n in own.values()) for x in (1, 2))
+        discount[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        total[k], kinds[k] = collections.Counter(), collections.Counter()
+        for g, n in own.items():
+            total[k][g[:-1]] += n
+            kinds[k][g[:-1]] += 1
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / language_id.ALPHABET
+        if not total[k][g[:-1]]:
+            return p(g[1:])
+        d = discount[k]
+        return (max(counts[k][g] - d, 0) + d * kinds[k][g[:-1]] * p(g[1:])) / total[k][g[:-1]]
+
+    return p
+
+
+def test_plain_kneser_ney():
+    """Cross-entropies of several languages, one of which lacks most n-grams, against the definition."""
+    draw = np.random.default_rng(21)
+    text = lambda letters, n: "".join(draw.choice(list(letters), n))
+    train = {"a": [text("abc ", 300), text("abde ", 200)], "b": [text("bcxyz ", 400)], "c": [text("öüß ", 30)]}
+    models = language_id.LanguageModels({k: language_id.KneserNey([language_id.codepoints(t) for t in v]) for k, v in train.items()})
+    as_read = lambda t: "".join(map(chr, language_id.codepoints(t).tolist()))
+    plain = {k: plain_kneser_ney([as_read(t) for t in v]) for k, v in train.items()}
+    for sample in ["abc abd", text("abcxyzö ", 200), "q", "日本 語", text("öüß", 40)]:
+        seen = " " * 3 + as_read(sample)
+        want = [-sum(math.log(plain[k](seen[i - 3 : i + 1])) for i in range(4, len(seen))) / (len(seen) - 4) for k in models.languages]
+        assert np.allclose(models.cross_entropy(language_id.codepoints(sample)), want, rtol=1e-5), sample
+
+
+def test_language_of_long_documents(spark):
+    """A language that has only long documents is learned from its shortest; letters of any plane count."""
+    texts = {"xx": "lorem ipsum dolor sit amet " * 2000, "yy": "alpha beta gamma delta epsilon " * 3, "zz": "\U00030001\U00030005 \U00030010 " * 5}
+    ids = iter([i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2])
+    rows = [(next(ids), t, lang) for lang, t in texts.items() for _ in range(3)]
+    got = {(r.doc_id, r.lang_pred) for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {(i, lang) for i, _, lang in rows}
+
+
+def test_scored_branches(spark):
+    """Random forests, trees with several roots and null trees, against a plain walk."""
+    draw = np.random.default_rng(8)
+    rows = []
+    for n in range(400):
+        tree = int(draw.integers(0, 12))
+        tree = None if tree > 8 else tree
+        same = [m for m in rows if m[0] == tree]
+        parent = None if not same or draw.random() < 0.08 else same[int(draw.integers(max(0, len(same) - 6), len(same)))][1]
+        rows.append((tree, n, parent, "assistant" if n % 2 else "user", f"t{n}", float(draw.integers(-3, 4))))
+    by = {r[1]: r for r in rows}
+
+    def path(n):
+        return ([] if by[n][2] is None else path(by[n][2])) + [n]
+
+    leaves: dict = {}
+    for n in set(by) - {r[2] for r in rows}:
+        way = path(n)
+        leaves.setdefault((by[n][0], way[0] if by[n][0] is None else None), []).append((-sum(by[k][5] for k in way), -len(way), n, way))
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    for branches in (1, 3):
+        want = {(by[n][0], n, -score, tuple(f"t{k}" for k in way)) for own in leaves.values() for score, _, n, way in sorted(own)[:branches]}
+        got = {(r.tree, r.leaf, r.path_score, tuple(t for _, t in chat.read_turns(r.formatted))) for r in chat.format_reply_trees(df, branches).collect()}
+        assert got == want
