@@ -11,22 +11,24 @@ There is no shuffle: a block is made of consecutive rows of a partition, so a ta
 large the input. Sequence ids carry the partition's number in their upper bits, the same on every retry.
 
 Edge cases: a null or empty text is the closing id alone; long texts span many sequences; repeated rows are packed each;
-an empty table gives an empty result; other columns are ignored. Special strings in a text are single ids.
+an empty table gives an empty result; other columns are ignored. Strings of added tokens in a text are single ids.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
 import heapq
+import itertools
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from columnloom.llm.common import pieces, to_batch
 
@@ -35,42 +37,79 @@ CAPACITY = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
 BLOCK_TOKENS = 4_000_000
 CLOSING_ID = 1
-#: The fixed pre-token pattern of the vocabulary, as its own description gives it, and its special string.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-CACHE_WORDS = 400_000
+#: Words in a worker's cache, and the length of one in characters; longer ones are encoded each time.
+CACHE_WORDS, CACHED_LENGTH = 400_000, 64
+#: A single space between words, which starts a pre-token whatever stands around it.
+_GAP = re.compile(r"(?<=\S) (?=\S)")
+#: Letters and the signs behind them are a pre-token each.
+_SIGNED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: its own if it has a printed form, else one of those from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = itertools.count(256)
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
 
 
 class _Units(dict):
-    """Little-endian ids of a word behind ``mark``."""
+    """Little-endian ids of a word behind ``mark``. A full cache starts anew, but what it held is still looked up once more."""
 
     def __init__(self, mark: str, encode) -> None:
-        self.mark, self.encode = mark, encode
+        self.mark, self.encode, self.before = mark, encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = np.array(self.encode(self.mark + word), "<u4").tobytes()
+        value = self.before.get(word)
+        if value is None:
+            value = self.encode(self.mark, word)
+        if len(word) <= CACHED_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.before = dict(self)
+                self.clear()
+            self[word] = value
         return value
 
 
 class ByteBpe:
-    """Ids of whole texts. Words that single spaces or line ends part are independent, so they come from a cache."""
+    """Ids of whole texts, as the tokenizers library gives them. Words that single spaces or line ends part are
+    independent, so they come from a cache; what holds other white space goes to the library, up to the next single space.
+    """
 
     #: What breaks that: two such separators in a row, or other white space.
     UNEVEN = ("  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 
-    def __init__(self, ranks_path: str) -> None:
-        with open(ranks_path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.library = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.spaced, self.first = (_Units(mark, self.library.encode_ordinary) for mark in (" ", ""))
+    def __init__(self, path: str) -> None:
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model, self.letters = self.library.model, _byte_letters()
+        # Strings of the vocabulary's own added tokens are single ids wherever they stand.
+        added = {t.content: k for k, t in self.library.get_added_tokens_decoder().items()}
+        self.added = {text: self._bytes([k]) for text, k in added.items()}
+        self.parts = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
+        self.spaced, self.first = (_Units(mark, self._encode) for mark in (" ", ""))
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _encode(self, mark: str, word: str) -> bytes:
+        """Letters alone are one pre-token, which the library's model splits; anything else takes the library's whole way."""
+        if word.isalpha():
+            return self._bytes([t.id for t in self.model.tokenize("".join([self.letters[b] for b in (mark + word).encode()]))])
+        signed = _SIGNED.fullmatch(word)
+        if signed and signed[1].isalpha():
+            return (self.spaced if mark else self.first)[signed[1]] + self.first[signed[2]]
+        return self._bytes(self.library.encode(mark + word, add_special_tokens=False).ids)
 
     def _segment(self, text: str) -> bytes:
         if not text:
             return b""
         if text[0].isspace() or text[-1].isspace() or any(x in text for x in self.UNEVEN):
-            return np.array(self.library.encode_ordinary(text), "<u4").tobytes()
+            first, *rest = _GAP.split(text)
+            return b"".join([self.first[first], *map(self.spaced.__getitem__, rest)])
         out: list[bytes] = []
         for line in text.split("\n"):
             words = line.split(" ")
@@ -79,9 +118,9 @@ class ByteBpe:
         return b"".join(out[1:])
 
     def encode(self, text: str) -> bytes:
-        if SPECIAL not in text:
+        if self.parts is None or not any(t in text for t in self.added):
             return self._segment(text)
-        return np.array([SPECIAL_ID], "<u4").tobytes().join([self._segment(x) for x in text.split(SPECIAL)])
+        return b"".join([self.added[x] if k % 2 else self._segment(x) for k, x in enumerate(self.parts.split(text))])
 
 
 @functools.lru_cache(maxsize=2)
@@ -133,12 +172,12 @@ def plan_block(lengths: list[int], capacity: int = CAPACITY) -> Iterator[tuple[i
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, block_tokens: int = BLOCK_TOKENS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, block_tokens: int = BLOCK_TOKENS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, on request, ids."""
     schema = _SCHEMA.append(pa.field("ids", pa.list_(pa.int64()))) if with_ids else _SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, closing = encoder(ranks_path), np.array([CLOSING_ID], "<u4").tobytes()
+        bpe, closing = encoder(tokenizer_path), np.array([CLOSING_ID], "<u4").tobytes()
         base, held, ids, size = TaskContext.get().partitionId() << 36, [], [], 0
 
         def packed() -> pa.RecordBatch:

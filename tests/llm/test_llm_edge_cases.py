@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from columnloom.llm import bpe, chat, exact_dedup, html_extract, language_id, near_embeddings, ngram_join, packing, token_counts, toxicity
 
-WORD, BYTES, RANKS, PIECES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+WORD, BYTES, PIECES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 TEXTS = [
     (1, "the cat sat on the mat and the dog lay by the door", "en"), (2, "THE CAT sat on the mat and the dog lay by the door", "en"), (3, None, "en"), (4, "", None), (5, "  \n\t ", "fr"),
     (6, "le chat est sur le tapis et le chien dort près de la porte", "fr"), (6, "le chat est sur le tapis et le chien dort près de la porte", "fr"), (None, "no id here at all my friend", "en"),
@@ -82,8 +82,8 @@ def test_language_without_letters(docs):
 
 
 def test_packing(docs):
-    rows = packing.pack_documents(docs, RANKS, with_ids=True).collect()
-    assert packing.pack_documents(docs.limit(0), RANKS).count() == 0
+    rows = packing.pack_documents(docs, BYTES, with_ids=True).collect()
+    assert packing.pack_documents(docs.limit(0), BYTES).count() == 0
     by = {}
     for r in rows:
         by.setdefault(r.sequence_id, []).append(r)

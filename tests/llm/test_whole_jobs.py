@@ -2,13 +2,16 @@
 
 import collections
 import math
+import random
 import time
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from columnloom.llm import chat, common, exact_dedup, html_extract, language_id, near_embeddings, ngram_join
+from columnloom.llm import chat, common, exact_dedup, html_extract, language_id, near_embeddings, ngram_join, packing
 
 
 def unit(x):
@@ -300,3 +303,14 @@ def test_scored_branches(spark):
         want = {(by[n][0], n, -score, tuple(f"t{k}" for k in way)) for own in leaves.values() for score, _, n, way in sorted(own)[:branches]}
         got = {(r.tree, r.leaf, r.path_score, tuple(t for _, t in chat.read_turns(r.formatted))) for r in chat.format_reply_trees(df, branches).collect()}
         assert got == want
+
+
+def test_byte_ids_of_odd_texts():
+    """Ids of texts with any white space, signs and added tokens, against the library on whole texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = packing.ByteBpe(path), Tokenizer.from_file(path)
+    draw = random.Random(4)
+    units = [" ", " ", " ", "\n", "  ", "\t", "\r\n", "\u00a0", "\x1c", "\u2028", "\u3000", "a", "it's", "'ll", "Word", "12", "3456", "...", "!?", "é", "日本", "👍🏽", "\u0301", "<|endoftext|>", "<|end", "x" * 90, "_", "\x85", "\x00"]
+    for _ in range(20_000):
+        text = "".join(draw.choices(units, k=draw.randint(0, 14)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
