@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from columnloom.functions.text import NO_DESCRIPTION, REFER_TO_TABLE, column_id, profile_type
 
-SAMPLES, HEAD_ROWS = 3, 5
+SAMPLES, HEAD_ROWS, FIRST_ROWS = 3, 5, 1000
 
 
 def _text(df: DataFrame, name: str, kind: str):
@@ -31,19 +31,45 @@ def schema_inventory(df: DataFrame, source_id: str, table_name: str) -> DataFram
     return df.sparkSession.createDataFrame([(source_id, table_name, df.columns)], "source_id string, table_name string, columns array<string>")
 
 
-def profile_samples(df: DataFrame, source_id: str, table_name: str, order_by: list[str], k: int = SAMPLES, head: int | None = None) -> DataFrame:
+#: What a value must look like for its column to be of a type, tried in this order.
+_SHAPES = [("bool", r"^(True|False|TRUE|FALSE|true|false)$"), ("int64", r"^[+-]?[0-9]+$"), ("float64", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(NaN|nan|inf|Infinity)$")]
+
+
+def profile_head_types(df: DataFrame, source_id: str, table_name: str, order_by: list[str], head: int = HEAD_ROWS) -> DataFrame:
+    """source_id, table_name, column_name, ordinal, data_type, inferred from the text of the first rows alone.
+
+    Whole numbers beside a missing value are float64, and so is a column without any value; whatever fits no shape is str.
+    """
+    first = df.orderBy(*order_by).limit(head)
+    cells = first.select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])).alias("ordinal", "value"))
+    fits = [F.coalesce(F.bool_and(F.col("value").rlike(shape)), F.lit(True)).alias(kind) for kind, shape in _SHAPES]
+    seen = cells.groupBy("ordinal").agg(F.count("value").alias("n"), F.count(F.lit(1)).alias("rows"), *fits)
+    kind = (
+        F.when(F.col("n") == 0, "float64").when(F.col("bool") & (F.col("n") == F.col("rows")), "bool")
+        .when(F.col("int64"), F.when(F.col("n") == F.col("rows"), "int64").otherwise("float64")).when(F.col("float64"), "float64").otherwise("str")
+    )
+    names = profile_types(df, source_id, table_name).drop("data_type")
+    return names.join(F.broadcast(seen.select("ordinal", kind.alias("data_type"))), "ordinal", "left").select("source_id", "table_name", "column_name", "ordinal", F.coalesce("data_type", F.lit("float64")).alias("data_type"))
+
+
+def profile_samples(df: DataFrame, source_id: str, table_name: str, order_by: list[str], k: int = SAMPLES, head: int | None = None, first: int = FIRST_ROWS) -> DataFrame:
     """source_id, table_name, column_name, ordinal, samples: the first k non-null values, duplicates kept.
 
-    ``head`` restricts the search to the first rows. The row numbers are limited to k per column before the shuffle
-    (a window group limit), so what moves is k values per column and task.
+    ``head`` restricts the search to the first rows. Nearly every column has its samples among the ``first`` rows, which
+    one scan takes without sorting the table; only for the columns that have not, a scan of that column alone follows.
     """
-    kinds = dict(df.dtypes)
-    rows = df.orderBy(*order_by).limit(head) if head else df
-    position = F.struct(*[F.col(c) for c in order_by])
-    rows = rows.select(position.alias("__at"), *[_text(df, c, kinds[c]).alias(f"c{i}") for i, c in enumerate(df.columns)])
-    long = rows.select("__at", F.posexplode(F.array(*[f"c{i}" for i in range(len(df.columns))])).alias("ordinal", "value")).where("value IS NOT NULL")
-    first = Window.partitionBy("ordinal").orderBy("__at")
-    kept = long.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)  # a group limit before the shuffle
+    kinds, at = dict(df.dtypes), F.struct(*[F.col(c) for c in order_by])
+    text = [_text(df, c, kinds[c]).alias(f"c{i}") for i, c in enumerate(df.columns)]
+    rows = df.orderBy(*order_by).limit(head or first).select(at.alias("__at"), *text)
+    cells = rows.select("__at", F.posexplode(F.array(*[f"c{i}" for i in range(len(df.columns))])).alias("ordinal", "value"))
+    if head is None:
+        known = cells.groupBy("ordinal").agg(F.count("value").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+        for r in known:
+            if r.n < k and r.rows >= first:
+                more = df.select(at.alias("__at"), text[r.ordinal].alias("value")).where("value IS NOT NULL").orderBy("__at").limit(k)
+                cells = cells.where(F.col("ordinal") != r.ordinal).unionByName(more.select("__at", F.lit(r.ordinal).alias("ordinal"), "value"))
+    place = Window.partitionBy("ordinal").orderBy("__at")
+    kept = cells.where("value IS NOT NULL").withColumn("n", F.row_number().over(place)).where(F.col("n") <= k)
     found = kept.groupBy("ordinal").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "value"))), lambda s: s["value"]).alias("samples"))
     names = profile_types(df, source_id, table_name).drop("data_type")
     return names.join(F.broadcast(found), "ordinal", "left").select("source_id", "table_name", "column_name", "ordinal", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,13 +41,40 @@ def invented_ids(responses: DataFrame, known: DataFrame) -> DataFrame:
     return named.join(known, ["response_id", "column_id"], "left_anti")
 
 
+#: Answers that one task scans for a domain's ids.
+SCAN_ROWS = 2000
+
+
 def mention_pairs(responses: DataFrame, columns: DataFrame) -> DataFrame:
     """domain_id, col_a, col_b: another source's column whose id occurs anywhere in the answer about a column.
 
-    Occurrence is a substring test, so an id that begins another is found in it. The join is within a domain.
+    Occurrence is a substring test, so an id that begins another is found in it. A domain's answers are dealt into parts
+    of about ``SCAN_ROWS``; each part meets the domain's ids once and is scanned for all of them together, by looking up
+    the text's pieces of every length that an id has.
     ``responses``: domain_id, column_id, source_id, response. ``columns``: domain_id, column_id, source_id.
     """
-    r, c = responses.alias("r"), columns.alias("c")
-    on = (F.col("r.domain_id") == F.col("c.domain_id")) & (F.col("r.source_id") != F.col("c.source_id")) & (F.instr(F.col("r.response"), F.col("c.column_id")) > 0)
-    low, high = pair(F.col("r.column_id"), F.col("c.column_id"))
-    return r.join(c, on).select(F.col("r.domain_id").alias("domain_id"), low.alias("col_a"), high.alias("col_b")).distinct()
+    asked = responses.select("domain_id", "column_id", "source_id", "response").where("response IS NOT NULL AND domain_id IS NOT NULL")
+    parts = asked.groupBy("domain_id").agg(F.ceil(F.count(F.lit(1)) / SCAN_ROWS).cast("int").alias("parts"))
+    dealt = asked.join(parts, "domain_id").withColumn("part", F.pmod(F.xxhash64("column_id", "response"), F.col("parts")).cast("int"))
+    named = columns.select(F.col("domain_id").alias("domain"), F.col("column_id").alias("known_id"), F.col("source_id").alias("known_source")).distinct()
+    times = parts.select(F.col("domain_id").alias("domain"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("piece"))
+    ids = named.join(times, "domain")
+
+    def scan(said: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        sources: dict[str, set] = {}
+        for other, source in zip(known["known_id"], known["known_source"], strict=True):
+            if other is not None:
+                sources.setdefault(other, set()).add(source)
+        lengths = sorted({len(x) for x in sources})
+        found = set()
+        for own, source, text in zip(said["column_id"], said["source_id"], said["response"], strict=True):
+            for n in lengths:
+                for at in range(len(text) - n + 1):
+                    other = text[at : at + n]
+                    if other in sources and any(s is not None and source is not None and s != source for s in sources[other]):
+                        found.add((said["domain_id"].iloc[0], own, other))
+        return pd.DataFrame(sorted(found, key=str), columns=["domain_id", "a", "b"])
+
+    pairs = dealt.groupBy("domain_id", "part").cogroup(ids.groupBy("domain", "piece")).applyInPandas(scan, "domain_id string, a string, b string")
+    low, high = pair(F.col("a"), F.col("b"))
+    return pairs.select("domain_id", low.alias("col_a"), high.alias("col_b")).distinct()

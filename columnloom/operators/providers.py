@@ -7,6 +7,7 @@ n-grams. Errors come back in a ``status`` column and never as a description.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from columnloom.functions.text import json_object
 from columnloom.operators.catalog import uncertain_split
 
 #: Rows of one call.
@@ -49,6 +51,26 @@ class TemplateCompletion:
         return out
 
 
+class InventoryCompletion:
+    """Describes a source or a table by what the JSON behind the last line break of its prompt lists."""
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        out = []
+        for prompt in prompts:
+            items = json.loads(prompt.rsplit("\n", 1)[-1] or "[]")
+            names = [x.get("table_name") or x.get("column_name") for x in items]
+            what = "tables" if any("table_name" in x for x in items) else "columns"
+            out.append(f"Holds the {what} {', '.join(names)}." if names else "Uncertain")
+        return out
+
+
+class NoExtraction:
+    """The offline default: nothing is extracted from texts."""
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        return ["{}"] * len(prompts)
+
+
 class HashingEmbedding:
     """Signed hashing of character n-grams with sublinear counts, length 1. Its scores are not an encoder's."""
 
@@ -115,3 +137,23 @@ def embed(rows: DataFrame, text: str, provider: EmbeddingProvider, name: str = "
 
 def column_prompts(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("prompt", F.concat_ws("\t", "column_name", "data_type", F.to_json("samples")))
+
+
+#: What an answer about a text may hold.
+EXTRACTED = "entities array<struct<name:string,type:string,description:string>>, relations array<struct<src:string,tgt:string,description:string,keywords:string,weight:double>>"
+
+
+def extract(docs: DataFrame, text: str, provider: CompletionProvider | None = None, batch: int = BATCH) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges that a provider finds in texts, in the shape of the graph's own tables.
+
+    ``docs``: source_id and the text. Answers are JSON objects, perhaps with words around; others, and failed calls, give
+    nothing. A relation whose ends are not both among the extracted entities of its text is left out.
+    """
+    answers = complete(docs.select("source_id", F.col(text).alias("prompt")), "prompt", provider or NoExtraction(), batch)
+    read = answers.where("status = 'ok'").select("source_id", json_object(F.col("answer"), EXTRACTED).alias("found")).where("found IS NOT NULL")
+    nodes = read.select("source_id", F.explode("found.entities").alias("e")).where("e.name IS NOT NULL")
+    nodes = nodes.groupBy(F.col("e.name").alias("node_id")).agg(F.min("e.type").alias("node_type"), F.min("e.description").alias("description"), F.min("source_id").alias("source_id"))
+    known = F.transform("found.entities", lambda e: e["name"])
+    edges = read.select("source_id", known.alias("known"), F.explode("found.relations").alias("r")).where(F.array_contains("known", F.col("r.src")) & F.array_contains("known", F.col("r.tgt")))
+    edges = edges.select(F.col("r.src").alias("src_id"), F.col("r.tgt").alias("tgt_id"), F.coalesce("r.keywords", F.lit("")).alias("keywords"), F.coalesce("r.weight", F.lit(1.0)).alias("weight"), F.col("r.description").alias("description"), "source_id")
+    return nodes, edges.dropDuplicates(["src_id", "tgt_id", "keywords"])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from columnloom.functions.text import BLOCK_SEPARATOR, list_literal
 
 
+# The wordings of the texts below, which prepared texts made elsewhere carry too.
+
+
 def source_text(sources: DataFrame) -> DataFrame:
     """source_id, text from (source_id, description, tables array<string>)."""
     return sources.select("source_id", F.concat(F.coalesce("description", F.lit("")), F.lit(" Tables: "), F.array_join("tables", ", ")).alias("text"))
@@ -46,21 +49,54 @@ def batches(docs: DataFrame, order: str, text: str, size: int = 10, separator: s
     return placed.groupBy(*keys, "batch_no").agg(F.count(F.lit(1)).alias("n_docs"), _ordered("__n", F.col(text), separator).alias("text"))
 
 
-def numbered(df: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
+#: Rows of a part when a table is numbered, bounds of one level of its search, and sampled keys per part.
+PART_ROWS, WIDTH, KEYS = 250_000, 128, 20
+
+
+def _bounds(df: DataFrame, key: Column, parts: int, total: int) -> list[str]:
+    """Keys, as JSON, that cut ``df`` into about ``parts`` even parts; from a sample that Spark sorts."""
+    drawn = df.select(key.alias("k")).sample(min(1.0, KEYS * parts / max(1, total)), seed=7).orderBy("k")
+    keys = [r[0] for r in drawn.select(F.to_json(F.struct("k"))).collect()]
+    if len(keys) < 2 * parts:
+        return []
+    chosen = [keys[len(keys) * n // parts] for n in range(1, parts)]
+    return [k for n, k in enumerate(chosen) if not n or k != chosen[n - 1]]
+
+
+def _part(key: Column, kind: str, bounds: list[str]) -> Column:
+    """How many bounds are not above the key, in two steps of about ``WIDTH`` comparisons; the bounds are one constant."""
+
+    def below(held: Column) -> Column:
+        return F.size(F.filter(held, lambda b: b["k"] <= key))
+
+    if not bounds:
+        return F.lit(0)
+    whole = f"array<struct<k:{kind}>>"
+    if len(bounds) <= WIDTH:
+        return below(F.from_json(F.lit(f"[{','.join(bounds)}]"), whole))
+    step = -(-len(bounds) // WIDTH)
+    blocks = [bounds[n : n + step] for n in range(0, len(bounds), step)]
+    block = F.greatest(below(F.from_json(F.lit(f"[{','.join(b[0] for b in blocks)}]"), whole)), F.lit(1))
+    inner = F.from_json(F.lit("[" + ",".join(f"[{','.join(b)}]" for b in blocks) + "]"), f"array<{whole}>")
+    return (block - 1) * step + below(F.element_at(inner, block))
+
+
+def numbered(df: DataFrame, order: str, name: str, part_rows: int = PART_ROWS) -> DataFrame:
     """Positions from 0 in a global order, nulls first, with no task that sees all rows.
 
-    The order is cut at bounds from a sample of about 50 keys per part. The bounds are constants of the plan, so a part
-    holds the same rows whenever it is computed again. A row's position is its rank in its part plus the sizes of the
-    parts before.
+    The order is the column and, among equal values, a hash of the whole row, so that rows of one value still part (equal
+    rows do not, as any order of theirs is right). It is cut at bounds from a sample, one part for ``part_rows`` rows, up
+    to ``WIDTH`` squared parts. The bounds are constants of the plan, so a part holds the same rows whenever it is computed
+    again. A row's position is its rank in its part plus the sizes of the parts before.
     """
     total = df.count()
-    keys = sorted(r[0] for r in df.select(order).where(F.col(order).isNotNull()).sample(min(1.0, 50 * parts / max(1, total)), seed=7).collect())
-    bounds = sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if len(keys) > 2 * parts else []
-    part = sum((F.coalesce(F.col(order) >= F.lit(b), F.lit(False)).cast("int") for b in bounds), F.lit(0))
-    cut = df.withColumn("__p", part)
+    parts = min(WIDTH * WIDTH, max(1, -(-total // part_rows)))
+    key = F.struct(F.col(order).alias("o"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h"))
+    kind = f"struct<o:{df.select(order).schema[0].dataType.simpleString()},h:bigint>"
+    cut = df.withColumn("__p", _part(key, kind, _bounds(df, key, parts, total) if parts > 1 else []))
     sizes = cut.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))  # one row per part
     before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.select("__p", before.alias("__s")))
+    starts = F.broadcast(sizes.select("__p", before.alias("__s")))  # as many rows as parts
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
     return cut.withColumn("__i", inside).join(starts, "__p").withColumn(name, F.col("__s") + F.col("__i")).drop("__p", "__i", "__s")
 

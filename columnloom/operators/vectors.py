@@ -7,7 +7,7 @@ so spreads over many tasks however uneven the domains are.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -95,6 +95,37 @@ def topk_similar(columns: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Questions are shared with every task, so their number is checked.
+MAX_QUESTIONS = 10_000
+
+
+def nearest(questions: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """question_id, node_id, score: each question's k nearest nodes by cosine; ties by id.
+
+    ``questions``: question_id, vector, at most ``MAX_QUESTIONS``; ``nodes``: node_id, vector. Every task keeps k nodes a
+    question of each batch, so what moves does not grow with the nodes' number in a batch.
+    """
+    asked = questions.where("vector IS NOT NULL").select("question_id", "vector").limit(MAX_QUESTIONS + 1).collect()
+    if len(asked) > MAX_QUESTIONS:
+        raise ValueError(f"more than {MAX_QUESTIONS} questions at once")
+    shared = questions.sparkSession.sparkContext.broadcast(([r.question_id for r in asked], unit_rows([r.vector for r in asked]) if asked else None))
+
+    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, unit = shared.value
+        for part in parts:
+            part = part.sort_values("node_id", kind="stable")
+            if not len(part) or not names:
+                continue
+            scores = np.round(unit @ unit_rows(part["vector"].tolist()).T, 6)
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            ids = part["node_id"].to_numpy()
+            yield pd.DataFrame({"question_id": np.repeat(names, top.shape[1]), "node_id": ids[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
+
+    found = nodes.where("vector IS NOT NULL").select("node_id", "vector").mapInPandas(best, "question_id string, node_id string, score double")
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "node_id")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+
+
 def canonical_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct (col_a, col_b) with the smaller id first."""
     low, high = pair(F.col(a), F.col(b))

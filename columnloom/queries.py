@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from columnloom.operators import candidates, catalog, cluster, evaluate, graph, parse, text, vectors
+from columnloom.operators import candidates, catalog, cluster, evaluate, graph, parse, providers, text, vectors
+from columnloom.plans import alignment
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -116,9 +117,23 @@ def profile_types(spark, d):
     return _types(spark, d)
 
 
-@query(_TYPES_SQL)
+_INT, _FLOAT = "[+-]?[0-9]+", "[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?(NaN|nan|inf|Infinity)"
+
+
+def _fits(shape: str) -> str:
+    return f"coalesce(bool_and(regexp_full_match(x, '{shape}')), true)"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{s}' AS source_id, '{t}' AS table_name, '{c}' AS column_name, {i} AS ordinal, CASE WHEN count(x) = 0 THEN 'float64' WHEN {_fits('(?i:true|false)')} AND count(x) = count(*) THEN 'bool' "
+        f"WHEN {_fits(_INT)} THEN CASE WHEN count(x) = count(*) THEN 'int64' ELSE 'float64' END WHEN {_fits(_FLOAT)} THEN 'float64' ELSE 'str' END AS data_type "
+        f"FROM (SELECT CAST({c} AS VARCHAR) AS x FROM {t} ORDER BY {key} LIMIT 5)"
+        for s, t, c, i, _, key in _FLAT
+    )
+)
 def profile_head_types(spark, d):
-    return _each(spark, d, lambda df, s, t, k: catalog.profile_types(df.orderBy(k).limit(catalog.HEAD_ROWS), s, t))
+    return _each(spark, d, lambda df, s, t, k: catalog.profile_head_types(df, s, t, [k]))
 
 
 @query(_samples_sql())
@@ -295,13 +310,25 @@ def _similar(spark, d, threshold=SIMILAR):
     return vectors.similarity_join(_columns(spark, d), threshold)
 
 
+_THREE_SQL = "CAST(CAST(round(CAST(round(score, 6) AS DECIMAL(10, 6)), 3) AS DECIMAL(10, 3)) AS VARCHAR)"
+
+
 @query(f"""WITH {_COLUMNS_SQL}
-    SELECT id_a AS src_id, id_b AS tgt_id, 'similar_to' AS keywords, round(score, 6) AS weight, id_a || ' and ' || id_b || ' are semantically similar columns.' AS description, source_a AS source_id
+    SELECT id_a AS src_id, id_b AS tgt_id, 'similar_to, name_match' AS keywords, round(score, 6) AS weight, id_a || ' and ' || id_b || ' have similar column names (similarity: ' || {_THREE_SQL} || ').' AS description, source_a AS source_id
     FROM p WHERE score >= {SIMILAR}""")
 def similarity_edges(spark, d):
     return graph.similarity_edges(_similar(spark, d))
 
 
+@query(f"""WITH {_COLUMNS_SQL}
+    SELECT id_a AS src_id, id_b AS tgt_id, 'similar_to, semantic_match' AS keywords, round(score, 6) AS weight, id_a || ' and ' || id_b || ' are semantically similar columns (embedding similarity: ' || {_THREE_SQL}
+        || '). Both appear to represent similar concepts: ' || substr('Column ' || id_a || ' ' || repeat(id_a || ' ', 20), 1, 100) AS description, source_a AS source_id
+    FROM p WHERE score >= {SIMILAR}""")
+def similarity_edges_described(spark, d):
+    said = F.concat(F.lit("Column "), "column_id", F.lit(" "), F.repeat(F.concat("column_id", F.lit(" ")), 20))
+    return graph.similarity_edges(_similar(spark, d), _columns(spark, d).select("column_id", said.alias("description")))
+
+
 @query(f"""WITH {_COLUMNS_SQL}, sides AS (SELECT id_a AS column_id, id_b AS other_id, round(score, 6) AS score FROM p UNION ALL SELECT id_b, id_a, round(score, 6) FROM p)
     SELECT * FROM (SELECT column_id, other_id, score, CAST(row_number() OVER (PARTITION BY column_id ORDER BY score DESC, other_id) AS INT) AS rank FROM sides) WHERE rank <= 3""")
 def topk_similar(spark, d):
@@ -349,13 +376,35 @@ def best_cut(spark, d):
     return cluster.best_cut(reduce(DataFrame.unionByName, cuts), digits=6).select("threshold", "silhouette")
 
 
-@query()
+#: Average linkage as it is defined: at each step the two clusters with the lowest mean distance become one.
+_DOMAINS_SQL = f"""WITH RECURSIVE {_CENTRES_SQL},
+    d AS (SELECT a.label AS p, b.label AS q, greatest(0.0, least(2.0, 1 - list_cosine_similarity(a.e, b.e))) AS far FROM m a JOIN m b ON a.label <> b.label),
+    g(step, height, p, own) AS (
+        SELECT 0, CAST(-1 AS DOUBLE), label, label FROM m
+        UNION ALL
+        (WITH x AS (SELECT avg(far) AS far, a.own AS i, b.own AS j FROM g a JOIN g b ON a.own < b.own JOIN d ON d.p = a.p AND d.q = b.p GROUP BY a.own, b.own),
+              y AS (SELECT far, i, j FROM x ORDER BY far, i, j LIMIT 1)
+         SELECT g.step + 1, y.far, g.p, CASE WHEN g.own = y.j THEN y.i ELSE g.own END FROM g, y)
+    ),
+    t AS (SELECT unnest({cluster.threshold_sweep(*_SWEEP)}) AS threshold),
+    c AS (SELECT threshold, max(step) AS step FROM t, (SELECT DISTINCT step, height FROM g) WHERE height < threshold GROUP BY threshold),
+    l AS (SELECT threshold, p, own FROM c JOIN g USING (step)),
+    z AS (SELECT threshold, own, count(*) AS n FROM l GROUP BY ALL),
+    ok AS (SELECT threshold FROM z GROUP BY threshold HAVING count(*) >= 2 AND count(*) < sum(n) AND min(n) >= 2),
+    f AS (SELECT a.threshold, a.p, a.own, b.own AS other, avg(far) AS far FROM l a JOIN l b ON a.threshold = b.threshold JOIN d ON d.p = a.p AND d.q = b.p GROUP BY ALL),
+    w AS (SELECT threshold, p, max(CASE WHEN other = own THEN far END) AS a, min(CASE WHEN other <> own THEN far END) AS b FROM f GROUP BY ALL),
+    s AS (SELECT threshold, round(avg((b - a) / greatest(a, b)), 9) AS silhouette FROM w JOIN ok USING (threshold) GROUP BY threshold),
+    best AS (SELECT threshold FROM s ORDER BY silhouette DESC, threshold LIMIT 1),
+    assigned AS (SELECT 'all' AS universe, 'domain_' || (dense_rank() OVER (ORDER BY own) - 1) AS domain_id, 'source' || p AS source_id FROM l JOIN best USING (threshold))
+"""
+
+
+@query(f"{_DOMAINS_SQL} SELECT * FROM assigned")
 def domains(spark, d):
-    """Average linkage has no SQL form; tests compare it with a direct computation."""
     return cluster.domains(_centres(spark, d), cluster.threshold_sweep(*_SWEEP))
 
 
-@query()
+@query(f"{_DOMAINS_SQL} SELECT domain_id, list(source_id ORDER BY source_id) AS members FROM assigned GROUP BY domain_id")
 def cluster_members(spark, d):
     return cluster.cluster_members(cluster.domains(_centres(spark, d), cluster.threshold_sweep(*_SWEEP)))
 
@@ -457,23 +506,33 @@ def resume_pending(spark, d):
 
 # --- answers --------------------------------------------------------------------------------------------------------
 
-#: Answers with noise: bullets, both orientations, unknown ids, one source, two arrows, white space.
-_ANSWERS = [
-    ("domain_0", 1, "Here are the matches:\n- s1.t.a <-> s2.t.a\ns2.t.a <-> s1.t.a\n--s1.t.b<->s2.t.b.c  \n* s1.t.c <-> s2.t.c\ns1.t.a <-> s1.t.b"),
-    ("domain_0", 2, "s1.t.a <-> s3.t.x\ns1.t.a <-> s3.t.x <-> s1.t.b\ns1.t.zz <-> s3.t.x\n s3.t.y <-> s1.t.b\nnone"),
-    ("domain_1", 3, ""),
-    ("domain_1", 4, "   s8.t.q <-> s9.t.q \nS8.t.q <-> s9.t.q\n-s8.t.r- <-> -s9.t.q"),
-]
-_KNOWN = [(1, c) for c in ("s1.t.a", "s1.t.b", "s1.t.c", "s2.t.a", "s2.t.b.c")] + [(2, c) for c in ("s1.t.a", "s1.t.b", "s3.t.x", "s3.t.y")] + [(4, c) for c in ("s8.t.q", "s8.t.r", "s9.t.q")]
+#: An order is an answer about its lines' columns: a line names a column and the next, with noise of four kinds by line
+#: number; some lines say it the other way round as well. Columns with little discount are not known.
+_NOISE = [("- ", " <-> ", ""), ("", " <-> ", " "), ("* ", " <-> ", ""), ("--", "<->", "  ")]
 
 
-def _answers(spark):
-    return spark.createDataFrame(_ANSWERS, "domain_id string, response_id int, response string"), spark.createDataFrame(_KNOWN, "response_id int, column_id string")
+def _answers(spark, d):
+    """(domain_id, response_id, response) and (response_id, column_id)."""
+    own = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("."), "l_returnflag", F.lit("."), F.col("l_partkey").cast("string"))
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", own.alias("a"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "a", "l_extendedprice", "l_quantity")
+    rows = rows.withColumn("b", F.lead("a").over(w)).withColumn("place", F.row_number().over(w))
+    said = reduce(lambda c, k: c.when(F.col("l_linenumber") % 4 == k, F.concat(F.lit(_NOISE[k][0]), "a", F.lit(_NOISE[k][1]), "b", F.lit(_NOISE[k][2]))), range(4), F.when(F.col("b").isNull(), F.concat(F.lit("nothing means the same as "), "a")))
+    said = F.concat(said, F.when((F.col("l_quantity") > 25) & F.col("b").isNotNull(), F.concat(F.lit("\n"), "b", F.lit(" <-> "), "a")).otherwise(F.lit("")))
+    lines = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", said.alias("line")))), lambda x: x["line"]), "\n").alias("response"))
+    answers = lines.select(F.concat(F.lit("domain_"), (F.col("l_orderkey") % 7).cast("string")).alias("domain_id"), F.col("l_orderkey").alias("response_id"), "response")
+    return answers, rows.where("l_discount > 0.01").select(F.col("l_orderkey").alias("response_id"), F.col("a").alias("column_id"))
 
 
-_SPACE = "[\\s ]+"
+_SPACE = "[\\s ]+"
+_SAID_SQL = " ".join(f"WHEN l_linenumber % 4 = {k} THEN '{x}' || a || '{y}' || b || '{z}'" for k, (x, y, z) in enumerate(_NOISE))
 _PARSED_SQL = f"""
-    a AS (SELECT * FROM {_values(_ANSWERS, 'domain_id, response_id, response')}), k AS (SELECT * FROM {_values(_KNOWN, 'response_id, column_id')}),
+    i AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_discount, 's' || l_suppkey || '.' || l_returnflag || '.' || l_partkey AS a FROM lineitem),
+    j AS (SELECT *, lead(a) OVER w AS b, row_number() OVER w AS place FROM i WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, a, l_extendedprice, l_quantity)),
+    a AS (SELECT 'domain_' || (l_orderkey % 7) AS domain_id, l_orderkey AS response_id,
+                 string_agg(CASE WHEN b IS NULL THEN 'nothing means the same as ' || a {_SAID_SQL} END || CASE WHEN l_quantity > 25 AND b IS NOT NULL THEN chr(10) || b || ' <-> ' || a ELSE '' END, chr(10) ORDER BY place) AS response
+          FROM j GROUP BY l_orderkey),
+    k AS (SELECT l_orderkey AS response_id, a AS column_id FROM j WHERE l_discount > 0.01),
     l AS (SELECT domain_id, response_id, unnest(string_split(response, chr(10))) AS line, generate_subscripts(string_split(response, chr(10)), 1) AS line_no FROM a),
     q AS (SELECT domain_id, response_id, line_no, string_split(line, '<->') AS parts FROM l WHERE contains(line, '<->') AND len(string_split(line, '<->')) = 2),
     s AS (SELECT domain_id, response_id, line_no, regexp_replace(trim(regexp_replace(parts[1], '^{_SPACE}|{_SPACE}$', '', 'g'), '-'), '^{_SPACE}|{_SPACE}$', '', 'g') AS col_a,
@@ -486,7 +545,13 @@ _PARSED_SQL = f"""
         WHERE (response_id, col_a) IN (SELECT response_id, column_id FROM k) AND (response_id, col_b) IN (SELECT response_id, column_id FROM k) AND split_part(col_a, '.', 1) <> split_part(col_b, '.', 1))
     SELECT domain_id, response_id, col_a, col_b FROM v WHERE rn = 1""")
 def parse_matches(spark, d):
-    return parse.parse_matches(*_answers(spark))
+    return parse.parse_matches(*_answers(spark, d))
+
+
+@query(f"""WITH {_PARSED_SQL}, n AS (SELECT response_id, col_a AS column_id FROM s WHERE split_part(col_a, '.', 1) <> split_part(col_b, '.', 1) UNION SELECT response_id, col_b FROM s WHERE split_part(col_a, '.', 1) <> split_part(col_b, '.', 1))
+    SELECT * FROM n WHERE (response_id, column_id) NOT IN (SELECT response_id, column_id FROM k)""")
+def invented_ids(spark, d):
+    return parse.invented_ids(*_answers(spark, d))
 
 
 _MENTIONS_SQL = """
@@ -532,11 +597,12 @@ TRUTH, PREDICTED = (0.22, 0.32), 0.25
 
 
 def _split(spark, d):
-    """Truth, in two files, and predictions."""
-    pairs = _similar(spark, d, LINKED)
-    predicted = vectors.canonical_pairs(pairs.where(F.col("score") >= PREDICTED), "id_a", "id_b")
-    truth = vectors.canonical_pairs(pairs.where((F.col("score") >= TRUTH[0]) & (F.col("score") < TRUTH[1])), "id_a", "id_b")
-    return truth.withColumn("label", F.when(F.col("col_b") < "source5", F.lit("answer1")).otherwise(F.lit("answer2"))), predicted
+    """Truth, in two files, and predictions: two views of one table of pairs, which is scored and aggregated once."""
+    low, high = F.least("id_a", "id_b"), F.greatest("id_a", "id_b")
+    in_truth = (F.col("score") >= TRUTH[0]) & (F.col("score") < TRUTH[1])
+    flags = _similar(spark, d, LINKED).groupBy(low.alias("col_a"), high.alias("col_b")).agg(F.max(in_truth).alias("t"), F.max(F.col("score") >= PREDICTED).alias("p"))
+    label = F.when(F.col("col_b") < "source5", F.lit("answer1")).otherwise(F.lit("answer2"))
+    return flags.where("t").select("col_a", "col_b", label.alias("label")), flags.where("p").select("col_a", "col_b")
 
 
 _SPLIT_SQL = f"""{_COLUMNS_SQL},
@@ -589,3 +655,50 @@ def pairs_fn(spark, d):
 @query(f"WITH {_SPLIT_SQL} SELECT * FROM (SELECT col_a, col_b FROM t0 EXCEPT SELECT col_a, col_b FROM pr) ORDER BY col_a, col_b LIMIT 5")
 def fn_examples(spark, d):
     return evaluate.examples(evaluate.false_negatives(*_split(spark, d)))
+
+
+# --- enrichment, questions, retrieval -------------------------------------------------------------------------------
+
+
+@query("""SELECT r_name AS source_id, CASE WHEN length(r_name) >= 10 THEN r_name ELSE 'Holds the tables ' || string_agg(n_name, ', ' ORDER BY n_name) || '.' END AS description,
+    CASE WHEN length(r_name) >= 10 THEN 'given' ELSE 'ok' END AS status FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""")
+def source_enrichment(spark, d):
+    """A region is a source that its name describes if that is long enough; its nations are tables."""
+    rows = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    inventory = F.sort_array(F.collect_list(F.struct(F.col("n_name").alias("table_name"), F.array(F.lit("c_name")).alias("columns")))).alias("inventory")
+    sources = rows.groupBy(F.col("r_name").alias("source_id")).agg(inventory).withColumn("description", F.col("source_id")).withColumn("metadata", F.lit(None).cast("string"))
+    return alignment.enrich_sources(sources, providers.InventoryCompletion())
+
+
+@query(f"""WITH {_CUSTOMERS_SQL}, k AS (SELECT c_name, c_custkey FROM customer)
+    SELECT source_id, table_name, 'Holds the columns ' || string_agg(column_name, ', ' ORDER BY c_custkey) || '.' AS description, 'ok' AS status FROM c JOIN k ON c_name = column_name GROUP BY source_id, table_name""")
+def table_enrichment(spark, d):
+    return alignment.enrich_tables(_customers(spark, d), providers.InventoryCompletion())
+
+
+@query(f"""WITH {_CUSTOMERS_SQL} SELECT source_id AS domain_id, column_id, source_id, 'Which columns of other sources mean the same as ' || column_id || '? Name them by their full ids and say why.' || chr(10)
+    || 'Meaning: ' || description || chr(10) || 'Type: str' || chr(10) || 'Samples: ["' || description || '"]' AS prompt FROM c""")
+def column_questions(spark, d):
+    return alignment.column_questions(_customers(spark, d).withColumn("domain_id", F.col("source_id")))
+
+
+@query("""SELECT CASE WHEN n_name = 'CHINA' THEN (SELECT min(r_name) FROM region) ELSE r_name END AS domain_id, n_name AS source_id FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def proposed_domains(spark, d):
+    """Each region's answer proposes its nations as a domain, with words around, an unknown source and one of another's."""
+    nations, regions = _t(spark, d, "nation"), _t(spark, d, "region")
+    rows = regions.join(nations, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.collect_list("n_name").alias("names"))
+    domain = F.struct(F.col("r_name").alias("name"), F.concat("names", F.array(F.lit("ATLANTIS"), F.lit("CHINA"))).alias("sources"), F.lit("trade").alias("scope"))
+    answers = rows.select(F.concat(F.lit("Here is what I propose:\n"), F.to_json(F.struct(F.array(domain).alias("domains"))), F.lit("\nTell me if you need more.")).alias("answer"))
+    return alignment.proposed_domains(answers, nations.select(F.col("n_name").alias("source_id")))
+
+
+@query(f"""WITH {_CENTRES_SQL}, v AS (SELECT 'source' || label || '.t.c' || vec_id AS node_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    x AS (SELECT 'source' || m.label AS question_id, node_id, round(list_cosine_similarity(m.e, v.e), 6) AS score FROM m, v),
+    n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_id) AS place FROM x) WHERE place <= 5)
+    SELECT question_id, node_id, 0 AS hop, score FROM n
+    UNION ALL SELECT question_id, split_part(node_id, '.', 1) || '.t', 1, max(score) FROM n GROUP BY 1, 2""")
+def retrieved(spark, d):
+    """The five columns nearest each source's centre, and their tables."""
+    rows = _columns(spark, d)
+    edges = rows.select(F.col("column_id").alias("src_id"), F.concat("source_id", F.lit(".t")).alias("tgt_id"))
+    return alignment.retrieved(_centres(spark, d).select(F.col("source_id").alias("question_id"), "vector"), rows.select(F.col("column_id").alias("node_id"), "vector"), edges, k=5)

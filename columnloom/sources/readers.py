@@ -7,6 +7,7 @@ system layer and are sorted, as folders have no order.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +48,10 @@ def listed(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     return sorted((x.getPath().getName(), x.isDirectory()) for x in system.listStatus(at))
 
 
-def sources(spark: SparkSession, root: str, count: int = 18) -> list[str]:
-    """The folders source1 .. source{count} that exist, in numeric order."""
-    there = {name for name, folder in listed(spark, root) if folder}
-    return [s for s in (f"source{i}" for i in range(1, count + 1)) if s in there]
+def sources(spark: SparkSession, root: str, count: int | None = None) -> list[str]:
+    """The folders source1, source2, ... that exist, in numeric order; up to source{count} if given."""
+    numbers = sorted(int(name[6:]) for name, folder in listed(spark, root) if folder and re.fullmatch(r"source[1-9][0-9]*", name))
+    return [f"source{n}" for n in numbers if count is None or n <= count]
 
 
 def tables(spark: SparkSession, root: str, source: str) -> list[str]:
@@ -73,9 +74,15 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
         return []
 
 
-def csv_table(spark: SparkSession, path: str) -> DataFrame:
-    """The whole file with inferred types."""
-    return spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"')
+def csv_table(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """The whole file with inferred types. ``multi_line`` reads values with line ends, which makes each file one task.
+
+    Unless told, a scan looks for lines with an odd number of quotes, which only such values leave.
+    """
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+        multi_line = bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
+    return spark.read.csv(path, header=True, inferSchema=True, multiLine=multi_line, escape='"')
 
 
 def csv_head(spark: SparkSession, path: str, rows: int = 5) -> DataFrame:

@@ -19,7 +19,8 @@ def table_views(views: DataFrame, path: str) -> None:
 
 
 def column_views(views: DataFrame, path: str) -> None:
-    """One JSON object per table: column names to descriptions in catalog order."""
+    """One JSON object per table: column names to descriptions in catalog order; of a repeated name the last description."""
+    views = views.groupBy("source_id", "table_name", "column_name").agg(F.min("ordinal").alias("first"), F.max_by("description", "ordinal").alias("description")).withColumnRenamed("first", "ordinal")
     entries = F.sort_array(F.collect_list(F.struct("ordinal", "column_name", "description")))
     rows = views.groupBy("source_id", "table_name").agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["column_name"], e["description"]))).alias("columns"))
     _objects(rows, path, "source_id")

@@ -217,3 +217,126 @@ def test_uncertain_answers_escalate(spark):
     df = spark.createDataFrame([("a\tstr\t[]",), ("b\tstr\t[\"1\"]",)], "prompt string")
     tiers = {r.prompt[0]: r.tier for r in providers.two_tier(df, "prompt", providers.TemplateCompletion(), providers.TemplateCompletion(True)).collect()}
     assert tiers == {"a": "large", "b": "small"}
+
+
+def test_answers_with_noise(spark):
+    """Bullets, both orientations, unknown ids, one source, two arrows, white space."""
+    answers = [
+        ("domain_0", 1, "Here are the matches:\n- s1.t.a <-> s2.t.a\ns2.t.a <-> s1.t.a\n--s1.t.b<->s2.t.b.c  \n* s1.t.c <-> s2.t.c\ns1.t.a <-> s1.t.b"),
+        ("domain_0", 2, "s1.t.a <-> s3.t.x\ns1.t.a <-> s3.t.x <-> s1.t.b\ns1.t.zz <-> s3.t.x\n s3.t.y <-> s1.t.b\nnone"),
+        ("domain_1", 3, ""),
+        ("domain_1", 4, "   s8.t.q <-> s9.t.q \nS8.t.q <-> s9.t.q\n-s8.t.r- <-> -s9.t.q"),
+    ]
+    known = [(1, c) for c in ("s1.t.a", "s1.t.b", "s1.t.c", "s2.t.a", "s2.t.b.c")] + [(2, c) for c in ("s1.t.a", "s1.t.b", "s3.t.x", "s3.t.y")] + [(4, c) for c in ("s8.t.q", "s8.t.r", "s9.t.q")]
+    frames = spark.createDataFrame(answers, "domain_id string, response_id int, response string"), spark.createDataFrame(known, "response_id int, column_id string")
+    assert {tuple(r) for r in parse.parse_matches(*frames).collect()} == {("domain_0", 1, "s1.t.a", "s2.t.a"), ("domain_0", 1, "s1.t.b", "s2.t.b.c"), ("domain_0", 2, "s1.t.a", "s3.t.x"), ("domain_0", 2, "s3.t.y", "s1.t.b"), ("domain_1", 4, "s8.t.q", "s9.t.q")}
+    assert ("s1.t.zz") in {r.column_id for r in parse.invented_ids(*frames).collect()}
+
+
+def test_mentions_in_parts(spark, monkeypatch):
+    """Every part of a domain's answers meets every id; ids inside ids, of the own source and of other domains."""
+    monkeypatch.setattr(parse, "SCAN_ROWS", 3)
+    columns = [("d", f"s{k % 3}.t.c{k}", f"s{k % 3}") for k in range(20)] + [("e", "s7.t.c1", "s7")]
+    said = [("d", c, s, f"maybe s0.t.c12, s1.t.c1 or s7.t.c1 {c}") for d, c, s in columns if d == "d"] + [("d", "s0.t.c0", "s0", None)]
+    got = {tuple(r) for r in parse.mention_pairs(spark.createDataFrame(said, "domain_id string, column_id string, source_id string, response string"), spark.createDataFrame(columns, "domain_id string, column_id string, source_id string")).collect()}
+    want = set()
+    for d, c, s, text in said[:-1]:
+        want |= {(d, min(c, o), max(c, o)) for e, o, t in columns if e == d and t != s and o in text}
+    assert got == want and len(got) > 10
+
+
+def test_numbering_in_levels(spark, monkeypatch):
+    """Many parts, found in two steps; nulls, ties and equal rows."""
+    monkeypatch.setattr(text, "WIDTH", 8)
+    rows = [(None, 0)] * 3 + [((k * 7919) % 500, k) for k in range(3000)] + [(77, 1)] * 200
+    df = spark.createDataFrame(rows, "k long, v long")
+    got = text.numbered(df, "k", "n", part_rows=60).collect()
+    assert sorted(r.n for r in got) == list(range(len(rows)))
+    keys = [r.k for r in sorted(got, key=lambda r: r.n)]
+    assert keys == [None] * 3 + sorted(k for k, _ in rows if k is not None)
+    assert [r.n for r in text.numbered(df.where("k = 9"), "k", "n").orderBy("n").collect()] == list(range(6))
+    assert text.numbered(df.limit(0), "k", "n").count() == 0
+
+
+def test_samples_beyond_the_first_rows(spark):
+    rows = [(k, str(k) if k in (40, 45, 46, 60) else None, float(k), None) for k in range(100)]
+    df = spark.createDataFrame(rows, "k long, rare string, x double, never string")
+    got = {r.column_name: r.samples for r in catalog.profile_samples(df, "s", "t", ["k"], first=20).collect()}
+    assert got == {"k": ["0", "1", "2"], "rare": ["40", "45", "46"], "x": ["0.0", "1.0", "2.0"], "never": []}
+
+
+def test_types_of_first_rows(spark):
+    rows = [(k, "7" if k < 5 else "word", "1.5" if k != 2 else None, None, "3" if k != 1 else None, k % 2 == 0, "1e3", f"v{k}") for k in range(9)]
+    df = spark.createDataFrame(rows, "k long, late string, part string, none string, gap string, flag boolean, e string, s string")
+    got = {r.column_name: r.data_type for r in catalog.profile_head_types(df, "s", "t", ["k"]).collect()}
+    assert got == {"k": "int64", "late": "int64", "part": "float64", "none": "float64", "gap": "float64", "flag": "bool", "e": "float64", "s": "str"}
+
+
+class Answers:
+    def __init__(self, *answers):
+        self.answers = answers
+
+    def complete(self, prompts):
+        return [next((a for k, a in self.answers if k in p), "no idea") for p in prompts]
+
+
+class Late:
+    def complete(self, prompts):
+        raise TimeoutError("late")
+
+
+def test_extraction(spark):
+    docs = spark.createDataFrame([("s1", "about cranes"), ("s2", "about fish"), ("s2", "about nothing")], "source_id string, text string")
+    provider = Answers(
+        ("cranes", 'Found: {"entities": [{"name": "crane", "type": "THING", "description": "lifts"}, {"name": "quay", "type": "PLACE"}], "relations": [{"src": "crane", "tgt": "quay", "description": "stands on"}, {"src": "crane", "tgt": "moon"}]}'),
+        ("fish", '{"entities": [{"name": "fish"}, {"type": "x"}]}'),
+    )
+    nodes, edges = providers.extract(docs, "text", provider)
+    assert {(r.node_id, r.node_type, r.source_id) for r in nodes.collect()} == {("crane", "THING", "s1"), ("quay", "PLACE", "s1"), ("fish", None, "s2")}
+    assert [(r.src_id, r.tgt_id, r.weight, r.description) for r in edges.collect()] == [("crane", "quay", 1.0, "stands on")]
+    assert [t.count() for t in providers.extract(docs, "text")] == [0, 0] == [t.count() for t in providers.extract(docs, "text", Late())]
+
+
+def test_graph_store(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "X"), ("b", "X")], "node_id string, node_type string")
+    edges = spark.createDataFrame([("a", "b")], "src_id string, tgt_id string")
+    store = graph.GraphStore(spark, str(tmp_path), "domain_1")
+    assert not store.exists()
+    store.write(nodes, edges)
+    graph.GraphStore(spark, str(tmp_path), "domain_2").write(nodes.limit(1), edges.limit(0))
+    assert store.read()[0].count() == 2 and graph.indexed_domains(spark, str(tmp_path), ["domain_1", "domain_3"]) == ["domain_1"]
+    assert {(r.node_id, r.hop) for r in store.around(nodes.where("node_id = 'a'").select("node_id")).collect()} == {("a", 0), ("b", 1)}
+
+
+def test_enriched_sources_and_tables(spark):
+    rows = [("s1", "A usable description", None, [("t", ["a"])]), ("s2", "short", "{}", [("t", ["a"]), ("u", ["b"])]), ("s3", None, None, [])]
+    sources = spark.createDataFrame(rows, "source_id string, description string, metadata string, inventory array<struct<table_name:string,columns:array<string>>>")
+    got = {r.source_id: (r.description, r.status) for r in alignment.enrich_sources(sources, providers.InventoryCompletion()).collect()}
+    assert got == {"s1": ("A usable description", "given"), "s2": ("Holds the tables t, u.", "ok"), "s3": ("Uncertain", "ok")}
+    got = {r.source_id: (r.description, r.status) for r in alignment.enrich_sources(sources, Late()).collect()}
+    assert got["s1"][1] == "given" and got["s2"] == (None, "TimeoutError: late")
+    columns = spark.createDataFrame([("s1", "t", "a", 0, "int64", ["1"]), ("s1", "t", "b", 1, "str", [])], "source_id string, table_name string, column_name string, ordinal int, data_type string, samples array<string>")
+    assert [tuple(r) for r in alignment.enrich_tables(columns, providers.InventoryCompletion()).collect()] == [("s1", "t", "Holds the columns a, b.", "ok")]
+    assert alignment.enrich_tables(columns, Late()).first().description is None
+
+
+def test_questions_over_the_graph(spark):
+    nodes = spark.createDataFrame([("s1.t.a", "weight", [1.0, 0.0]), ("s2.t.a", "mass", [0.9, 0.1]), ("s3.t.z", "name", [0.0, 1.0]), ("s1.t", "table", None)], "node_id string, description string, vector array<double>")
+    edges = spark.createDataFrame([("s1.t.a", "s1.t")], "src_id string, tgt_id string")
+    asked = spark.createDataFrame([("q", "What is heavy?", [1.0, 0.0])], "question_id string, text string, vector array<double>")
+    got = {(r.node_id, r.hop, r.score) for r in alignment.retrieved(asked, nodes, edges, k=2).collect()}
+    assert got == {("s1.t.a", 0, 1.0), ("s2.t.a", 0, 0.993884), ("s1.t", 1, 1.0)}
+    provider = Answers(("s1.t.a: weight\ns2.t.a: mass\ns1.t: table\n\nWhat is heavy?", "both"))
+    assert [(r.answer, r.status) for r in alignment.answered(asked, nodes, edges, provider, k=2).collect()] == [("both", "ok")]
+    assert alignment.answered(asked, nodes, edges, Late(), k=2).first().answer is None
+    assert alignment.retrieved(asked.limit(0), nodes, edges, k=2).count() == 0
+
+
+def test_asking_for_domains_and_columns(spark):
+    texts = spark.createDataFrame([("s1", "cranes"), ("s2", "ships"), ("s3", "fish")], "source_id string, text string")
+    provider = Answers(("s1: cranes\ns2: ships\ns3: fish", 'So: {"domains": [{"name": "port", "sources": ["s1", "s2", "s9"]}, {"name": "food", "sources": ["s3", "s1"]}]} ok?'))
+    assert {tuple(r) for r in alignment.propose_domains(texts, provider).collect()} == {("port", "s2"), ("food", "s1"), ("food", "s3")}
+    assert alignment.propose_domains(texts, Late()).count() == 0 == alignment.propose_domains(texts, Answers()).count()
+    rows = [("d", f"s{k}.t.c", f"s{k}", "a weight", "float64", ["1.5"]) for k in range(3)]
+    columns = spark.createDataFrame(rows, "domain_id string, column_id string, source_id string, description string, data_type string, samples array<string>")
+    assert {tuple(r) for r in alignment.ask_columns(columns, Answers(("same as s0.t.c?", "s1.t.c, clearly"))).collect()} == {("d", "s0.t.c", "s1.t.c")}

@@ -1,11 +1,16 @@
 """Every query against its SQL on the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
 
 from columnloom.queries import ORACLES, QUERIES
 
+ROOT = Path(__file__).resolve().parents[1]
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 
@@ -44,3 +49,11 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("missing", ["tiktoken", "ahocorasick", "tokenizers", "public_tokenizers", "columnloom.llm"])
+def test_entry_without(missing):
+    """The alignment queries stay where something that only the training-data operators need can't be imported."""
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    found = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
+    assert int(found[0]) >= len(QUERIES) and int(found[1]) >= len(ORACLES)

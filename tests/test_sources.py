@@ -103,3 +103,23 @@ def test_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert [tuple(r) for r in spark.sql("SELECT * FROM found").collect()] == [("d", 1, "s1.a", "s2.b")]
+
+
+def test_values_with_line_ends(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,"two\nlines"\n2,"say ""so"""\n')
+    (tmp_path / "b.csv").write_text('k,v\n1,"say ""so"""\n')
+    assert [tuple(r) for r in readers.csv_table(spark, str(tmp_path / "a.csv")).collect()] == [(1, "two\nlines"), (2, 'say "so"')]
+    assert [tuple(r) for r in readers.csv_table(spark, str(tmp_path / "b.csv")).collect()] == [(1, 'say "so"')]
+
+
+def test_repeated_column_name(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "t", "a", 0, "first"), ("s", "t", "b", 1, "other"), ("s", "t", "a", 2, "last")], "source_id string, table_name string, column_name string, ordinal int, description string")
+    writers.column_views(rows, str(tmp_path / "views"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "views")).collect()] == ['{"table_name":"t","columns":{"a":"last","b":"other"}}']
+
+
+def test_all_sources(spark, tmp_path):
+    for name in ("source2", "source10", "source19", "source01", "other", "source3x"):
+        (tmp_path / name).mkdir()
+    assert readers.sources(spark, str(tmp_path)) == ["source2", "source10", "source19"]
+    assert readers.sources(spark, str(tmp_path), 10) == ["source2", "source10"]
