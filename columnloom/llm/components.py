@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from columnloom.llm.common import staged
+from columnloom.llm.common import discard, staged
 
 
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
@@ -26,23 +26,48 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
         roots = staged(ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), f"{name}-roots")
         moved = True
         while moved:
-            above = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            above, before = roots.select(F.col("node").alias("root"), F.col("root").alias("top")), roots
             roots = staged(roots.join(above, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), f"{name}-roots")
+            discard(before)
             moved = roots.where("moved").limit(1).count()
-        roots = roots.select("node", "root")
+        ids = roots.select("node", "root")
         if labels is None:
-            labels = roots.withColumnRenamed("root", "component")
+            labels = staged(ids.withColumnRenamed("root", "component"), f"{name}-labels")
         else:
-            merged = labels.join(roots.withColumnRenamed("node", "component"), "component", "left")
+            merged, before = labels.join(ids.withColumnRenamed("node", "component"), "component", "left"), labels
             labels = staged(merged.select("node", F.coalesce("root", "component").alias("component")), f"{name}-labels")
-        of_a, of_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-        met = left.join(of_a, "a").join(of_b, "b").where("root_a <> root_b")
+            discard(before)
+        of_a, of_b = (ids.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+        met, before = left.join(of_a, "a").join(of_b, "b").where("root_a <> root_b"), left
         left = staged(met.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), f"{name}-edges")
+        discard(before, roots)
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels
 
 
+def sure_links(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a distance to one pivot per component tells about links, without looking at pairs.
+
+    ``members``: component, rep, copies, x (long), such that two members surely link where their x add up to 0 or less.
+    Returns (rep, n), the copies of other members each one surely links with; (a, b), edges that connect whatever sure
+    links connect, all to the member of least x; and (component, rep, least, most): the members that have a pair of which
+    x doesn't tell. A component's values of x are counted first, so no task sees its members.
+    """
+    counts = members.groupBy("component", "x").agg(F.sum("copies").alias("c"))
+    none = F.lit(0).cast("long")
+    marks = counts.select("component", F.col("x").alias("at"), none.alias("asks"), "c").unionByName(counts.select("component", (-F.col("x")).alias("at"), none + 1, none).toDF("component", "at", "asks", "c"))
+    below = F.sum("c").over(Window.partitionBy("component").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    found = marks.withColumn("n", below).where("asks = 1").select("component", (-F.col("at")).alias("x"), "n")
+    own = F.when(F.col("x") <= 0, F.col("copies")).otherwise(0)
+    n = members.join(found, ["component", "x"]).select("rep", (F.col("n") - own).alias("n")).where("n > 0")
+    ends = members.groupBy("component").agg(F.min(F.struct("x", "rep")).alias("first"), F.max("x").alias("most"))
+    placed = members.join(ends, "component")
+    edges = placed.where((F.col("x") + F.col("first.x") <= 0) & (F.col("rep") != F.col("first.rep"))).select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))
+    unsure = placed.where(F.col("x") + F.col("most") > 0).select("component", "rep")
+    return n, edges, unsure
+
+
 def in_blocks(rows: DataFrame, key: str, item: str, size: str, block_rows: int) -> DataFrame:
     """``rows`` with columns ``i``, ``j``, ``side``, so that any two rows of a key meet in one (key, i, j).
 
@@ -61,6 +86,11 @@ def meeting(i: int, j: int, side: np.ndarray) -> np.ndarray | None:
     return None if i == j else side[:, None] != side[None, :]
 
 
+def across(side: np.ndarray) -> np.ndarray | None:
+    """Which pairs of a block of rows with sides count: None for all where there is one side, else those of unequal sides."""
+    return None if (side == side[0]).all() else side[:, None] != side[None, :]
+
+
 def grouped(df: DataFrame, *keys: str, then: str | None = None) -> DataFrame:
     """Rows of equal keys together: partitioned and sorted by them (and by ``then``), ready for :func:`runs`."""
     return df.repartition(*keys).sortWithinPartitions(*keys, *([then] if then else []))

@@ -7,11 +7,14 @@ words; a shorter text is one shingle) is at least ``THRESHOLD``.
    MinHash values. Documents with equal sets are one *class*, pre-aggregated, so copies are never paired.
 2. Classes meet in buckets of ``BAND`` MinHash values. With 24 bands of 4 a pair at 0.8 misses all with probability
    3e-6. Inside a bucket pairs compare their values ``STEP`` at a time and are dropped once the posterior probability of
-   reaching the threshold, from a uniform prior, is below ``TOLERANCE``. A bucket passes on a spanning forest of the pairs
-   that are left, not the pairs; buckets of more than ``BUCKET_ROWS`` classes are worked in blocks.
-3. The connected components of the forests hold every linked pair. Each component is verified exactly, in blocks, on
-   shingle sets recomputed from the texts; it yields each class's number of links and again a spanning forest, whose
-   components are the final groups.
+   reaching the threshold, from a uniform prior, is below ``TOLERANCE``. A bucket passes on edges that connect the pairs
+   that are left, not the pairs. A bucket of more than ``BUCKET_ROWS`` classes is dealt into parts that all meet its
+   pivot; classes that are a likely pair with it are connected through it, and only the others meet every part.
+3. The connected components hold every linked pair. Each is verified exactly on shingle sets recomputed from the texts,
+   and yields each class's number of links and edges that connect the links. A large component's texts move once, to
+   parts that hold its pivot: the symmetric difference is a metric, so what sets two classes apart from the pivot mostly
+   tells whether they link, which is counted without a pair. Only classes that have pairs of which it doesn't tell are
+   compared, in blocks, by their differences from the pivot alone.
 
 Edge cases: null, empty and white-space texts have no shingles and link with nothing; repeated rows are copies; ties in
 who stays go to the smallest doc_id, then row; an empty table gives an empty result; other columns are ignored by
@@ -32,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from columnloom.llm.common import drop_rows, fresh, keyed, pieces, small_side, staged, to_batch
-from columnloom.llm.components import connected_components, grouped, in_blocks, meeting, runs, spanning
+from columnloom.llm.components import across, connected_components, grouped, in_blocks, runs, spanning, sure_links
 
 WORDS, THRESHOLD = 5, 0.8
 HASHES, BAND, STEP, TOLERANCE = 96, 4, 16, 1e-5
-BUCKET_ROWS, VERIFY_ROWS = 512, 256
+#: Classes in a block of a bucket; classes and shingles of a component that is one block, or of a part of a larger one;
+#: classes and shingles of a part where differences are compared.
+BUCKET_ROWS, VERIFY_ROWS, VERIFY_SHINGLES, OPEN_ROWS, OPEN_SHINGLES = 512, 256, 1_000_000, 512, 1_000_000
 
 _U = np.uint64
 _draw = np.random.default_rng(20240501)
@@ -136,24 +141,48 @@ def likely_pairs(signatures: np.ndarray, allowed: np.ndarray | None, threshold:
     return a, b
 
 
-def jaccard_links(sets: list[np.ndarray], allowed: np.ndarray | None, threshold: float) -> np.ndarray:
-    """Boolean matrix of the pairs at or above the threshold, exactly."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the sizes of the sets' intersections; its diagonal and what no two sets share don't count."""
     n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner, shared = np.repeat(np.arange(n), sizes), counts[inverse] > 1
+    both = np.zeros((n, n), np.float64)
+    flat = np.concatenate(sets)
+    if not len(flat):
+        return both
+    _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(n), [len(s) for s in sets]), counts[inverse] > 1
     column = np.cumsum(counts > 1)[inverse][shared] - 1
     owner, width = owner[shared], int((counts > 1).sum())
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    both, step = np.zeros((n, n), np.float64), max(256, 4_000_000 // max(1, n))
+    step = max(256, 4_000_000 // max(1, n))
     for start in range(0, width, step):
         lo, hi = np.searchsorted(column, [start, start + step])
         part = np.zeros((n, min(step, width - start)), np.float32)
         part[owner[lo:hi], column[lo:hi] - start] = 1
         both += part @ part.T
+    return both
+
+
+def _ratio(threshold: float) -> tuple[int, int]:
+    """(p, q): sets of n and m elements link where q times their symmetric difference is at most p times n + m."""
     least = Fraction(str(threshold))
-    linked = both * (least.denominator + least.numerator) >= least.numerator * (sizes[:, None] + sizes[None, :])
+    return least.denominator - least.numerator, least.denominator + least.numerator
+
+
+def jaccard_links(sets: list[np.ndarray], allowed: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Boolean matrix of the pairs at or above the threshold, exactly."""
+    sizes, (p, q) = np.array([len(s) for s in sets], np.int64), _ratio(threshold)
+    total = sizes[:, None] + sizes[None, :]
+    linked = q * (total - 2 * overlaps(sets)) <= p * total
+    np.fill_diagonal(linked, False)
+    return linked & allowed if allowed is not None else linked
+
+
+def difference_links(parts: list[np.ndarray], sizes: np.ndarray, allowed: np.ndarray | None, threshold: float) -> np.ndarray:
+    """As :func:`jaccard_links`, for sets given by their symmetric differences from one set; pairs that these tell are left out."""
+    own, (p, q) = np.array([len(d) for d in parts], np.int64), _ratio(threshold)
+    total, sums = sizes[:, None] + sizes[None, :], own[:, None] + own[None, :]
+    linked = (q * (sums - 2 * overlaps(parts)) <= p * total) & (q * sums > p * total)
     np.fill_diagonal(linked, False)
     return linked & allowed if allowed is not None else linked
 
@@ -179,66 +208,186 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
     return rows.mapInArrow(run, "row_key long, doc_id long, n long, set_a long, set_b long, signature binary")
 
 
-def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): a spanning forest of each bucket's likely pairs."""
-    bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)), lambda k: F.substring("signature", k * (4 * BAND) + 1, 4 * BAND)))
-    rows = classes.select(F.col("rep"), bands.alias("band", "part")).select("rep", F.xxhash64("band", "part").alias("bucket"))
-    rows = staged(rows, "ngram-bands")
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = in_blocks(rows.join(shared, "bucket"), "bucket", "rep", "size", BUCKET_ROWS).drop("size")
-    members = members.join(classes.select("rep", "signature"), "rep").select("bucket", "i", "j", "rep", "side", "signature")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+
+
+def _likely(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(a, b): a spanning forest of the likely pairs of each run of (keys..., rep, side, signature), across sides if there are two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {"a": [], "b": []}
-        for block in runs(batches, 3):
+        for block in runs(batches, len(keys)):
             if block.num_rows > 1:
-                rep = block.column(3).to_numpy()
-                allowed = meeting(block.column(1)[0].as_py(), block.column(2)[0].as_py(), block.column(4).to_numpy())
-                marks = np.frombuffer(b"".join(block.column(5).to_pylist()), np.uint32).reshape(-1, HASHES)
-                for x, y in spanning(*likely_pairs(marks, allowed, threshold), len(rep)):
+                rep, side, marks = (block.column(len(keys) + c) for c in range(3))
+                rep = rep.to_numpy()
+                for x, y in spanning(*likely_pairs(_signatures(marks), across(side.to_numpy()), threshold), len(rep)):
                     out["a"].append(int(rep[x]))
                     out["b"].append(int(rep[y]))
             if len(out["a"]) > 10_000:
-                yield to_batch(out, schema)
+                yield to_batch(out, _EDGES)
                 out = {"a": [], "b": []}
-        yield to_batch(out, schema)
+        yield to_batch(out, _EDGES)
+
+    return grouped(rows.select(*keys, "rep", "side", "signature"), *keys, then="rep").mapInArrow(run, "a long, b long")
+
 
-    return grouped(members, "bucket", "i", "j", then="rep").mapInArrow(run, "a long, b long")
+def _around_pivots(rows: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, part, a, b): edges from the pivot of a large bucket to what is likely a pair with it, and between others.
+
+    ``rows``: bucket, part, rep, pivot, signature, the pivot in every part. Classes that are no likely pair with the pivot
+    are *far*, and come with b null: the pairs among the rest are connected already, those of far ones are looked for in
+    their part here, and in the other parts later.
+    """
+    schema = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in runs(batches, 2):
+            rep, pivot, marks = block.column(2).to_numpy(), block.column(3)[0].as_py(), _signatures(block.column(4))
+            centre = int(np.flatnonzero(rep == pivot)[0])
+            star = np.zeros((len(rep), len(rep)), bool)
+            star[centre] = star[:, centre] = True
+            near = np.zeros(len(rep), bool)
+            near[np.concatenate(likely_pairs(marks, star, threshold))] = True
+            near[centre] = True
+            far = np.flatnonzero(~near)
+            out = {"a": [pivot] * (int(near.sum()) - 1), "b": rep[near & (rep != pivot)].tolist()}
+            if len(far):
+                for x, y in spanning(*likely_pairs(marks, ~(near[:, None] & near[None, :]), threshold), len(rep)):
+                    out["a"].append(int(rep[x]))
+                    out["b"].append(int(rep[y]))
+                out["a"] += rep[far].tolist()
+                out["b"] += [None] * len(far)
+            n = len(out["a"])
+            yield to_batch({"bucket": [block.column(0)[0].as_py()] * n, "part": [block.column(1)[0].as_py()] * n, **out}, schema)
+
+    return grouped(rows.select("bucket", "part", "rep", "pivot", "signature"), "bucket", "part", then="rep").mapInArrow(run, "bucket long, part long, a long, b long")
+
+
+def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): edges that connect each bucket's likely pairs.
+
+    Small buckets are one block. In a large one every part meets the bucket's pivot, which connects the bulk of a group
+    of near copies in one pass; only its far classes are compared with every part.
+    """
+    bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)), lambda k: F.substring("signature", k * (4 * BAND) + 1, 4 * BAND)))
+    rows = classes.select(F.col("rep"), bands.alias("band", "part")).select("rep", F.xxhash64("band", "part").alias("bucket"))
+    rows = staged(rows, "ngram-bands")
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).where("size > 1")
+    marks = classes.select("rep", "signature")
+    small = rows.join(shared.where(F.col("size") <= BUCKET_ROWS).select("bucket"), "bucket").join(marks, "rep")
+    found = _likely(small.withColumn("side", F.lit(0)), ["bucket"], threshold)
+    n_parts = F.ceil(F.col("size") / BUCKET_ROWS)
+    large = staged(shared.where(F.col("size") > BUCKET_ROWS).select("bucket", "pivot", n_parts.alias("parts")), "ngram-large")
+    if not large.limit(1).count():
+        return found
+    dealt = rows.join(large, "bucket").where("rep <> pivot").withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
+    pivots = large.select("bucket", "pivot", F.col("pivot").alias("rep"), "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    every = dealt.select("bucket", "part", "rep", "pivot").unionByName(pivots.select("bucket", "part", "rep", "pivot"))
+    star = staged(_around_pivots(every.join(marks, "rep"), threshold), "ngram-star")
+    found = found.unionByName(star.where("b IS NOT NULL").select("a", "b"))
+    far = star.where("b IS NULL").select("bucket", "part", F.col("a").alias("rep"))
+    pieces_of = staged(far.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("pieces")).join(large, "bucket"), "ngram-far")
+    if not pieces_of.limit(1).count():
+        return found
+    left = far.join(pieces_of, "bucket").withColumn("piece", F.pmod(F.xxhash64("rep", F.lit(7)), "pieces")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    left = left.where("other <> part").select("bucket", F.col("other").alias("part"), "piece", "rep", F.lit(0).alias("side"))
+    right = dealt.join(pieces_of.select("bucket", "pieces"), "bucket").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    met = left.unionByName(right.select("bucket", "part", "piece", "rep", F.lit(1).alias("side")))
+    return found.unionByName(_likely(met.join(marks, "rep"), ["bucket", "part", "piece"], threshold))
+
+
+_FOUND = pa.schema([("component", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("apart", pa.int64()), ("difference", pa.binary())])
+_FOUND_SQL = "component long, a long, b long, n long, apart long, difference binary"
+
+
+def _linked_rows(rep: np.ndarray, copies: np.ndarray, linked: np.ndarray) -> Iterator[tuple]:
+    """(a, null, n): n links of class a; (a, b, 0): an edge of a spanning forest of the links."""
+    n = linked @ copies
+    for k in np.flatnonzero(n):
+        yield int(rep[k]), None, int(n[k])
+    for x, y in spanning(*np.nonzero(np.triu(linked | linked.T)), len(rep)):
+        yield int(rep[x]), int(rep[y]), 0
 
 
 def _verified(texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, n): n links of class a where b is null, else an edge of a spanning forest of the links.
+    """Links inside components, as (component, a, b, n, apart, difference).
 
-    ``texts``: component, size, rep, copies, text.
+    ``texts``: component, rep, copies, size, weight (shingles of the component), text. A small component is one block,
+    whose links come out as :func:`_linked_rows` gives them. A large one is dealt into parts that all hold the
+    component's smallest class, the pivot; each class comes out with its number of shingles, how many set it apart from
+    the pivot, and which.
+    """
+    parts = F.ceil(F.greatest(F.col("size") / VERIFY_ROWS, F.col("weight") / VERIFY_SHINGLES)).cast("long")
+    own = F.pmod(F.xxhash64("rep"), parts)
+    places = F.when(F.col("rep") == F.col("component"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(own))
+    rows = texts.withColumn("own", own).withColumn("parts", parts).withColumn("part", F.explode(places)).select("component", "part", "rep", "own", "parts", "copies", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            columns = dict(zip(_FOUND.names, zip(*out, strict=True), strict=True)) if out else {name: [] for name in _FOUND.names}
+            out.clear()
+            return to_batch({k: list(v) for k, v in columns.items()}, _FOUND)
+
+        for block in runs(batches, 2):
+            component, part, rep = block.column(0)[0].as_py(), block.column(1)[0].as_py(), block.column(2).to_numpy()
+            sets = shingle_sets(block.column(6).to_pylist())
+            if block.column(4)[0].as_py() == 1:
+                if len(rep) > 1:
+                    out += [(component, a, b, n, None, None) for a, b, n in _linked_rows(rep, block.column(5).to_numpy(), jaccard_links(sets, None, threshold))]
+            else:
+                pivot = sets[int(np.flatnonzero(rep == component)[0])]
+                for k in np.flatnonzero(block.column(3).to_numpy() == part):
+                    apart = np.setxor1d(sets[k], pivot, assume_unique=True)
+                    out.append((component, int(rep[k]), None, len(sets[k]), len(apart), apart.tobytes()))
+            if len(out) > 2_000:
+                yield made()
+        yield made()
+
+    return grouped(rows, "component", "part", then="rep").mapInArrow(run, _FOUND_SQL)
+
+
+def _unsure_links(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n) as :func:`_linked_rows` gives them, for the pairs that the distances to the pivot don't tell.
+
+    ``members``: component, rep, copies, n, apart, difference. Only the differences from the pivot move, in blocks of
+    ``OPEN_ROWS`` rows and ``OPEN_SHINGLES`` shingles a side.
     """
-    rows = in_blocks(texts, "component", "rep", "size", VERIFY_ROWS).select("component", "i", "j", "rep", "side", "copies", "text")
+    sizes = members.groupBy("component").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("apart") * OPEN_ROWS / OPEN_SHINGLES)).alias("size"))
+    rows = in_blocks(members.join(sizes, "component"), "component", "rep", "size", OPEN_ROWS).select("component", "i", "j", "rep", "side", "copies", "n", "difference")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {"a": [], "b": [], "n": []}
         for block in runs(batches, 3):
             if block.num_rows > 1:
-                rep, copies = block.column(3).to_numpy(), block.column(5).to_numpy()
-                allowed = meeting(block.column(1)[0].as_py(), block.column(2)[0].as_py(), block.column(4).to_numpy())
-                linked = jaccard_links(shingle_sets(block.column(6).to_pylist()), allowed, threshold)
-                n = linked @ copies
-                for k in np.flatnonzero(n):
-                    out["a"].append(int(rep[k]))
-                    out["b"].append(None)
-                    out["n"].append(int(n[k]))
-                for x, y in spanning(*np.nonzero(np.triu(linked)), len(rep)):
-                    out["a"].append(int(rep[x]))
-                    out["b"].append(int(rep[y]))
-                    out["n"].append(0)
-            if len(out["a"]) > 10_000:
-                yield to_batch(out, schema)
-                out = {"a": [], "b": [], "n": []}
-        yield to_batch(out, schema)
+                rep, side, copies, sizes = (block.column(c).to_numpy() for c in (3, 4, 5, 6))
+                apart = [np.frombuffer(d, np.uint64) for d in block.column(7).to_pylist()]
+                found = list(_linked_rows(rep, copies, difference_links(apart, sizes, across(side), threshold)))
+                if found:
+                    yield to_batch({k: list(v) for k, v in zip("abn", zip(*found, strict=True), strict=True)}, schema)
 
     return grouped(rows, "component", "i", "j", then="rep").mapInArrow(run, "a long, b long, n long")
 
 
+def _all_links(found: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n) of all components, from what :func:`_verified` found."""
+    links = found.where("apart IS NULL").select("a", "b", "n")
+    members = found.where("apart IS NOT NULL").withColumnRenamed("a", "rep").drop("b")
+    if not members.limit(1).count():
+        return links
+    p, q = _ratio(threshold)
+    members = staged(members.join(copies, "rep").withColumn("x", q * F.col("apart") - p * F.col("n")), "ngram-members")
+    sure, edges, unsure = sure_links(members.select("component", "rep", "copies", "x"))
+    none = F.lit(None).cast("long")
+    links = links.unionByName(sure.select(F.col("rep").alias("a"), none.alias("b"), "n")).unionByName(edges.select("a", "b", F.lit(0).cast("long").alias("n")))
+    return links.unionByName(_unsure_links(members.join(unsure.select("rep"), "rep", "left_semi"), threshold))
+
+
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, n_links, kept, n_shingles, row_key.
 
@@ -255,10 +404,12 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     classes = staged(signed.join(sets.select(F.col("rep").alias("row_key")), "row_key", "left_semi").select(F.col("row_key").alias("rep"), "signature"), "ngram-classes")
 
     near = connected_components(_candidates(classes, threshold), "ngram-near")
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    chosen = staged(near.join(sizes, "component").join(sets.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("row_key"), "component", "size", "copies"), "ngram-chosen")
+    of_class = sets.select(F.col("rep").alias("node"), "copies", "n")
+    sizes = near.join(of_class, "node").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    chosen = staged(near.join(sizes, "component").join(of_class, "node").select(F.col("node").alias("row_key"), "component", "size", "weight", "copies"), "ngram-chosen")
     texts = docs.select(F.col(key).alias("row_key"), F.col(text_col).alias("text")).join(small_side(chosen, chosen.count()), "row_key")
-    found = staged(_verified(texts.withColumnRenamed("row_key", "rep"), threshold), "ngram-found")
+    verified = staged(_verified(texts.withColumnRenamed("row_key", "rep"), threshold), "ngram-verified")
+    found = staged(_all_links(verified, sets.select("rep", "copies"), threshold), "ngram-found")
 
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     groups = connected_components(found.where("b IS NOT NULL").select("a", "b"), "ngram-groups").withColumnRenamed("node", "rep")

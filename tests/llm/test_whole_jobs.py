@@ -314,3 +314,36 @@ def test_byte_ids_of_odd_texts():
     for _ in range(20_000):
         text = "".join(draw.choices(units, k=draw.randint(0, 14)))
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_large_group_of_near_copies(spark):
+    """A group beyond every block, with pairs that the pivot tells and pairs that it doesn't, a chain and a tight part."""
+    draw = random.Random(6)
+    base = [f"w{k}" for k in range(90)]
+    texts = []
+    for n in range(1600):
+        words = list(base)
+        for k in draw.sample(range(90), draw.choice([0, 1, 1, 1, 2, 2, 3, 5])):
+            words[k] = f"x{draw.randint(0, 3)}"
+        texts.append(" ".join(words[draw.choice([0, 0, 0, 3]) :]))
+    texts += [" ".join(f"c{k}" for k in range(s, s + 70)) for s in range(0, 120, 3)]
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    kinds = list(dict.fromkeys(sets))
+    copies = collections.Counter(sets)
+    index = {s: k for k, s in enumerate({w for s in kinds for w in s})}
+    x = np.zeros((len(kinds), len(index)), np.float32)
+    for k, s in enumerate(kinds):
+        x[k, [index[w] for w in s]] = 1
+    both, size = x @ x.T, x.sum(1)
+    linked = 9 * both >= 4 * (size[:, None] + size[None, :])
+    many = np.array([copies[s] for s in kinds])
+    want = dict(zip(kinds, (linked @ many - 1).tolist(), strict=True))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_join.ngram_join(df).collect()}
+    assert len(kinds) > 2 * ngram_join.BUCKET_ROWS
+    assert [got[k].n_links for k in range(len(texts))] == [want[s] for s in sets]
+    least = np.array([sets.index(s) for s in kinds])
+    while (lower := np.where(linked, least[None, :], len(texts)).min(1)).tolist() != least.tolist():
+        least = lower
+    class_of = dict(zip(kinds, least.tolist(), strict=True))
+    assert [got[k].class_id for k in range(len(texts))] == [class_of[s] for s in sets]
