@@ -2,18 +2,23 @@
 
 Vectors with equal labels and a cosine of at least ``THRESHOLD`` (double precision) are linked.
 
-1. Equal vectors of a label are one *class*, pre-aggregated.
-2. A first neighbour graph: in each of ``TABLES`` sets of random hyperplanes, classes with the same code give each other
-   their best ``NEIGHBOURS``.
-3. NN-descent: each class's neighbours and reverse neighbours are compared with one another, and better neighbours enter
-   the lists, until a round finds no further link, for ``ROUNDS`` rounds at most. The list of a class whose neighbours are all links
-   is saturated and doubles, up to ``MAX_NEIGHBOURS``. A hub's neighbourhood is dealt into parts, none is dropped.
-4. The components of the threshold edges are verified in blocks in double precision. This counts links beyond any list's
-   length, so a large group of near copies costs no pair rows and loses no link.
-   All other pairs of a label are compared as well, so links between components, which the capped lists did not connect,
-   count too. This work grows with the square of a label's classes, its rows with their power 1.5.
-5. Recall is audited: the links of ``AUDIT`` classes, against all vectors, in one pass, each class counting once and
-   apart by number of links. Below ``RECALL`` the operator fails; whatever the graph lacks, step 4 has to find.
+1. Equal vectors of a label are one *class*, pre-aggregated by a digest. A class carries its vector, as given, and a mark:
+   the sides of ``BITS`` random hyperplanes on which it lies. Marks of linked vectors differ in ``_reach`` bits at most but
+   for a chance of 1e-8, those of unrelated vectors in more. Only marks move while the graph is made.
+2. Classes whose marks differ in ``TIGHT`` bits at most are contracted to a leader, whose slack is the most bits any of
+   them differs by; the number of differing bits is a metric, so the slack of two leaders is taken off their distance.
+3. A first neighbour graph: in each of several tables of hyperplanes, leaders with the same code give each other their
+   best ``NEIGHBOURS`` within reach. The tables are as many as miss a pair at the threshold with probability ``MISS``.
+4. NN-descent: each leader's neighbours and reverse neighbours are compared with one another, and better neighbours enter
+   the lists, until a round changes none, for ``ROUNDS`` rounds at most. A full list doubles, up to ``MAX_NEIGHBOURS``. A
+   leader that sees more than that at once is *dense*: it passes on a spanning forest, and needs no list, by step 6.
+5. The connected components of the graph are verified in double precision. In a large one, the angles to one pivot tell
+   most links, which are counted without pairs; only members that have pairs of which they don't tell are compared.
+6. What lists of dense leaders may lack: a component with a dense class is compared with every vector of the label that,
+   by its angle to the pivot, may link with a member. So the ceiling of the lists decides no link.
+7. Recall is audited: the links of ``AUDIT`` classes, against all vectors, in one pass, each class counting once and
+   apart by number of links. Below ``RECALL`` all pairs across components are compared; where that doesn't help either, the
+   operator fails.
 
 Edge cases: a vector that is null, empty, zero or holds null or non-finite components, or whose label is null, links with
 nothing and is its own component; vectors of different length don't link; repeated rows are copies of each other; a null
@@ -22,7 +27,9 @@ vec_id is never a component's id unless alone; an empty table gives an empty res
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import math
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -30,109 +37,215 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from columnloom.llm.common import staged, to_batch
-from columnloom.llm.components import connected_components, grouped, in_blocks, meeting, runs, spanning
+from columnloom.llm.common import discard, fresh, keyed, small_side, staged, to_batch
+from columnloom.llm.components import connected_components, grouped, in_blocks, runs, spanning, sure_links
 
 THRESHOLD = 0.93
-TABLES, NEIGHBOURS, MAX_NEIGHBOURS, ROUNDS = 6, 8, 64, 4
-BUCKET, PART, BLOCK = 256, 96, 256
-#: Rows of a part when all classes of a label are compared, and of a slice of it.
-CELL, SLICE = 2048, 512
+#: Bits of a mark; words that hold them; differing bits that contract; bits of the code by which tight groups meet.
+BITS, TIGHT, TIGHT_CODE = 256, 12, 16
+WORDS = BITS // 64
+#: Chance that all tables part a pair at the threshold, and classes of a table's bucket. TABLES, if set, is their number.
+MISS, BUCKET, TABLES = 1e-4, 1024, None
+NEIGHBOURS, MAX_NEIGHBOURS, ROUNDS, PART = 8, 32, 8, 256
+#: Classes of a component that is one block; classes of a part where a larger one's are compared; classes of a slice.
+BLOCK, CELL, SLICE = 256, 2048, 512
 AUDIT, RECALL = 1024, 0.99
 #: Single precision decides what is looked at again in double precision, by this much more.
 MARGIN = 1e-4
 #: The audit asks for links above the threshold by more than double precision can be wrong.
 CLEAR = 1e-9
+#: Steps of an angle of 1 in which angles to a pivot are told.
+STEPS = 4096
 
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+_MARK = [f"m{w}" for w in range(WORDS)]
 
 
-def _matrix(column) -> np.ndarray:
-    """Vectors (float64 in binary, equal lengths) as rows."""
+def _matrix(column, dtype=np.float64) -> np.ndarray:
+    """Vectors in binary, of equal lengths, as rows of length 1 in double precision."""
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
+    x = np.frombuffer(b"".join(values), dtype).reshape(len(values), -1).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)  # so that the norm neither overflows nor vanishes
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows that can link (row_key, vec_id, class keys), the others, and classes (rep, space, unit, copies, least)."""
-    rows = vectors.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
-    able = F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = staged(rows.withColumn("able", F.coalesce(able, F.lit(False))).withColumn("space", F.xxhash64("label", F.size("v"))).drop("label"), "nn-rows")
-    linked = rows.where("able")
-    sets = linked.groupBy("space", "v").agg(F.min("row_key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
-    schema = pa.schema([("rep", pa.int64()), ("space", pa.int64()), ("unit", pa.binary()), ("copies", pa.int64()), ("least", pa.int64())])
+def _by_length(column, dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit vectors) of the vectors of each length."""
+    lengths = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        yield at, _matrix(column.take(pa.array(at)), dtype)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+@cache
+def _planes(dim: int, n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(dim, n))
+
+
+def _marks(units: np.ndarray) -> np.ndarray:
+    """The sides of the hyperplanes as 64-bit words."""
+    return np.packbits(units @ _planes(units.shape[1], BITS, 94) > 0, axis=1).view(np.int64)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of differing bits of all pairs of marks."""
+    out = np.zeros((len(a), len(b)), np.int32)
+    for w in range(WORDS):
+        out += np.bitwise_count(a[:, None, w].view(np.uint64) ^ b[None, :, w].view(np.uint64))
+    return out
+
+
+def _reach(threshold: float) -> int:
+    """Bits by which the marks of a pair at the threshold differ, and 5.5 standard deviations more."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(BITS * p + 5.5 * math.sqrt(BITS * p * (1 - p)))
+
+
+def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame, type]:
+    """Rows (vec_id, space, d0, d1, able), classes (rep, space, d0, d1, vector, copies, least, mark), and the vectors' type."""
+    dtype = np.float32 if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64
+    key = fresh(vectors, "row_key")
+    source = keyed(vectors.select(id_col, vector_col, label_col), key)
+    v = F.col(vector_col).cast(f"array<{'float' if dtype is np.float32 else 'double'}>")
+    able = F.col(label_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
+    rows = source.select(F.col(key).alias("row_key"), F.col(id_col).cast("long").alias("vec_id"), F.xxhash64(label_col, F.size(v)).alias("space"), v.alias("v"), F.coalesce(able, F.lit(False)).alias("able"))
+    schema = pa.schema([("row_key", pa.int64()), ("vec_id", pa.int64()), ("space", pa.int64()), ("able", pa.bool_()), ("d0", pa.int64()), ("d1", pa.int64())])
+
+    def binary(column: pa.ListArray) -> list[bytes]:
+        values, ends = column.values.to_numpy(zero_copy_only=False).astype(dtype) + dtype(0), column.offsets.to_numpy()
+        return [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = []
-            for v in batch.column(1).to_pylist():
-                v = np.array(v)
-                v /= np.abs(v).max()  # so that the norm neither overflows nor vanishes
-                units.append((v / np.sqrt(v @ v)).tobytes())
-            yield to_batch({"rep": batch.column(2), "space": batch.column(0), "unit": units, "copies": batch.column(3), "least": batch.column(4)}, schema)
+            held, at = batch.column(4), np.flatnonzero(batch.column(4).to_numpy(zero_copy_only=False))
+            d = np.zeros((batch.num_rows, 2), np.int64)
+            if len(at):
+                d[at] = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in binary(batch.column(3).take(pa.array(at)))]), np.int64).reshape(-1, 2)
+            yield to_batch({"row_key": batch.column(0), "vec_id": batch.column(1), "space": batch.column(2), "able": held, "d0": d[:, 0], "d1": d[:, 1]}, schema)
 
-    made = sets.select("space", "v", "rep", "copies", "least").mapInArrow(run, "rep long, space long, unit binary, copies long, least long")
-    return linked, rows.where(~F.col("able")), staged(made, "nn-classes")
+    digests = staged(rows.mapInArrow(digest, "row_key long, vec_id long, space long, able boolean, d0 long, d1 long"), "nn-rows")
+    sets = staged(digests.where("able").groupBy("space", "d0", "d1").agg(F.min("row_key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")), "nn-sets")
+    made = pa.schema([(c, pa.int64()) for c in ("rep", "space", "d0", "d1", "copies", "least", *_MARK)] + [("vector", pa.binary())])
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = pa.array(binary(batch.column(6)), pa.binary())
+            marks = np.zeros((batch.num_rows, WORDS), np.int64)
+            for at, units in _by_length(held, dtype):
+                marks[at] = _marks(units)
+            yield to_batch({**dict(zip(("rep", "space", "d0", "d1", "copies", "least"), batch.columns[:6], strict=True)), **{m: marks[:, w] for w, m in enumerate(_MARK)}, "vector": held}, made)
 
-@cache
-def _planes(dim: int, tables: int, bits: int) -> np.ndarray:
-    return np.random.default_rng(93).normal(size=(dim, tables * bits))
+    chosen = sets.withColumnRenamed("rep", "row_key")
+    full = rows.where("able").select("row_key", "v").join(small_side(chosen, chosen.count()), "row_key").select("row_key", "space", "d0", "d1", "copies", "least", "v")
+    classes = full.mapInArrow(mark, ", ".join(f"{c} long" for c in ("rep", "space", "d0", "d1", "copies", "least", *_MARK)) + ", vector binary")
+    return digests, staged(classes, "nn-classes"), dtype
 
 
-def _best(rows: np.ndarray, own: np.ndarray, k: np.ndarray, floor: np.ndarray | None, out: dict[str, list]) -> None:
-    """Add each row's best k others above its floor."""
-    sims = rows @ rows.T
-    np.fill_diagonal(sims, -2)
-    most = min(int(k.max()), len(own) - 1)
-    top = np.argpartition(-sims, most - 1, axis=1)[:, :most] if most < len(own) - 1 else np.tile(np.arange(len(own)), (len(own), 1))
-    value = np.take_along_axis(sims, top, 1)
-    keep = value > (floor[:, None] if floor is not None else -1.5)
-    a = np.repeat(own, top.shape[1]).reshape(top.shape)
-    out["a"].append(a[keep])
-    out["b"].append(own[top][keep])
-    out["sim"].append(value[keep])
+# --- the graph ------------------------------------------------------------------------------------------------------
 
 
-def _compared(members: DataFrame, keys: list[str]) -> DataFrame:
-    """(a, b, sim) from comparing the rows (keys..., rep, unit, k, floor) of each run."""
+def _tight(classes: DataFrame) -> DataFrame:
+    """(rep, leader, slack) of the classes in tight groups of at least two; codes part a group, parts of a code too."""
+    code = F.xxhash64("space", F.shiftrightunsigned(F.col("m0"), 64 - TIGHT_CODE))
+    rows = classes.select("rep", code.alias("code"), *_MARK)
+    sizes = rows.groupBy("code").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = rows.join(sizes, "code").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BUCKET)))
+    schema = pa.schema([("rep", pa.int64()), ("leader", pa.int64()), ("slack", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {"a": [], "b": [], "sim": []}
-        for block in runs(batches, len(keys)):
+        out: list[np.ndarray] = []
+        for block in runs(batches, 2):
             if block.num_rows > 1:
-                own, k, floor = (block.column(len(keys) + c).to_numpy() for c in (0, 2, 3))
-                _best(_matrix(block.column(len(keys) + 1)).astype(np.float32), own, k, floor, out)
-            if len(out["a"]) > 200:
-                yield to_batch({c: np.concatenate(x) for c, x in out.items()}, _EDGES)
-                out = {"a": [], "b": [], "sim": []}
-        if out["a"]:
-            yield to_batch({c: np.concatenate(x) for c, x in out.items()}, _EDGES)
+                rep, marks = block.column(2).to_numpy(), np.stack([block.column(3 + w).to_numpy() for w in range(WORDS)], 1)
+                apart = _apart(marks, marks)
+                close = apart <= TIGHT
+                free = close.sum(1) > 1
+                for i in np.flatnonzero(free):
+                    if free[i]:
+                        own = np.flatnonzero(close[i] & free)
+                        free[own] = False
+                        if len(own) > 1:
+                            out.append(np.stack([rep[own], np.full(len(own), rep[i]), np.full(len(own), apart[i, own].max())]))
+        found = np.concatenate(out, 1) if out else np.zeros((3, 0), np.int64)
+        yield to_batch({"rep": found[0], "leader": found[1], "slack": found[2]}, schema)
+
+    return grouped(rows.select("code", "part", "rep", *_MARK), "code", "part", then="rep").mapInArrow(run, "rep long, leader long, slack long")
+
+
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64()), ("dense", pa.bool_())])
+_EDGES_SQL = "a long, b long, sim double, dense boolean"
+
+
+def _near(apart: np.ndarray, rep: np.ndarray, k: np.ndarray, reach: int) -> Iterator[tuple]:
+    """(a, b, apart, dense): the best k within reach of each row; of a row with too many, edges of a spanning forest."""
+    near = apart <= reach
+    degree = near.sum(1)
+    dense = degree > MAX_NEIGHBOURS
+    few = np.flatnonzero((degree > 0) & ~dense)
+    if len(few):
+        most = min(int(k[few].max()), apart.shape[1] - 1)
+        order = np.argsort(apart[few], axis=1, kind="stable")[:, :most]
+        value = np.take_along_axis(apart[few], order, 1)
+        keep = (value <= reach) & (np.arange(most)[None, :] < k[few][:, None])
+        row, place = np.nonzero(keep)
+        yield rep[few][row], rep[order[row, place]], value[row, place], np.zeros(len(row), bool)
+    if dense.any():
+        tree = np.array(spanning(*np.nonzero(np.triu(near & (dense[:, None] | dense[None, :]))), len(rep)), np.int64).reshape(-1, 2).T
+        for x, y in (tree, tree[::-1]):
+            yield rep[x], rep[y], apart[x, y], dense[x]
+
+
+def _compared(rows: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """(a, b, sim, dense) from comparing the rows (keys..., rep, side, slack, k, mark) of each run, across sides if there are two."""
 
-    return grouped(members.select(*keys, "rep", "unit", "k", "floor"), *keys).mapInArrow(run, "a long, b long, sim double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
 
+        def made() -> pa.RecordBatch:
+            a, b, apart, dense = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+            out.clear()
+            return to_batch({"a": a, "b": b, "sim": np.cos(np.pi * apart / BITS), "dense": dense.astype(bool)}, _EDGES)
 
-def _first_edges(classes: DataFrame, tables: int, neighbours: int) -> DataFrame:
-    largest = classes.groupBy("space").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    bits = max(1, (largest // 128).bit_length())
-    schema = pa.schema([("rep", pa.int64()), ("space", pa.int64()), ("slot", pa.int64())])
+        for block in runs(batches, len(keys)):
+            if block.num_rows > 1:
+                rep, side, slack, k, *words = (block.column(len(keys) + c).to_numpy() for c in range(4 + WORDS))
+                marks = np.stack(words, 1)
+                apart = _apart(marks, marks) - slack[:, None] - slack[None, :]
+                apart[(side[:, None] == side[None, :]) if (side != side[0]).any() else np.eye(len(rep), dtype=bool)] = BITS
+                out += _near(apart, rep, k, reach)
+            if len(out) > 500:
+                yield made()
+        yield made()
+
+    return grouped(rows.select(*keys, "rep", "side", "slack", "k", *_MARK), *keys).mapInArrow(run, _EDGES_SQL)
+
+
+def _first_edges(leaders: DataFrame, vectors: DataFrame, threshold: float, tables: int | None, neighbours: int, dtype) -> DataFrame:
+    """``leaders``: rep, space, slack, mark; ``vectors``: rep, vector."""
+    largest = leaders.groupBy("space").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, largest) / BUCKET)))
+    stay = (1 - math.acos(threshold) / math.pi) ** bits
+    tables = tables or (math.ceil(math.log(MISS) / math.log(1 - stay)) if bits else 1)
+    names = ["rep", "space", "slack", *_MARK]
+    schema = pa.schema([("bucket", pa.int64()), ("rep", pa.int64()), ("slack", pa.int64())] + [(m, pa.int64()) for m in _MARK])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [np.frombuffer(u, np.float64) for u in batch.column(2).to_pylist()]
-            slots = np.empty((len(units), tables), np.int64)
-            for dim in {len(u) for u in units}:
-                at = [i for i, u in enumerate(units) if len(u) == dim]
-                side = (np.stack([units[i] for i in at]) @ _planes(dim, tables, bits) > 0).reshape(len(at), tables, bits)
-                slots[at] = (side @ (1 << np.arange(bits))) + (np.arange(tables) << bits)
-            n = len(units)
-            yield to_batch({"rep": np.repeat(batch.column(0).to_numpy(), tables), "space": np.repeat(batch.column(1).to_numpy(), tables), "slot": slots.reshape(n * tables)}, schema)
-
-    codes = staged(classes.select("rep", "space", "unit").mapInArrow(run, "rep long, space long, slot long"), "nn-codes")
-    sizes = codes.groupBy("space", "slot").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = codes.join(sizes, ["space", "slot"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BUCKET)))
-    members = members.join(classes.select("rep", "unit"), "rep").withColumn("k", F.lit(neighbours)).withColumn("floor", F.lit(-1.5))
-    return _compared(members, ["space", "slot", "part"])
+            code = np.zeros((batch.num_rows, tables), np.int64)
+            if bits:
+                for at, units in _by_length(batch.column(len(names)), dtype):
+                    side = (units @ _planes(units.shape[1], tables * bits, 93) > 0).reshape(len(at), tables, bits)
+                    code[at] = side @ (1 << np.arange(bits))
+            own = {c: batch.column(i).to_numpy() for i, c in enumerate(names)}
+            bucket = (own["space"][:, None] ^ ((code * tables + np.arange(tables)) * 0x2545F4914F6CDD1D)).ravel()
+            yield to_batch({"bucket": bucket, **{c: np.repeat(own[c], tables) for c in ("rep", "slack", *_MARK)}}, schema)
+
+    rows = leaders.join(vectors, "rep").select(*names, "vector").mapInArrow(run, ", ".join(f"{f.name} long" for f in schema))
+    # The sizes are counted in a pass of their own, whose rows are aggregated before they move.
+    large = staged(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 2 * BUCKET), "nn-large")
+    dealt = rows.join(small_side(large, large.count()), "bucket", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    dealt = in_blocks(dealt, "bucket", "rep", "size", BUCKET).withColumn("k", F.lit(neighbours).cast("long"))
+    return _compared(dealt, ["bucket", "i", "j"], _reach(threshold))
 
 
 def _lists(edges: DataFrame, lengths: DataFrame | None, neighbours: int, name: str) -> DataFrame:
@@ -142,135 +255,221 @@ def _lists(edges: DataFrame, lengths: DataFrame | None, neighbours: int, name: s
     return staged(lists.select("a", "k", F.slice("near", F.lit(1), F.col("k")).alias("near")), name)
 
 
-def _saturated(threshold: float):
-    """Whether a list is full of links; then it doubles."""
-    return (F.size("near") >= F.col("k")) & F.forall("near", lambda e: e["sim"] >= threshold - MARGIN)
-
-
-def neighbour_graph(classes: DataFrame, threshold: float, tables: int, neighbours: int) -> DataFrame:
-    """(a, k, near) after NN-descent."""
-    lists = _lists(_first_edges(classes, tables, neighbours), None, neighbours, "nn-lists")
-    before, changed = -1, lists.select("a")
+def neighbour_graph(classes: DataFrame, threshold: float, tables: int | None, neighbours: int, dtype=np.float64) -> DataFrame:
+    """(a, b, dense): edges of the graph after NN-descent; dense where a has more neighbours than lists hold."""
+    tight = staged(_tight(classes), "nn-tight")
+    slack = tight.where("rep = leader").select("rep", "slack")
+    leaders = classes.join(tight.where("rep <> leader").select("rep"), "rep", "left_anti").join(slack, "rep", "left")
+    leaders = staged(leaders.select("rep", "space", F.coalesce("slack", F.lit(0).cast("long")).alias("slack"), *_MARK), "nn-leaders")
+    first = staged(_first_edges(leaders, classes.select("rep", "vector"), threshold, tables, neighbours, dtype), "nn-first")
+    dense = first.where("dense").select("a").distinct()
+    fixed = first.where("dense").select("a", "b").distinct()  # edges of forests, which lists of dense leaders need not hold
+    lists = _lists(first.where("NOT dense"), None, neighbours, "nn-lists")
+    changed = lists.select("a")
     for _ in range(ROUNDS):
-        edges = lists.select("a", "k", F.explode("near").alias("e")).select("a", "k", F.col("e.b").alias("b"), F.col("e.sim").alias("sim"))
-        links = edges.where(F.col("sim") >= threshold - MARGIN).count()
-        if links == before:
-            break
-        before = links
-        grown = lists.select("a", F.when(_saturated(threshold), F.least(F.col("k") * 2, F.lit(MAX_NEIGHBOURS))).otherwise(F.col("k")).alias("k"), F.when(F.size("near") >= F.col("k"), F.element_at("near", -1)["sim"]).otherwise(-1.5).alias("floor"))
-        grown = staged(grown.join(lists.where(_saturated(threshold)).select("a", F.lit(True).alias("full")), "a", "left").select("a", "k", F.when(F.col("full"), F.lit(-1.5)).otherwise(F.col("floor")).alias("floor")), "nn-lengths")
-        # Neighbourhoods: a class, its neighbours and those it is a neighbour of; a hub's is dealt into parts.
-        pairs = edges.select(F.col("a").alias("hub"), F.col("b").alias("rep")).unionByName(edges.select(F.col("b").alias("hub"), F.col("a").alias("rep"))).distinct()
-        active = staged(pairs.join(changed.select(F.col("a").alias("hub")), "hub", "left_semi"), "nn-pairs")
+        edges = lists.select("a", F.explode("near").alias("e")).select("a", F.col("e.b").alias("b"), F.col("e.sim").alias("sim"))
+        grown = lists.select("a", F.when(F.size("near") >= F.col("k"), F.least(F.col("k") * 2, F.lit(MAX_NEIGHBOURS))).otherwise(F.col("k")).alias("k"))
+        # Neighbourhoods: a leader, its neighbours and those it is a neighbour of; a hub's is dealt into parts.
+        both = edges.select(F.col("a").alias("hub"), F.col("b").alias("rep")).unionByName(edges.select(F.col("b").alias("hub"), F.col("a").alias("rep"))).distinct()
+        active = staged(both.join(changed.select(F.col("a").alias("hub")), "hub", "left_semi"), "nn-pairs")
         sizes = active.groupBy("hub").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         members = active.join(sizes, "hub").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / PART)))
-        members = members.join(classes.select("rep", "unit"), "rep").join(grown.withColumnRenamed("a", "rep"), "rep")
-        better = _compared(members, ["hub", "part"])
-        after = _lists(edges.select("a", "b", "sim").unionByName(better), grown.select("a", "k"), neighbours, "nn-lists")
+        members = members.join(leaders, "rep").join(grown.withColumnRenamed("a", "rep"), "rep", "left").withColumn("k", F.coalesce("k", F.lit(neighbours)).cast("long"))
+        better = staged(_compared(members.withColumn("side", F.lit(0)), ["hub", "part"], _reach(threshold)), "nn-better")
+        dense, fixed = dense.union(better.where("dense").select("a")), fixed.union(better.where("dense").select("a", "b"))
+        after = _lists(edges.unionByName(better.where("NOT dense").select("a", "b", "sim")), grown, neighbours, "nn-lists")
         ids = F.transform("near", lambda e: e["b"])
         old = lists.select("a", ids.alias("old"))
-        changed = staged(after.select("a", ids.alias("new")).join(old, "a").where(F.size(F.array_except("new", "old")) > 0).select("a"), "nn-changed")
+        changed = staged(after.select("a", ids.alias("new")).join(old, "a", "left").where(F.col("old").isNull() | (F.size(F.array_except("new", "old")) > 0)).select("a"), "nn-changed")
+        discard(active, lists)
         lists = after
-    return lists
+        if not changed.limit(1).count():
+            break
+    dense = dense.union(lists.where(F.size("near") >= MAX_NEIGHBOURS).select("a")).distinct().withColumn("dense", F.lit(True))
+    edges = lists.select("a", F.explode("near.b").alias("b")).union(fixed).union(tight.where("rep <> leader").select("rep", "leader").toDF("a", "b"))
+    return staged(edges.distinct().join(dense, "a", "left").select("a", "b", F.coalesce("dense", F.lit(False)).alias("dense")), "nn-graph")
 
 
-def _counted(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, n): n links of class a where b is null, else an edge of a spanning forest of the links."""
-    rows = in_blocks(members, "component", "rep", "size", BLOCK).select("component", "i", "j", "rep", "side", "copies", "unit")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+# --- exact links ----------------------------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {"a": [], "b": [], "n": []}
-        for block in runs(batches, 3):
-            if block.num_rows > 1:
-                rep, copies, units = block.column(3).to_numpy(), block.column(5).to_numpy(), _matrix(block.column(6))
-                linked = units @ units.T >= threshold
-                np.fill_diagonal(linked, False)
-                allowed = meeting(block.column(1)[0].as_py(), block.column(2)[0].as_py(), block.column(4).to_numpy())
-                if allowed is not None:
-                    linked &= allowed
-                n = linked @ copies
-                for k in np.flatnonzero(n):
-                    out["a"].append(int(rep[k]))
-                    out["b"].append(None)
-                    out["n"].append(int(n[k]))
-                for x, y in spanning(*np.nonzero(np.triu(linked)), len(rep)):
-                    out["a"].append(int(rep[x]))
-                    out["b"].append(int(rep[y]))
-                    out["n"].append(0)
-            if len(out["a"]) > 10_000:
-                yield to_batch(out, schema)
-                out = {"a": [], "b": [], "n": []}
-        yield to_batch(out, schema)
-
-    return grouped(rows, "component", "i", "j", then="rep").mapInArrow(run, "a long, b long, n long")
-
-
-def _across(classes: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
-    """As :func:`_counted`, for the links between classes of one label in different components of ``near``.
-
-    Every such pair is compared: in single precision, and in double precision where that comes near the threshold. The
-    parts of a large label grow with the root of its size, and so does the number of parts each class is sent to.
+
+def _linked(units: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, allowed: Callable | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links of each row with rows of the other list (of later ones, where both are one), and a spanning forest of the links.
+
+    Single precision says which pairs are compared in double precision. ``allowed``: (x, y) -> which pairs count.
     """
-    sizes = classes.groupBy("space").agg(F.count(F.lit(1)).alias("size"))
-    rows = classes.join(near.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(sizes, "space")
-    part = F.greatest(F.lit(float(CELL)), F.sqrt(F.col("size") * CELL))
-    rows = in_blocks(rows, "space", "rep", "size", part).select("space", "i", "j", "rep", "side", "copies", "unit", "component")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-
-    def compared(block: pa.Table) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """Links of each row, and a spanning forest of the links."""
-        i, j = block.column(1)[0].as_py(), block.column(2)[0].as_py()
-        side, copies, component = (block.column(c).to_numpy() for c in (4, 5, 7))
-        units = _matrix(block.column(6))
-        single = units.astype(np.float32)
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        n, tree, edges = np.zeros(len(side), np.int64), np.arange(len(side)), []
-        for start in range(0, len(left), SLICE):
-            x, y = left[start : start + SLICE], right[start:] if i == j else right
-            maybe = single[x] @ single[y].T >= threshold - MARGIN
-            maybe &= component[x][:, None] != component[y][None, :]
-            if i == j:
-                maybe &= x[:, None] < y[None, :]
-            x, y, maybe = x[maybe.any(1)], y[maybe.any(0)], maybe[maybe.any(1)][:, maybe.any(0)]
-            if not len(x):
-                continue
-            linked = maybe & (units[x] @ units[y].T >= threshold)
-            n[x] += linked @ copies[y]
-            n[y] += copies[x] @ linked
-            for k, own in zip(x.tolist(), linked, strict=True):
-                others = y[own]
-                if (tree[others] != tree[k]).any():
-                    met, first = np.unique(tree[others], return_index=True)
-                    edges += [(k, o) for o in others[first[met != tree[k]]].tolist()]
-                    tree[np.isin(tree, met)] = tree[k]
-        return n, edges
+    single = units.astype(np.float32)
+    n, tree, edges = np.zeros(len(units), np.int64), np.arange(len(units)), []
+    for start in range(0, len(left), SLICE):
+        x, y = left[start : start + SLICE], right[start:] if left is right else right
+        maybe = single[x] @ single[y].T >= threshold - MARGIN
+        if left is right:
+            maybe &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+        if allowed is not None:
+            maybe &= allowed(x, y)
+        x, y, maybe = x[maybe.any(1)], y[maybe.any(0)], maybe[maybe.any(1)][:, maybe.any(0)]
+        if not len(x):
+            continue
+        linked = maybe & (units[x] @ units[y].T >= threshold)
+        n[x] += linked @ copies[y]
+        n[y] += copies[x] @ linked
+        for k, own in zip(x.tolist(), linked, strict=True):
+            others = y[own]
+            if (tree[others] != tree[k]).any():
+                met, first = np.unique(tree[others], return_index=True)
+                edges += [(k, o) for o in others[first[met != tree[k]]].tolist()]
+                tree[np.isin(tree, met)] = tree[k]
+    return n, edges
+
+
+def _exact(rows: DataFrame, keys: list[str], threshold: float, dtype, rule: str | None = None) -> DataFrame:
+    """(a, b, n): n links of class a where b is null, else an edge of a spanning forest of the links.
+
+    ``rows``: keys..., rep, side, copies, of, vector. Rows of a run meet those of the other side, or each other where there
+    is one side. ``rule``: with "sum" pairs count where ``of`` adds up to more than 0, with "other" where it differs.
+    """
+    k = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in runs(batches, 3):
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            a, b, n = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=b < 0), pa.array(n, pa.int64())], schema=_LINKS)
+
+        for block in runs(batches, k):
             if block.num_rows > 1:
-                rep = block.column(3).to_numpy()
-                n, edges = compared(block)
+                rep, side, copies, of = (block.column(k + c).to_numpy() for c in range(4))
+                one = (side == side[0]).all()
+                left = np.arange(len(rep)) if one else np.flatnonzero(side == side.min())
+                right = left if one else np.flatnonzero(side != side.min())
+                allowed = None
+                if rule == "sum":
+                    allowed = lambda x, y: of[x][:, None] + of[y][None, :] > 0  # noqa: E731, B023
+                elif rule == "other":
+                    allowed = lambda x, y: of[x][:, None] != of[y][None, :]  # noqa: E731, B023
+                n, edges = _linked(_matrix(block.column(k + 4), dtype), copies, left, right, threshold, allowed)
                 at, (x, y) = np.flatnonzero(n), np.array(edges, np.int64).reshape(-1, 2).T
-                yield to_batch({"a": rep[at], "b": pa.nulls(len(at), pa.int64()), "n": n[at]}, schema)
-                yield to_batch({"a": rep[x], "b": rep[y], "n": np.zeros(len(x), np.int64)}, schema)
+                out.append((rep[at], np.full(len(at), -1), n[at]))
+                out.append((rep[x], rep[y], np.zeros(len(x), np.int64)))
+            if len(out) > 500:
+                yield made()
+        yield made()
+
+    return grouped(rows.select(*keys, "rep", "side", "copies", "of", "vector"), *keys, then="rep").mapInArrow(run, "a long, b long, n long")
+
+
+def _angles(rows: DataFrame, dtype) -> DataFrame:
+    """(component, rep, copies, steps): angles to the component's pivot, in steps, not rounded down."""
+    schema = pa.schema([("component", pa.int64()), ("rep", pa.int64()), ("copies", pa.int64()), ("steps", pa.int64())])
 
-    return grouped(rows, "space", "i", "j", then="rep").mapInArrow(run, "a long, b long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = np.zeros(batch.num_rows, np.int64)
+            pivots = batch.column(4)
+            for at, units in _by_length(batch.column(3), dtype):
+                off = units - _matrix(pivots.take(pa.array(at)), dtype)
+                steps[at] = np.ceil(2 * np.arcsin(np.minimum(1, np.sqrt(np.einsum("ij,ij->i", off, off)) / 2)) * STEPS + 1e-6)
+            yield to_batch({"component": batch.column(0), "rep": batch.column(1), "copies": batch.column(2), "steps": steps}, schema)
+
+    return rows.select("component", "rep", "copies", "vector", "pivot").mapInArrow(run, "component long, rep long, copies long, steps long")
+
+
+def _inside(classes: DataFrame, near: DataFrame, threshold: float, dtype) -> tuple[DataFrame, DataFrame]:
+    """Links inside components as :func:`_exact` gives them, and (component, steps): the radius of the large ones."""
+    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    members = near.withColumnRenamed("node", "rep").join(sizes, "component").join(classes.select("rep", "copies", "vector"), "rep")
+    small = members.where(F.col("size") <= BLOCK).withColumn("side", F.lit(0)).withColumn("of", F.lit(0).cast("long"))
+    links = _exact(small, ["component"], threshold, dtype)
+    large = members.where(F.col("size") > BLOCK)
+    pivots = classes.join(sizes.where(F.col("size") > BLOCK).select(F.col("component").alias("rep")), "rep").select(F.col("rep").alias("component"), F.col("vector").alias("pivot"))
+    told = staged(_angles(large.join(pivots, "component"), dtype), "nn-angles")
+    radius = told.groupBy("component").agg(F.max("steps").alias("steps"))
+    if not told.limit(1).count():
+        return links, radius
+    whole = math.floor((math.acos(threshold) - CLEAR) * STEPS)
+    told = told.withColumn("x", 2 * F.col("steps") - whole)
+    sure, edges, unsure = sure_links(told.select("component", "rep", "copies", "x"))
+    none = F.lit(None).cast("long")
+    links = links.unionByName(sure.select(F.col("rep").alias("a"), none.alias("b"), "n")).unionByName(edges.select("a", "b", F.lit(0).cast("long").alias("n")))
+    open_ones = staged(told.join(unsure.select("rep"), "rep", "left_semi"), "nn-unsure")
+    n = open_ones.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    part = F.greatest(F.lit(float(CELL)), F.sqrt(F.col("size") * CELL))
+    rows = in_blocks(open_ones.join(n, "component"), "component", "rep", "size", part).join(classes.select("rep", "vector"), "rep").withColumn("of", F.col("x"))
+    return links.unionByName(_exact(rows, ["component", "i", "j"], threshold, dtype, "sum")), radius
 
 
-def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT) -> float:
+def _outside(classes: DataFrame, near: DataFrame, dense: DataFrame, threshold: float, dtype) -> DataFrame:
+    """Links, as :func:`_exact` gives them, of components with a dense class to classes outside of them.
+
+    ``dense``: component. Outside classes are those of the label whose angle to the component's pivot is no more than its
+    radius and the threshold's angle together; between two dense components the lower one asks.
+    """
+    owned = classes.select("rep", "space", "copies", "vector").join(near.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    owned = owned.join(dense.select("component", F.lit(True).alias("dense")), "component", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+    asking = owned.where("dense")
+    pivots = asking.where("rep = component").select("component", "space", F.col("vector").alias("pivot"))
+    radius = _angles(asking.join(pivots.drop("space"), "component"), dtype).groupBy("component").agg(F.max("steps").alias("radius"))
+    centres = staged(pivots.join(radius, "component"), "nn-centres")
+    counts = centres.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("pivots")).join(classes.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / (4 * CELL)).alias("parts")), "space")
+    zero = F.lit(0).cast("long")
+    left = centres.join(counts, "space").withColumn("p", F.pmod(F.xxhash64("component"), "pivots")).withColumn("q", F.explode(F.sequence(zero, F.col("parts") - 1)))
+    right = owned.join(counts, "space").withColumn("q", F.pmod(F.xxhash64("rep"), "parts")).withColumn("p", F.explode(F.sequence(zero, F.col("pivots") - 1)))
+    both = left.select("space", "p", "q", F.lit(0).alias("side"), F.col("component").alias("rep"), "component", F.lit(True).alias("dense"), "radius", F.col("pivot").alias("vector"))
+    both = both.unionByName(right.select("space", "p", "q", F.lit(1).alias("side"), "rep", "component", "dense", zero.alias("radius"), "vector"))
+    schema = pa.schema([("component", pa.int64()), ("rep", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in runs(batches, 3):
+            side, rep, component, dense_, radius_ = (block.column(c).to_numpy() for c in range(3, 8))
+            centre, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if len(centre) and len(other):
+                units = _matrix(block.column(8), dtype)
+                least = np.cos(np.minimum(np.pi, np.arccos(threshold) + (radius_[centre] + 1) / STEPS)) - MARGIN
+                meets = units[centre].astype(np.float32) @ units[other].astype(np.float32).T >= least[:, None]
+                meets &= np.where(dense_[other][None, :], component[centre][:, None] < component[other][None, :], True)
+                c, o = np.nonzero(meets & (component[centre][:, None] != component[other][None, :]))
+                yield to_batch({"component": component[centre][c], "rep": rep[other][o]}, schema)
+
+    met = grouped(both.select("space", "p", "q", "side", "rep", "component", "dense", "radius", "vector"), "space", "p", "q").mapInArrow(run, "component long, rep long")
+    met = staged(met, "nn-met")
+    out_size = met.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("outs"))
+    in_size = asking.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("ins"))
+    both_sizes = staged(out_size.join(in_size, "component"), "nn-sizes")
+    ins = asking.select("component", "rep", "copies", "vector").join(both_sizes, "component").withColumn("p", F.pmod(F.xxhash64("rep"), "ins")).withColumn("q", F.explode(F.sequence(zero, F.col("outs") - 1)))
+    outs = met.join(classes.select("rep", "copies", "vector"), "rep").join(both_sizes, "component").withColumn("q", F.pmod(F.xxhash64("rep"), "outs")).withColumn("p", F.explode(F.sequence(zero, F.col("ins") - 1)))
+    names = ["component", "p", "q", "rep", "copies", "vector"]
+    rows = ins.select(*names, F.lit(0).alias("side")).unionByName(outs.select(*names, F.lit(1).alias("side"))).withColumn("of", F.col("side").cast("long"))
+    return _exact(rows, ["component", "p", "q"], threshold, dtype, "other")
+
+
+def _across(classes: DataFrame, near: DataFrame, threshold: float, dtype=np.float64) -> DataFrame:
+    """As :func:`_exact`, for all links between classes of one label in different components of ``near``.
+
+    Every such pair is compared. The parts of a large label grow with the root of its size, and so does the number of
+    parts each class is sent to.
+    """
+    sizes = classes.groupBy("space").agg(F.count(F.lit(1)).alias("size"))
+    rows = classes.join(near.withColumnRenamed("node", "rep"), "rep", "left").withColumn("of", F.coalesce("component", "rep")).join(sizes, "space")
+    part = F.greatest(F.lit(float(CELL)), F.sqrt(F.col("size") * CELL))
+    return _exact(in_blocks(rows, "space", "rep", "size", part), ["space", "i", "j"], threshold, dtype, "other")
+
+
+def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT, dtype=np.float64) -> float:
     """Of a bounded sample of classes, the share with all links found, against all vectors.
 
     Each class counts once, however many links or copies it has, and the share is the least over classes of alike many
     links (by powers of two), so that large groups can't outvote small ones.
     """
+    held = "vector" if "vector" in classes.columns else "unit"
     total = classes.count()
     draw = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 20))
-    asked = classes.where(draw < int(min(1.0, queries / max(1, total)) * (1 << 20)) + 1).select("space", "rep", "unit").collect()
+    asked = classes.where(draw < int(min(1.0, queries / max(1, total)) * (1 << 20)) + 1).select("space", "rep", held).collect()
     spaces: dict[int, tuple] = {}
     for space in {r.space for r in asked}:
         own = [r for r in asked if r.space == space]
-        spaces[space] = (np.array([r.rep for r in own]), np.stack([np.frombuffer(bytes(r.unit), np.float64) for r in own]))
+        spaces[space] = (np.array([r.rep for r in own]), _matrix(pa.array([bytes(r[held]) for r in own]), dtype))
     shared = classes.sparkSession.sparkContext.broadcast(spaces)
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64())])
 
@@ -281,36 +480,47 @@ def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int =
             for s, (ids, units) in shared.value.items():
                 at = np.flatnonzero(space == s)
                 if len(at):
-                    near = units @ _matrix(batch.column(2).take(pa.array(at))).T >= threshold + CLEAR
+                    near = units @ _matrix(batch.column(2).take(pa.array(at)), dtype).T >= threshold + CLEAR
                     near &= ids[:, None] != rep[at][None, :]
                     for i, n in zip(ids.tolist(), (near @ copies[at]).tolist(), strict=True):
                         found[i] = found.get(i, 0) + n
         yield to_batch({"rep": list(found), "n": list(found.values())}, schema)
 
-    true = classes.select("space", "rep", "unit", "copies").mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+    true = classes.select("space", "rep", held, "copies").mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
     whole = true.where("n > 0").join(links, "rep", "left").select(F.floor(F.log2("n")).alias("band"), (F.coalesce("links", F.lit(0)) >= F.col("n")).cast("double").alias("whole"))
     least = whole.groupBy("band").agg(F.avg("whole").alias("share")).agg(F.min("share")).first()[0]
     return 1.0 if least is None else least
 
 
+def _counted(found: DataFrame) -> DataFrame:
+    """(rep, links) of what :func:`_exact` gave."""
+    return staged(found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links")), "nn-links")
+
+
 def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    rows, others, classes = _classes(vectors, id_col, vector_col, label_col)
-    graph = neighbour_graph(classes, threshold, TABLES, NEIGHBOURS)
-    edges = graph.select("a", F.explode("near").alias("e")).where(F.col("e.sim") >= threshold - MARGIN).select("a", F.col("e.b").alias("b"))
-    near = connected_components(edges, "nn-near")
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = near.join(sizes, "component").withColumnRenamed("node", "rep").join(classes, "rep")
-    found = staged(_counted(members, threshold).unionByName(_across(classes, near, threshold)), "nn-found")
-    links = staged(found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links")), "nn-links")
-    recall = audit(classes, links, threshold)
+    rows, classes, dtype = _classes(vectors, id_col, vector_col, label_col)
+    graph = neighbour_graph(classes, threshold, TABLES, NEIGHBOURS, dtype)
+    near = connected_components(graph.select("a", "b"), "nn-near")
+    inner, _ = _inside(classes, near, threshold, dtype)
+    found = inner = staged(inner, "nn-inside")
+    dense = staged(graph.where("dense").select(F.col("a").alias("node")).distinct().join(near, "node").select("component").distinct(), "nn-dense")
+    if dense.limit(1).count():
+        found = inner.unionByName(staged(_outside(classes, near, dense, threshold, dtype), "nn-outside"))
+    links = _counted(found)
+    recall = audit(classes, links, threshold, AUDIT, dtype)
+    if recall < RECALL:
+        found = inner.unionByName(staged(_across(classes, near, threshold, dtype), "nn-across"))
+        links = _counted(found)
+        recall = audit(classes, links, threshold, AUDIT, dtype)
     if recall < RECALL:
         raise RuntimeError(f"near_embeddings: all links found for only {recall:.4f} of the audited classes, {RECALL} wanted")
     groups = connected_components(found.where("b IS NOT NULL").select("a", "b"), "nn-groups").withColumnRenamed("node", "rep")
-    known = classes.join(links, "rep", "left").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    known = staged(known.select("rep", "component", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "nn-known")
+    own = ["space", "d0", "d1"]
+    known = classes.select("rep", *own, "copies", "least").join(links, "rep", "left").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    known = staged(known.select(*own, "component", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "nn-known")
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = rows.groupBy("space", "v").agg(F.min("row_key").alias("rep")).join(known.join(least, "component"), "rep").select("space", "v", "n_links", "component_id")
-    out = rows.select("vec_id", "space", "v").join(of_class, ["space", "v"]).select("vec_id", "n_links", "component_id")
-    alone = others.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    of_class = known.join(least, "component").select(*own, "n_links", "component_id")
+    out = rows.where("able").join(of_class, own).select("vec_id", "n_links", "component_id")
+    alone = rows.where("NOT able").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

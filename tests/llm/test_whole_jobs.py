@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from columnloom.llm import chat, common, exact_dedup, html_extract, language_id, near_embeddings, ngram_join, packing
@@ -347,3 +348,49 @@ def test_large_group_of_near_copies(spark):
         least = lower
     class_of = dict(zip(kinds, least.tolist(), strict=True))
     assert [got[k].class_id for k in range(len(texts))] == [class_of[s] for s in sets]
+
+
+def spread(draw, centre, n, angle):
+    """n vectors at angles up to about ``angle`` from the centre."""
+    return np.stack([at_cosine(draw, centre, np.cos(a)) for a in draw.uniform(0, angle, n)])
+
+
+def test_dense_groups(spark, monkeypatch):
+    """Spread groups with fuller neighbourhoods than lists hold, bridges between them, outsiders at their edges."""
+    for name, value in (("MAX_NEIGHBOURS", 4), ("NEIGHBOURS", 2), ("BLOCK", 16), ("CELL", 64), ("BUCKET", 32), ("PART", 16), ("SLICE", 24), ("RECALL", 0.0)):
+        monkeypatch.setattr(near_embeddings, name, value)
+    monkeypatch.setattr(near_embeddings, "_across", None)  # nothing but the method itself may find the links
+    draw = np.random.default_rng(31)
+    a = unit(draw.normal(size=32))
+    b = at_cosine(draw, a, np.cos(0.55))
+    groups = [spread(draw, a, 150, 0.25), spread(draw, b, 120, 0.3), spread(draw, unit(draw.normal(size=32)), 90, 0.9), group(draw, unit(draw.normal(size=32)), 200)]
+    alone = unit(draw.normal(size=(200, 32)))
+    edge = spread(draw, groups[0][3], 10, 0.4)
+    pairs = np.stack([at_cosine(draw, v, 0.94) for v in alone[:40]])
+    lost, links, wrong = missing(spark, np.concatenate([*groups, alone, edge, pairs]))
+    assert links > 20_000 and (lost, wrong) == (0, 0), (lost, links, wrong)
+
+
+def test_outside_of_dense_components(spark, monkeypatch):
+    """A graph that lacks every edge between two components with dense classes loses no link between them or to others."""
+    monkeypatch.setattr(near_embeddings, "_across", None)
+    monkeypatch.setattr(near_embeddings, "CELL", 32)
+    draw = np.random.default_rng(32)
+    a = unit(draw.normal(size=32))
+    x = np.concatenate([spread(draw, a, 80, 0.12), spread(draw, at_cosine(draw, a, 0.95), 80, 0.12), spread(draw, at_cosine(draw, a, 0.95), 20, 0.1), unit(draw.normal(size=(60, 32)))])
+    part = [0] * 80 + [80] * 80 + list(range(160, len(x)))
+
+    def graph(classes, *rest):
+        rows = classes.join(spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "i long, raw binary"), F.col("vector") == F.col("raw")).select("rep", "i").collect()
+        rep = {r.i: r.rep for r in rows}
+        edges = [(rep[i], rep[part[i]], True) for i in range(160) if part[i] != i]
+        return spark.createDataFrame(edges + [(b, a, True) for a, b, _ in edges], "a long, b long, dense boolean")
+
+    monkeypatch.setattr(near_embeddings, "neighbour_graph", graph)
+    monkeypatch.setattr(near_embeddings, "RECALL", 0.0)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in near_embeddings.near_embeddings(df).collect()}
+    near = unit(x) @ unit(x).T >= near_embeddings.THRESHOLD
+    want = near.sum(1) - 1
+    want[160:] -= near[160:, 160:].sum(1) - 1  # links among classes outside of both components are the graph's business
+    assert [got[i] for i in range(len(x))] == want.tolist()
