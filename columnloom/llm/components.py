@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from columnloom.llm.common import discard, staged
@@ -46,6 +46,13 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
     return labels
 
 
+def pivots(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(component, pivot): each component's node with the most of the edges (a, b), which lies amid the others most likely."""
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
+    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(labels, "node")
+    return degree.groupBy("component").agg(F.min(F.struct((-F.col("n")).alias("n"), "node")).alias("m")).select("component", F.col("m.node").alias("pivot"))
+
+
 def sure_links(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What a distance to one pivot per component tells about links, without looking at pairs.
 
@@ -64,10 +71,32 @@ def sure_links(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ends = members.groupBy("component").agg(F.min(F.struct("x", "rep")).alias("first"), F.max("x").alias("most"))
     placed = members.join(ends, "component")
     edges = placed.where((F.col("x") + F.col("first.x") <= 0) & (F.col("rep") != F.col("first.rep"))).select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))
-    unsure = placed.where(F.col("x") + F.col("most") > 0).select("component", "rep")
+    unsure = placed.where(F.col("x") + F.col("most") > 0).select("component", "rep", (F.col("x") > 0).alias("far"))
     return n, edges, unsure
 
 
+def far_blocks(rows: DataFrame, far_rows: Column | int, near_rows: Column | int, weight: Column | None = None) -> DataFrame:
+    """``rows`` with columns ``i``, ``j``, ``side``, so that a far row meets any other row of its component in one (component, i, j).
+
+    ``rows``: component, rep, far. Two rows that are not far never meet. Parts have about ``far_rows`` (and ``weight`` of
+    them) far ones or ``near_rows`` others, which may be columns over ``fars`` and ``nears``, a component's numbers.
+    """
+    weight = F.lit(1) if weight is None else weight
+    one = F.lit(1).cast("long")
+    sizes = rows.groupBy("component").agg(
+        F.sum(F.col("far").cast("long")).alias("fars"), F.sum((~F.col("far")).cast("long")).alias("nears"),
+        F.sum(F.when(F.col("far"), weight).otherwise(0)).alias("far_weight"), F.sum(F.when(F.col("far"), 0).otherwise(weight)).alias("near_weight"),
+    ).where("fars > 0")
+    sizes = sizes.select("component", F.greatest(one, F.ceil(F.greatest("fars", "far_weight") / far_rows)).alias("p"), F.greatest(one, F.ceil(F.greatest("nears", "near_weight") / near_rows)).alias("q"))
+    placed = rows.join(sizes, "component")
+    first = F.lit(0).cast("long")
+    far = placed.where("far").withColumn("own", F.pmod(F.xxhash64("rep"), "p"))
+    among = far.withColumn("other", F.explode(F.sequence(first, F.col("p") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", F.col("own"))
+    left = far.withColumn("i", -1 - F.col("own")).withColumn("j", F.explode(F.sequence(first, F.col("q") - 1))).withColumn("side", first)
+    near = placed.where("NOT far").withColumn("j", F.pmod(F.xxhash64("rep"), "q")).withColumn("i", F.explode(F.sequence(-F.col("p"), first - 1))).withColumn("side", first + 1)
+    return among.drop("own", "other", "p", "q").unionByName(left.drop("own", "p", "q")).unionByName(near.drop("p", "q"))
+
+
 def in_blocks(rows: DataFrame, key: str, item: str, size: str, block_rows: int) -> DataFrame:
     """``rows`` with columns ``i``, ``j``, ``side``, so that any two rows of a key meet in one (key, i, j).
 
@@ -81,11 +110,6 @@ def in_blocks(rows: DataFrame, key: str, item: str, size: str, block_rows: int)
     return rows.withColumn("side", side).withColumn("other", other).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other")
 
 
-def meeting(i: int, j: int, side: np.ndarray) -> np.ndarray | None:
-    """Which pairs of a block count here: None for all, else a boolean matrix (those across the two parts)."""
-    return None if i == j else side[:, None] != side[None, :]
-
-
 def across(side: np.ndarray) -> np.ndarray | None:
     """Which pairs of a block of rows with sides count: None for all where there is one side, else those of unequal sides."""
     return None if (side == side[0]).all() else side[:, None] != side[None, :]

@@ -38,14 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from columnloom.llm.common import discard, fresh, keyed, small_side, staged, to_batch
-from columnloom.llm.components import connected_components, grouped, in_blocks, runs, spanning, sure_links
+from columnloom.llm.components import connected_components, far_blocks, grouped, in_blocks, pivots, runs, spanning, sure_links
 
 THRESHOLD = 0.93
-#: Bits of a mark; words that hold them; differing bits that contract; bits of the code by which tight groups meet.
-BITS, TIGHT, TIGHT_CODE = 256, 12, 16
+#: Bits of a mark; differing bits that contract; bits of the code by which tight groups meet, and classes of a part of one.
+BITS, TIGHT, TIGHT_CODE, TIGHT_PART = 256, 12, 16, 512
 WORDS = BITS // 64
 #: Chance that all tables part a pair at the threshold, and classes of a table's bucket. TABLES, if set, is their number.
-MISS, BUCKET, TABLES = 1e-4, 1024, None
+MISS, BUCKET, TABLES = 1e-4, 2048, None
 NEIGHBOURS, MAX_NEIGHBOURS, ROUNDS, PART = 8, 32, 8, 256
 #: Classes of a component that is one block; classes of a part where a larger one's are compared; classes of a slice.
 BLOCK, CELL, SLICE = 256, 2048, 512
@@ -87,18 +87,31 @@ def _marks(units: np.ndarray) -> np.ndarray:
     return np.packbits(units @ _planes(units.shape[1], BITS, 94) > 0, axis=1).view(np.int64)
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Numbers of differing bits of all pairs of marks."""
-    out = np.zeros((len(a), len(b)), np.int32)
-    for w in range(WORDS):
-        out += np.bitwise_count(a[:, None, w].view(np.uint64) ^ b[None, :, w].view(np.uint64))
-    return out
-
-
-def _reach(threshold: float) -> int:
+def _reach(threshold: float, bits: int = BITS) -> int:
     """Bits by which the marks of a pair at the threshold differ, and 5.5 standard deviations more."""
     p = math.acos(threshold) / math.pi
-    return math.ceil(BITS * p + 5.5 * math.sqrt(BITS * p * (1 - p)))
+    return math.ceil(bits * p + 5.5 * math.sqrt(bits * p * (1 - p)))
+
+
+def _close(marks: np.ndarray, left: np.ndarray, right: np.ndarray, slack: np.ndarray, reach: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, apart): the pairs of ``left`` and ``right`` (of different rows, where both are one: x < y) within reach.
+
+    ``first`` is the reach in the first half of the words, which sorts out nearly all pairs.
+    """
+    words = np.ascontiguousarray(marks.T).view(np.uint64)
+    half, out, loose = WORDS // 2, [], np.minimum(slack, BITS // 2).astype(np.uint8) if slack.any() else None
+    for start in range(0, len(left), 128):
+        x, y = left[start : start + 128], right[start:] if left is right else right
+        apart = sum(np.bitwise_count(words[w][x][:, None] ^ words[w][y][None, :]) for w in range(half))
+        limit = first if loose is None else (loose[x] + np.uint8(first))[:, None] + loose[y][None, :]
+        i, j = np.divmod(np.flatnonzero(apart <= limit), len(y))
+        if left is right:
+            i, j = i[j > i], j[j > i]
+        out.append((x[i], y[j]))
+    x, y = (np.concatenate(o) for o in zip(*out, strict=True))
+    apart = sum(np.bitwise_count(words[w][x] ^ words[w][y]).astype(np.int64) for w in range(WORDS)) - slack[x] - slack[y]
+    near = apart <= reach
+    return x[near], y[near], apart[near]
 
 
 def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame, type]:
@@ -149,7 +162,7 @@ def _tight(classes: DataFrame) -> DataFrame:
     code = F.xxhash64("space", F.shiftrightunsigned(F.col("m0"), 64 - TIGHT_CODE))
     rows = classes.select("rep", code.alias("code"), *_MARK)
     sizes = rows.groupBy("code").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = rows.join(sizes, "code").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BUCKET)))
+    rows = rows.join(sizes, "code").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / TIGHT_PART)))
     schema = pa.schema([("rep", pa.int64()), ("leader", pa.int64()), ("slack", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,15 +170,20 @@ def _tight(classes: DataFrame) -> DataFrame:
         for block in runs(batches, 2):
             if block.num_rows > 1:
                 rep, marks = block.column(2).to_numpy(), np.stack([block.column(3 + w).to_numpy() for w in range(WORDS)], 1)
-                apart = _apart(marks, marks)
-                close = apart <= TIGHT
-                free = close.sum(1) > 1
-                for i in np.flatnonzero(free):
+                n = np.arange(len(rep))
+                x, y, apart = _close(marks, n, n, np.zeros(len(rep), np.int64), TIGHT, TIGHT)
+                x, y, apart = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([apart, apart])
+                order = np.argsort(x, kind="stable")
+                y, apart, ends = y[order], apart[order], np.searchsorted(x[order], np.arange(len(rep) + 1))
+                free = np.ones(len(rep), bool)
+                for i in np.flatnonzero(np.diff(ends)):
                     if free[i]:
-                        own = np.flatnonzero(close[i] & free)
-                        free[own] = False
-                        if len(own) > 1:
-                            out.append(np.stack([rep[own], np.full(len(own), rep[i]), np.full(len(own), apart[i, own].max())]))
+                        near = slice(ends[i], ends[i + 1])
+                        own = free[y[near]]
+                        members, far = y[near][own], apart[near][own]
+                        free[i] = free[members] = False
+                        if len(members):
+                            out.append(np.stack([rep[np.append(members, i)], np.full(len(members) + 1, rep[i]), np.full(len(members) + 1, far.max())]))
         found = np.concatenate(out, 1) if out else np.zeros((3, 0), np.int64)
         yield to_batch({"rep": found[0], "leader": found[1], "slack": found[2]}, schema)
 
@@ -176,76 +194,157 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64()),
 _EDGES_SQL = "a long, b long, sim double, dense boolean"
 
 
-def _near(apart: np.ndarray, rep: np.ndarray, k: np.ndarray, reach: int) -> Iterator[tuple]:
-    """(a, b, apart, dense): the best k within reach of each row; of a row with too many, edges of a spanning forest."""
-    near = apart <= reach
-    degree = near.sum(1)
-    dense = degree > MAX_NEIGHBOURS
-    few = np.flatnonzero((degree > 0) & ~dense)
-    if len(few):
-        most = min(int(k[few].max()), apart.shape[1] - 1)
-        order = np.argsort(apart[few], axis=1, kind="stable")[:, :most]
-        value = np.take_along_axis(apart[few], order, 1)
-        keep = (value <= reach) & (np.arange(most)[None, :] < k[few][:, None])
-        row, place = np.nonzero(keep)
-        yield rep[few][row], rep[order[row, place]], value[row, place], np.zeros(len(row), bool)
+def _near(x: np.ndarray, y: np.ndarray, apart: np.ndarray, rep: np.ndarray, k: np.ndarray) -> Iterator[tuple]:
+    """(a, b, apart, dense): each row's best k of the pairs; of a row that has too many, edges of a spanning forest."""
+    both, other, apart = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([apart, apart])
+    dense = np.bincount(both, minlength=len(rep)) > MAX_NEIGHBOURS
+    order = np.lexsort((apart, both))
+    order = order[~dense[both[order]]]
+    row = both[order]
+    keep = order[np.arange(len(row)) - np.searchsorted(row, row) < k[row]]
+    yield rep[both[keep]], rep[other[keep]], apart[keep], np.zeros(len(keep), bool)
     if dense.any():
-        tree = np.array(spanning(*np.nonzero(np.triu(near & (dense[:, None] | dense[None, :]))), len(rep)), np.int64).reshape(-1, 2).T
-        for x, y in (tree, tree[::-1]):
-            yield rep[x], rep[y], apart[x, y], dense[x]
+        thick = np.flatnonzero(dense[x] | dense[y])
+        thick = thick[np.lexsort((y[thick], x[thick]))]
+        far = dict(zip(zip(x[thick].tolist(), y[thick].tolist(), strict=True), apart[thick].tolist(), strict=True))
+        tree = spanning(x[thick], y[thick], len(rep))
+        if tree:
+            (u, v), far = np.array(tree, np.int64).T, np.array([far[e] for e in tree])
+            yield rep[u], rep[v], far, dense[u]
+            yield rep[v], rep[u], far, dense[v]
 
 
-def _compared(rows: DataFrame, keys: list[str], reach: int) -> DataFrame:
-    """(a, b, sim, dense) from comparing the rows (keys..., rep, side, slack, k, mark) of each run, across sides if there are two."""
+class _Edges:
+    """Collects what :func:`_near` finds in blocks and hands it on as batches."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+    def __init__(self, threshold: float) -> None:
+        self.reach, self.first, self.held = _reach(threshold), _reach(threshold, BITS // 2), []
+
+    def compare(self, rep: np.ndarray, side: np.ndarray, slack: np.ndarray, k: np.ndarray, marks: np.ndarray) -> None:
+        """Rows meet those of the other side, or each other where there is one side."""
+        left = right = np.arange(len(rep))
+        if (side != side[0]).any():
+            left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side != side.min())
+        found = _close(marks, left, right, slack, self.reach, self.first)
+        if len(found[0]):
+            self.held += _near(*found, rep, k)
+
+    def batch(self) -> pa.RecordBatch:
+        a, b, apart, dense = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64),) * 4
+        self.held = []
+        return to_batch({"a": a, "b": b, "sim": np.cos(np.pi * apart / BITS), "dense": dense.astype(bool)}, _EDGES)
 
-        def made() -> pa.RecordBatch:
-            a, b, apart, dense = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
-            out.clear()
-            return to_batch({"a": a, "b": b, "sim": np.cos(np.pi * apart / BITS), "dense": dense.astype(bool)}, _EDGES)
 
+def _compared(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(a, b, sim, dense) from comparing the rows (keys..., rep, slack, k, mark) of each run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = _Edges(threshold)
         for block in runs(batches, len(keys)):
             if block.num_rows > 1:
-                rep, side, slack, k, *words = (block.column(len(keys) + c).to_numpy() for c in range(4 + WORDS))
-                marks = np.stack(words, 1)
-                apart = _apart(marks, marks) - slack[:, None] - slack[None, :]
-                apart[(side[:, None] == side[None, :]) if (side != side[0]).any() else np.eye(len(rep), dtype=bool)] = BITS
-                out += _near(apart, rep, k, reach)
-            if len(out) > 500:
-                yield made()
-        yield made()
+                rep, slack, k, *words = (block.column(len(keys) + c).to_numpy() for c in range(3 + WORDS))
+                edges.compare(rep, np.zeros(len(rep)), slack, k, np.stack(words, 1))
+            if len(edges.held) > 500:
+                yield edges.batch()
+        yield edges.batch()
+
+    return grouped(rows.select(*keys, "rep", "slack", "k", *_MARK), *keys).mapInArrow(run, _EDGES_SQL)
+
 
-    return grouped(rows.select(*keys, "rep", "side", "slack", "k", *_MARK), *keys).mapInArrow(run, _EDGES_SQL)
+#: Leaders that are sorted into the buckets of all tables at once.
+HELD = 32_768
 
 
-def _first_edges(leaders: DataFrame, vectors: DataFrame, threshold: float, tables: int | None, neighbours: int, dtype) -> DataFrame:
-    """``leaders``: rep, space, slack, mark; ``vectors``: rep, vector."""
+def _first_edges(leaders: DataFrame, threshold: float, tables: int | None, neighbours: int, dtype) -> DataFrame:
+    """(a, b, sim, dense) of leaders that share a bucket. ``leaders``: rep, space, slack, mark, vector.
+
+    What a task has of a bucket moves as one row: leaders, slack and marks in binary.
+    """
     largest = leaders.groupBy("space").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, largest) / BUCKET)))
     stay = (1 - math.acos(threshold) / math.pi) ** bits
     tables = tables or (math.ceil(math.log(MISS) / math.log(1 - stay)) if bits else 1)
     names = ["rep", "space", "slack", *_MARK]
-    schema = pa.schema([("bucket", pa.int64()), ("rep", pa.int64()), ("slack", pa.int64())] + [(m, pa.int64()) for m in _MARK])
+    entry = 2 + WORDS  # words of 8 bytes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            code = np.zeros((batch.num_rows, tables), np.int64)
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(bucket of each leader and table, entries of the leaders)."""
+        held: list[pa.RecordBatch] = []
+
+        def made() -> tuple[np.ndarray, np.ndarray]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            code = np.zeros((table.num_rows, tables), np.int64)
             if bits:
-                for at, units in _by_length(batch.column(len(names)), dtype):
-                    side = (units @ _planes(units.shape[1], tables * bits, 93) > 0).reshape(len(at), tables, bits)
+                for at, units in _by_length(table.column(len(names)).combine_chunks(), dtype):
+                    side = (units.astype(np.float32) @ _planes(units.shape[1], tables * bits, 93).astype(np.float32) > 0).reshape(len(at), tables, bits)
                     code[at] = side @ (1 << np.arange(bits))
-            own = {c: batch.column(i).to_numpy() for i, c in enumerate(names)}
-            bucket = (own["space"][:, None] ^ ((code * tables + np.arange(tables)) * 0x2545F4914F6CDD1D)).ravel()
-            yield to_batch({"bucket": bucket, **{c: np.repeat(own[c], tables) for c in ("rep", "slack", *_MARK)}}, schema)
+            own = [table.column(c).to_numpy() for c in range(len(names))]
+            return own[1][:, None] ^ ((code * tables + np.arange(tables)) * 0x2545F4914F6CDD1D), np.stack([own[0], *own[2:]], 1)
 
-    rows = leaders.join(vectors, "rep").select(*names, "vector").mapInArrow(run, ", ".join(f"{f.name} long" for f in schema))
-    # The sizes are counted in a pass of their own, whose rows are aggregated before they move.
-    large = staged(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 2 * BUCKET), "nn-large")
-    dealt = rows.join(small_side(large, large.count()), "bucket", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    dealt = in_blocks(dealt, "bucket", "rep", "size", BUCKET).withColumn("k", F.lit(neighbours).cast("long"))
-    return _compared(dealt, ["bucket", "i", "j"], _reach(threshold))
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD:
+                yield made()
+        if held:
+            yield made()
+
+    count_schema = pa.schema([("bucket", pa.int64()), ("n", pa.int64())])
+    blob_schema = pa.schema([("bucket", pa.int64()), ("entries", pa.binary())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, _ in coded(batches):
+            own, n = np.unique(bucket, return_counts=True)
+            yield to_batch({"bucket": own, "n": n}, count_schema)
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, entries in coded(batches):
+            flat = bucket.ravel()
+            order = np.argsort(flat, kind="stable")
+            own, start = np.unique(flat[order], return_index=True)
+            ends = np.append(start[1:], len(flat)) * 8 * entry
+            packed = memoryview(entries[order // tables].tobytes())
+            yield to_batch({"bucket": own, "entries": [packed[a:b].tobytes() for a, b in zip((start * 8 * entry).tolist(), ends.tolist(), strict=True)]}, blob_schema)
+
+    def opened(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, entry)
+
+    part_schema = pa.schema([("bucket", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("side", pa.int64()), ("entries", pa.binary())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {f.name: [] for f in part_schema}
+            for bucket, blob, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = np.frombuffer(blob, np.int64).reshape(-1, entry)
+                side = (rows[:, 0] * 0x2545F4914F6CDD1D >> 17) % parts
+                for own in np.unique(side).tolist():
+                    mine = rows[side == own].tobytes()
+                    for other in range(parts):
+                        for name, value in zip(out, (bucket, min(own, other), max(own, other), own, mine), strict=True):
+                            out[name].append(value)
+            yield to_batch(out, part_schema)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = _Edges(threshold)
+        for block in runs(batches, 3):
+            rows = opened(block.column(4))
+            if len(rows) > 1:
+                side = np.repeat(block.column(3).to_numpy(), [len(x) // (8 * entry) for x in block.column(4).to_pylist()])
+                edges.compare(rows[:, 0], side, rows[:, 1], np.full(len(rows), neighbours), rows[:, 2:])
+            if len(edges.held) > 500:
+                yield edges.batch()
+        yield edges.batch()
+
+    rows = leaders.select(*names, "vector")
+    sizes = rows.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    large = staged(sizes.where(F.col("n") > 2 * BUCKET).select("bucket", F.ceil(F.col("n") / BUCKET).alias("parts")), "nn-large")
+    blobs, n_large, zero = rows.mapInArrow(sort, "bucket long, entries binary"), large.count(), F.lit(0).cast("long")
+    small = blobs.join(small_side(large.select("bucket"), n_large), "bucket", "left_anti") if n_large else blobs
+    whole = small.select("bucket", zero.alias("i"), zero.alias("j"), zero.alias("side"), "entries")
+    if n_large:
+        dealt = blobs.join(small_side(large, n_large), "bucket").select("bucket", "entries", "parts")
+        whole = whole.unionByName(dealt.mapInArrow(deal, "bucket long, i long, j long, side long, entries binary"))
+    return grouped(whole, "bucket", "i", "j").mapInArrow(compare, _EDGES_SQL)
 
 
 def _lists(edges: DataFrame, lengths: DataFrame | None, neighbours: int, name: str) -> DataFrame:
@@ -258,10 +357,12 @@ def _lists(edges: DataFrame, lengths: DataFrame | None, neighbours: int, name: s
 def neighbour_graph(classes: DataFrame, threshold: float, tables: int | None, neighbours: int, dtype=np.float64) -> DataFrame:
     """(a, b, dense): edges of the graph after NN-descent; dense where a has more neighbours than lists hold."""
     tight = staged(_tight(classes), "nn-tight")
-    slack = tight.where("rep = leader").select("rep", "slack")
-    leaders = classes.join(tight.where("rep <> leader").select("rep"), "rep", "left_anti").join(slack, "rep", "left")
-    leaders = staged(leaders.select("rep", "space", F.coalesce("slack", F.lit(0).cast("long")).alias("slack"), *_MARK), "nn-leaders")
-    first = staged(_first_edges(leaders, classes.select("rep", "vector"), threshold, tables, neighbours, dtype), "nn-first")
+    n_tight = tight.count()
+    leaders = classes.join(small_side(tight.where("rep <> leader").select("rep"), n_tight), "rep", "left_anti")
+    leaders = leaders.join(small_side(tight.where("rep = leader").select("rep", "slack"), n_tight), "rep", "left")
+    leaders = leaders.select("rep", "space", F.coalesce("slack", F.lit(0).cast("long")).alias("slack"), *_MARK, "vector")
+    first = staged(_first_edges(leaders, threshold, tables, neighbours, dtype), "nn-first")
+    leaders = leaders.drop("vector")
     dense = first.where("dense").select("a").distinct()
     fixed = first.where("dense").select("a", "b").distinct()  # edges of forests, which lists of dense leaders need not hold
     lists = _lists(first.where("NOT dense"), None, neighbours, "nn-lists")
@@ -275,7 +376,7 @@ def neighbour_graph(classes: DataFrame, threshold: float, tables: int | None, ne
         sizes = active.groupBy("hub").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         members = active.join(sizes, "hub").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / PART)))
         members = members.join(leaders, "rep").join(grown.withColumnRenamed("a", "rep"), "rep", "left").withColumn("k", F.coalesce("k", F.lit(neighbours)).cast("long"))
-        better = staged(_compared(members.withColumn("side", F.lit(0)), ["hub", "part"], _reach(threshold)), "nn-better")
+        better = staged(_compared(members, ["hub", "part"], threshold), "nn-better")
         dense, fixed = dense.union(better.where("dense").select("a")), fixed.union(better.where("dense").select("a", "b"))
         after = _lists(edges.unionByName(better.where("NOT dense").select("a", "b", "sim")), grown, neighbours, "nn-lists")
         ids = F.transform("near", lambda e: e["b"])
@@ -376,63 +477,63 @@ def _angles(rows: DataFrame, dtype) -> DataFrame:
     return rows.select("component", "rep", "copies", "vector", "pivot").mapInArrow(run, "component long, rep long, copies long, steps long")
 
 
-def _inside(classes: DataFrame, near: DataFrame, threshold: float, dtype) -> tuple[DataFrame, DataFrame]:
-    """Links inside components as :func:`_exact` gives them, and (component, steps): the radius of the large ones."""
+def _inside(classes: DataFrame, near: DataFrame, middles: DataFrame, threshold: float, dtype) -> DataFrame:
+    """Links inside the components of ``near``, as :func:`_exact` gives them. ``middles``: component, pivot."""
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = near.withColumnRenamed("node", "rep").join(sizes, "component").join(classes.select("rep", "copies", "vector"), "rep")
     small = members.where(F.col("size") <= BLOCK).withColumn("side", F.lit(0)).withColumn("of", F.lit(0).cast("long"))
     links = _exact(small, ["component"], threshold, dtype)
-    large = members.where(F.col("size") > BLOCK)
-    pivots = classes.join(sizes.where(F.col("size") > BLOCK).select(F.col("component").alias("rep")), "rep").select(F.col("rep").alias("component"), F.col("vector").alias("pivot"))
-    told = staged(_angles(large.join(pivots, "component"), dtype), "nn-angles")
-    radius = told.groupBy("component").agg(F.max("steps").alias("steps"))
+    chosen = sizes.where(F.col("size") > BLOCK).join(middles, "component").select("component", F.col("pivot").alias("rep"))
+    middle = classes.join(chosen, "rep").select("component", F.col("vector").alias("pivot"))
+    told = staged(_angles(members.where(F.col("size") > BLOCK).join(middle, "component"), dtype), "nn-angles")
     if not told.limit(1).count():
-        return links, radius
+        return links
     whole = math.floor((math.acos(threshold) - CLEAR) * STEPS)
     told = told.withColumn("x", 2 * F.col("steps") - whole)
     sure, edges, unsure = sure_links(told.select("component", "rep", "copies", "x"))
     none = F.lit(None).cast("long")
     links = links.unionByName(sure.select(F.col("rep").alias("a"), none.alias("b"), "n")).unionByName(edges.select("a", "b", F.lit(0).cast("long").alias("n")))
-    open_ones = staged(told.join(unsure.select("rep"), "rep", "left_semi"), "nn-unsure")
-    n = open_ones.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    part = F.greatest(F.lit(float(CELL)), F.sqrt(F.col("size") * CELL))
-    rows = in_blocks(open_ones.join(n, "component"), "component", "rep", "size", part).join(classes.select("rep", "vector"), "rep").withColumn("of", F.col("x"))
-    return links.unionByName(_exact(rows, ["component", "i", "j"], threshold, dtype, "sum")), radius
+    unsure_ones = staged(told.join(unsure.select("rep", "far"), "rep"), "nn-unsure")
+    rows = [F.greatest(F.lit(float(CELL)), F.sqrt(F.col(c) * CELL)) for c in ("fars", "nears")]
+    blocks = far_blocks(unsure_ones, *rows).join(classes.select("rep", "vector"), "rep").withColumn("of", F.col("x"))
+    return links.unionByName(_exact(blocks, ["component", "i", "j"], threshold, dtype, "sum"))
 
 
-def _outside(classes: DataFrame, near: DataFrame, dense: DataFrame, threshold: float, dtype) -> DataFrame:
-    """Links, as :func:`_exact` gives them, of components with a dense class to classes outside of them.
+def _outside(classes: DataFrame, groups: DataFrame, near: DataFrame, dense: DataFrame, threshold: float, dtype) -> DataFrame:
+    """Links, as :func:`_exact` gives them, of groups with a dense class to classes of other components of ``near``.
 
-    ``dense``: component. Outside classes are those of the label whose angle to the component's pivot is no more than its
-    radius and the threshold's angle together; between two dense components the lower one asks.
+    ``dense``: component, of ``groups``, each of which lies inside a component of ``near``. Of the label's classes those
+    are asked about whose angle to the group's smallest is no more than its radius and the threshold's angle together;
+    between two dense groups the lower one asks.
     """
-    owned = classes.select("rep", "space", "copies", "vector").join(near.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    owned = classes.select("rep", "space", "copies", "vector").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    owned = owned.join(near.select(F.col("node").alias("rep"), F.col("component").alias("counted")), "rep", "left").withColumn("counted", F.coalesce("counted", "rep"))
     owned = owned.join(dense.select("component", F.lit(True).alias("dense")), "component", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
     asking = owned.where("dense")
-    pivots = asking.where("rep = component").select("component", "space", F.col("vector").alias("pivot"))
-    radius = _angles(asking.join(pivots.drop("space"), "component"), dtype).groupBy("component").agg(F.max("steps").alias("radius"))
-    centres = staged(pivots.join(radius, "component"), "nn-centres")
+    middle = asking.where("rep = component").select("component", "counted", "space", F.col("vector").alias("pivot"))
+    radius = _angles(asking.join(middle.select("component", "pivot"), "component"), dtype).groupBy("component").agg(F.max("steps").alias("radius"))
+    centres = staged(middle.join(radius, "component"), "nn-centres")
     counts = centres.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("pivots")).join(classes.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / (4 * CELL)).alias("parts")), "space")
     zero = F.lit(0).cast("long")
     left = centres.join(counts, "space").withColumn("p", F.pmod(F.xxhash64("component"), "pivots")).withColumn("q", F.explode(F.sequence(zero, F.col("parts") - 1)))
     right = owned.join(counts, "space").withColumn("q", F.pmod(F.xxhash64("rep"), "parts")).withColumn("p", F.explode(F.sequence(zero, F.col("pivots") - 1)))
-    both = left.select("space", "p", "q", F.lit(0).alias("side"), F.col("component").alias("rep"), "component", F.lit(True).alias("dense"), "radius", F.col("pivot").alias("vector"))
-    both = both.unionByName(right.select("space", "p", "q", F.lit(1).alias("side"), "rep", "component", "dense", zero.alias("radius"), "vector"))
+    both = left.select("space", "p", "q", F.lit(0).alias("side"), F.col("component").alias("rep"), "component", "counted", F.lit(True).alias("dense"), "radius", F.col("pivot").alias("vector"))
+    both = both.unionByName(right.select("space", "p", "q", F.lit(1).alias("side"), "rep", "component", "counted", "dense", zero.alias("radius"), "vector"))
     schema = pa.schema([("component", pa.int64()), ("rep", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in runs(batches, 3):
-            side, rep, component, dense_, radius_ = (block.column(c).to_numpy() for c in range(3, 8))
+            side, rep, component, counted, dense_, radius_ = (block.column(c).to_numpy() for c in range(3, 9))
             centre, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if len(centre) and len(other):
-                units = _matrix(block.column(8), dtype)
+                units = _matrix(block.column(9), dtype)
                 least = np.cos(np.minimum(np.pi, np.arccos(threshold) + (radius_[centre] + 1) / STEPS)) - MARGIN
                 meets = units[centre].astype(np.float32) @ units[other].astype(np.float32).T >= least[:, None]
                 meets &= np.where(dense_[other][None, :], component[centre][:, None] < component[other][None, :], True)
-                c, o = np.nonzero(meets & (component[centre][:, None] != component[other][None, :]))
+                c, o = np.nonzero(meets & (counted[centre][:, None] != counted[other][None, :]))
                 yield to_batch({"component": component[centre][c], "rep": rep[other][o]}, schema)
 
-    met = grouped(both.select("space", "p", "q", "side", "rep", "component", "dense", "radius", "vector"), "space", "p", "q").mapInArrow(run, "component long, rep long")
+    met = grouped(both.select("space", "p", "q", "side", "rep", "component", "counted", "dense", "radius", "vector"), "space", "p", "q").mapInArrow(run, "component long, rep long")
     met = staged(met, "nn-met")
     out_size = met.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("outs"))
     in_size = asking.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("ins"))
@@ -502,11 +603,14 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     rows, classes, dtype = _classes(vectors, id_col, vector_col, label_col)
     graph = neighbour_graph(classes, threshold, TABLES, NEIGHBOURS, dtype)
     near = connected_components(graph.select("a", "b"), "nn-near")
-    inner, _ = _inside(classes, near, threshold, dtype)
-    found = inner = staged(inner, "nn-inside")
-    dense = staged(graph.where("dense").select(F.col("a").alias("node")).distinct().join(near, "node").select("component").distinct(), "nn-dense")
+    inner = staged(_inside(classes, near, pivots(graph, near), threshold, dtype), "nn-inside")
+    groups = connected_components(inner.where("b IS NOT NULL").select("a", "b"), "nn-groups")
+    found = inner
+    dense = staged(graph.where("dense").select(F.col("a").alias("node")).distinct().join(groups, "node").select("component").distinct(), "nn-dense")
     if dense.limit(1).count():
-        found = inner.unionByName(staged(_outside(classes, near, dense, threshold, dtype), "nn-outside"))
+        # Outside of the components that links make, not of those of the graph, which unrelated vectors may have joined.
+        missed = staged(_outside(classes, groups, near, dense, threshold, dtype), "nn-outside")
+        found = inner.unionByName(missed)
     links = _counted(found)
     recall = audit(classes, links, threshold, AUDIT, dtype)
     if recall < RECALL:
@@ -515,7 +619,9 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         recall = audit(classes, links, threshold, AUDIT, dtype)
     if recall < RECALL:
         raise RuntimeError(f"near_embeddings: all links found for only {recall:.4f} of the audited classes, {RECALL} wanted")
-    groups = connected_components(found.where("b IS NOT NULL").select("a", "b"), "nn-groups").withColumnRenamed("node", "rep")
+    if found is not inner:
+        groups = connected_components(found.where("b IS NOT NULL").select("a", "b"), "nn-groups")
+    groups = groups.withColumnRenamed("node", "rep")
     own = ["space", "d0", "d1"]
     known = classes.select("rep", *own, "copies", "least").join(links, "rep", "left").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = staged(known.select(*own, "component", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "nn-known")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from columnloom.llm.common import drop_rows, fresh, keyed, pieces, small_side, staged, to_batch
-from columnloom.llm.components import across, connected_components, grouped, in_blocks, runs, spanning, sure_links
+from columnloom.llm.components import across, connected_components, far_blocks, grouped, pivots, runs, spanning, sure_links
 
 WORDS, THRESHOLD = 5, 0.8
 HASHES, BAND, STEP, TOLERANCE = 96, 4, 16, 1e-5
@@ -316,15 +316,15 @@ def _linked_rows(rep: np.ndarray, copies: np.ndarray, linked: np.ndarray) -> Ite
 def _verified(texts: DataFrame, threshold: float) -> DataFrame:
     """Links inside components, as (component, a, b, n, apart, difference).
 
-    ``texts``: component, rep, copies, size, weight (shingles of the component), text. A small component is one block,
-    whose links come out as :func:`_linked_rows` gives them. A large one is dealt into parts that all hold the
-    component's smallest class, the pivot; each class comes out with its number of shingles, how many set it apart from
+    ``texts``: component, rep, copies, size, weight (shingles of the component), pivot, text. A small component is one
+    block, whose links come out as :func:`_linked_rows` gives them. A large one is dealt into parts that all hold the
+    component's pivot; each class comes out with its number of shingles, how many set it apart from
     the pivot, and which.
     """
     parts = F.ceil(F.greatest(F.col("size") / VERIFY_ROWS, F.col("weight") / VERIFY_SHINGLES)).cast("long")
     own = F.pmod(F.xxhash64("rep"), parts)
-    places = F.when(F.col("rep") == F.col("component"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(own))
-    rows = texts.withColumn("own", own).withColumn("parts", parts).withColumn("part", F.explode(places)).select("component", "part", "rep", "own", "parts", "copies", "text")
+    places = F.when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(own))
+    rows = texts.withColumn("own", own).withColumn("parts", parts).withColumn("part", F.explode(places)).select("component", "part", "rep", "own", "parts", "copies", "text", "pivot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -341,7 +341,7 @@ def _verified(texts: DataFrame, threshold: float) -> DataFrame:
                 if len(rep) > 1:
                     out += [(component, a, b, n, None, None) for a, b, n in _linked_rows(rep, block.column(5).to_numpy(), jaccard_links(sets, None, threshold))]
             else:
-                pivot = sets[int(np.flatnonzero(rep == component)[0])]
+                pivot = sets[int(np.flatnonzero(rep == block.column(7)[0].as_py())[0])]
                 for k in np.flatnonzero(block.column(3).to_numpy() == part):
                     apart = np.setxor1d(sets[k], pivot, assume_unique=True)
                     out.append((component, int(rep[k]), None, len(sets[k]), len(apart), apart.tobytes()))
@@ -355,11 +355,10 @@ def _verified(texts: DataFrame, threshold: float) -> DataFrame:
 def _unsure_links(members: DataFrame, threshold: float) -> DataFrame:
     """(a, b, n) as :func:`_linked_rows` gives them, for the pairs that the distances to the pivot don't tell.
 
-    ``members``: component, rep, copies, n, apart, difference. Only the differences from the pivot move, in blocks of
+    ``members``: component, rep, copies, n, apart, difference, far. Only the differences from the pivot move, in blocks of
     ``OPEN_ROWS`` rows and ``OPEN_SHINGLES`` shingles a side.
     """
-    sizes = members.groupBy("component").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("apart") * OPEN_ROWS / OPEN_SHINGLES)).alias("size"))
-    rows = in_blocks(members.join(sizes, "component"), "component", "rep", "size", OPEN_ROWS).select("component", "i", "j", "rep", "side", "copies", "n", "difference")
+    rows = far_blocks(members, OPEN_ROWS, OPEN_ROWS, F.col("apart") * (OPEN_ROWS / OPEN_SHINGLES)).select("component", "i", "j", "rep", "side", "copies", "n", "difference")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +384,7 @@ def _all_links(found: DataFrame, copies: DataFrame, threshold: float) -> DataFra
     sure, edges, unsure = sure_links(members.select("component", "rep", "copies", "x"))
     none = F.lit(None).cast("long")
     links = links.unionByName(sure.select(F.col("rep").alias("a"), none.alias("b"), "n")).unionByName(edges.select("a", "b", F.lit(0).cast("long").alias("n")))
-    return links.unionByName(_unsure_links(members.join(unsure.select("rep"), "rep", "left_semi"), threshold))
+    return links.unionByName(_unsure_links(members.join(unsure.select("rep", "far"), "rep"), threshold))
 
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
@@ -403,10 +402,11 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     sets = staged(signed.where("n > 0").groupBy(*same).agg(F.min("row_key").alias("rep"), F.count(F.lit(1)).alias("copies"), first.alias("first")), "ngram-sets")
     classes = staged(signed.join(sets.select(F.col("rep").alias("row_key")), "row_key", "left_semi").select(F.col("row_key").alias("rep"), "signature"), "ngram-classes")
 
-    near = connected_components(_candidates(classes, threshold), "ngram-near")
+    likely = staged(_candidates(classes, threshold), "ngram-likely")
+    near = connected_components(likely, "ngram-near")
     of_class = sets.select(F.col("rep").alias("node"), "copies", "n")
     sizes = near.join(of_class, "node").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
-    chosen = staged(near.join(sizes, "component").join(of_class, "node").select(F.col("node").alias("row_key"), "component", "size", "weight", "copies"), "ngram-chosen")
+    chosen = staged(near.join(sizes, "component").join(of_class, "node").join(pivots(likely, near), "component").select(F.col("node").alias("row_key"), "component", "size", "weight", "copies", "pivot"), "ngram-chosen")
     texts = docs.select(F.col(key).alias("row_key"), F.col(text_col).alias("text")).join(small_side(chosen, chosen.count()), "row_key")
     verified = staged(_verified(texts.withColumnRenamed("row_key", "rep"), threshold), "ngram-verified")
     found = staged(_all_links(verified, sets.select("rep", "copies"), threshold), "ngram-found")
