@@ -10,8 +10,8 @@ import pyarrow.compute  # noqa: F401  makes pa.compute available
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only after a count has shown that it has at most so many keys.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only after a count has shown that its rows, at so much for a column, take at most so many bytes.
+BROADCAST_BYTES, COLUMN_BYTES, TEXT_BYTES = 64_000_000, 16, 200
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,8 +78,12 @@ def keyed(df: DataFrame, key: str) -> DataFrame:
 
 
 def small_side(df: DataFrame, n_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint when its counted rows are few enough, else as it is (a shuffle join follows)."""
-    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
+    """``df`` with a broadcast hint when its counted rows are few enough, else as it is (a shuffle join follows).
+
+    For keys, numbers and short names only: other columns have no bound that a count could show.
+    """
+    width = COLUMN_BYTES + sum(TEXT_BYTES if kind in ("string", "binary") else COLUMN_BYTES for _, kind in df.dtypes)
+    return F.broadcast(df) if n_rows * width <= BROADCAST_BYTES else df
 
 
 def held_out(doc_id: Column) -> Column:

@@ -9,7 +9,8 @@ probabilities, so the model's log-probability of a piece is Zipf's: ``-log(rank
 piece covers costs one piece per UTF-8 byte at the lowest score. Ties take fewer pieces.
 
 Edge cases: null or empty texts and texts of white space have 0 tokens; repeated rows repeat; an empty table gives an
-empty result; other columns are ignored; a very long word only deepens the trie, whose size has a bound.
+empty result; other columns are ignored; a word of more than ``LONG_WORD`` characters is counted in lists that last for it
+alone, so trie and cache hold at most ``TRIE_NODES`` and ``CACHE_WORDS`` short words' nodes and counts.
 """
 
 from __future__ import annotations
@@ -47,10 +48,10 @@ class UnigramTrie:
     def insert(self, word: str) -> int:
         """The word's number of pieces; new nodes are made only where no word before shares the prefix."""
         text = WORD_MARK + word
-        if len(self.best) + len(text) > TRIE_NODES or len(self.counts) >= CACHE_WORDS:
+        if len(self.best) >= TRIE_NODES or len(self.counts) >= CACHE_WORDS:
             self._clear()
         child, best, pieces_, get, longest, lowest = self.child, self.best, self.pieces, self.scores.get, self.longest, self.lowest
-        node, path, kept = 0, [0], len(text) <= LONG_WORD
+        node, path, kept, before = 0, [0], len(text) <= LONG_WORD, len(best)
         for end, char in enumerate(text, 1):
             key = node << 21 | ord(char)
             following = child.get(key)
@@ -72,18 +73,20 @@ class UnigramTrie:
                     child[key] = following
             node = following
             path.append(node)
-        return pieces_[node]
+        found = pieces_[node]
+        if not kept:
+            del best[before:], pieces_[before:]
+        return found
 
     def count(self, word: str) -> int:
         n = self.counts.get(word)
         if n is None:
             n = self.insert(word)
-            self.counts[word] = n
+            if len(word) <= LONG_WORD:
+                self.counts[word] = n
         return n
 
 
-
-
 @functools.lru_cache(maxsize=2)
 def model(path: str) -> UnigramTrie:
     vocabulary = sentencepiece.SentencePieceProcessor(model_file=path)

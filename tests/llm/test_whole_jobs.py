@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from columnloom.llm import chat, common, exact_dedup, html_extract, language_id, near_embeddings, ngram_join, packing
+from columnloom.llm import chat, common, exact_dedup, html_extract, language_id, near_embeddings, ngram_join, packing, token_counts, toxicity
 
 
 def unit(x):
@@ -394,3 +394,30 @@ def test_outside_of_dense_components(spark, monkeypatch):
     want = near.sum(1) - 1
     want[160:] -= near[160:, 160:].sum(1) - 1  # links among classes outside of both components are the graph's business
     assert [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_very_long_words():
+    """They leave nothing behind, and count as they would alone."""
+    trie = token_counts.model(public_tokenizers.path("piece_bpe_32k.model"))
+    n = trie.count("hello")
+    held = len(trie.best), len(trie.pieces), len(trie.child), len(trie.counts)
+    long = "hello" * 60_000
+    assert trie.count(long) == trie.count(long) > 30_000 and trie.count("hello") == n
+    assert (len(trie.best), len(trie.pieces), len(trie.child), len(trie.counts)) == held
+
+
+def test_broadcasts_have_a_bound(spark):
+    keys, names = spark.range(1).toDF("k"), spark.range(1).selectExpr("id AS k", "'x' AS name")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(common.small_side(keys, 1_000_000)) and not hinted(common.small_side(keys, 3_000_000))
+    assert hinted(common.small_side(names, 100_000)) and not hinted(common.small_side(names, 1_000_000))
+
+
+def test_toxicity_at_scale(spark):
+    """Held-out documents of a larger table: most toxic ones are caught, clean ones left alone."""
+    path = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    found = toxicity.toxicity(spark.read.parquet(f"{path}/documents.parquet"), labels)
+    rows = found.where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == k] for k in (1, 0))
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.01 * len(clean), (sum(toxic), len(toxic), sum(clean), len(clean))
