@@ -4,7 +4,8 @@ Each language has one model of character n-grams up to ``ORDER``. Text is lower-
 space. Discounts are ``n1 / (n1 + 2 n2)`` per order; the highest order counts occurrences, lower ones the distinct
 characters before an n-gram, and the last step interpolates with ``1 / ALPHABET``. For scoring, the n-grams of all
 languages are merged into one sorted array of 64-bit hashes per order, with the log-probabilities of those languages that
-have the n-gram; the others back off. An n-gram costs two binary searches per order, however many languages there are.
+have the n-gram; the others back off. A new n-gram costs two binary searches per order, however many languages there are;
+a worker keeps a bounded table of those it has met, which cost one.
 
 A document gets the language of the lowest cross-entropy per character. Its score is a softmax of the negative
 cross-entropies at a temperature fitted on a calibration part of the sample. A document is *rejected* when it has no
@@ -39,6 +40,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 300, 30_000
 SAMPLE_TEXT, SAMPLE_TOTAL = 600_000, 40_000_000
 #: N-grams scored at once, so that a long text and many languages need little memory.
 ROWS = 20_000
+#: What a worker keeps of the n-grams it has met.
+MET_BYTES = 32_000_000
 #: One document in so many of the sample calibrates instead of counting.
 CALIBRATION = 5
 #: Nats beyond the worst calibration text; a text of n characters has ``SHORT / sqrt(n)`` more.
@@ -165,6 +168,32 @@ class LanguageModels:
         self.log_p = [_Sparse([m.grams[k].hash for m in own], [m.log_p[k] for m in own]) for k in range(order)]
         self.log_back = [_Sparse([m.contexts[k] for m in own], [m.log_back[k] for m in own]) for k in range(order)]
         self.temperature, self.limit = 1.0, np.full(len(own), np.inf)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the worker's table of n-grams met before: sorted hashes with their rows, and those not sorted in yet."""
+        self.met, self.met_rows, self.fresh, self.n_fresh = np.zeros(0, np.uint64), np.zeros((0, len(self.languages)), np.float32), [], 0
+
+    def _met(self, hashes: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        """As :func:`_rows`, with the rows of n-grams met before looked up; the table holds ``MET_BYTES`` at most."""
+        keys = hashes[-1][at]
+        place, there = _find(self.met, keys)
+        if there.all():
+            return self.met_rows[place]
+        out = np.empty((len(at), len(self.languages)), np.float32)
+        out[there] = self.met_rows[place[there]]
+        new = ~there
+        out[new] = rows = self._rows(hashes, at[new], self.order)
+        self.fresh.append((keys[new], rows))
+        self.n_fresh += len(rows)
+        if self.n_fresh >= max(4096, len(self.met) // 4):
+            known = [(self.met, self.met_rows), *self.fresh]
+            if (len(self.met) + self.n_fresh) * 4 * (2 + len(self.languages)) > MET_BYTES:
+                known = known[1:]
+            self._forget()
+            self.met, first = np.unique(np.concatenate([k for k, _ in known]), return_index=True)
+            self.met_rows = np.concatenate([r for _, r in known])[first]
+        return out
 
     def _rows(self, hashes: list[np.ndarray], at: np.ndarray, order: int) -> np.ndarray:
         """Log-probabilities under each language of the n-grams that end at the given positions, from the lowest order up."""
@@ -182,7 +211,7 @@ class LanguageModels:
         _, at, counts = np.unique(hashes[-1][1:], return_index=True, return_counts=True)
         total = np.zeros(len(self.languages))
         for start in range(0, len(at), ROWS):
-            total -= counts[start : start + ROWS] @ self._rows(hashes, at[start : start + ROWS] + 1, self.order)
+            total -= counts[start : start + ROWS] @ self._met(hashes, at[start : start + ROWS] + 1)
         return total / (len(cp) - 1)
 
     def calibrate(self, texts: list[np.ndarray], truth: list[str]) -> None:
@@ -239,6 +268,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModels | Non
         return None
     models = LanguageModels({k: KneserNey([t for i, t in enumerate(v) if i % CALIBRATION or len(v) < CALIBRATION]) for k, v in by.items()})
     models.calibrate([t for v in by.values() for t in v[::CALIBRATION]], [k for k, v in by.items() for _ in v[::CALIBRATION]])
+    models._forget()
     return models
 
 

@@ -271,6 +271,21 @@ def test_plain_kneser_ney():
         assert np.allclose(models.cross_entropy(language_id.codepoints(sample)), want, rtol=1e-5), sample
 
 
+def test_table_of_met_ngrams(monkeypatch):
+    """What comes from the table is what a new model computes, also where the table is too small and starts anew."""
+    draw = random.Random(3)
+    texts = ["".join(draw.choices("abcdefgh éü", k=draw.randint(1, 3000))) for _ in range(60)]
+    kept, new = (language_id.LanguageModels({k: language_id.KneserNey([language_id.codepoints(t) for t in texts[n : n + 5]]) for n, k in enumerate("xyz")}) for _ in range(2))
+    for size in (32_000_000, 200_000):
+        monkeypatch.setattr(language_id, "MET_BYTES", size)
+        for t in texts * 2:
+            cp = language_id.codepoints(t)
+            if len(cp) > 1:
+                new._forget()
+                assert np.array_equal(kept.cross_entropy(cp), new.cross_entropy(cp))
+    assert len(kept.met) > 1000
+
+
 def test_language_of_long_documents(spark):
     """A language that has only long documents is learned from its shortest; letters of any plane count."""
     texts = {"xx": "lorem ipsum dolor sit amet " * 2000, "yy": "alpha beta gamma delta epsilon " * 3, "zz": "\U00030001\U00030005 \U00030010 " * 5}
