@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -95,6 +97,25 @@ def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name].cast(f.type) for f in schema], schema=schema)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written inside moves to Python in batches of at most ``rows`` rows, so that texts take little memory there."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers live on, and the next task may be the JVM's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of each batch with about ``max_bytes`` of text (one row at least), so work memory has a bound."""
     for batch in batches:
@@ -108,6 +129,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 8_000_
             size += n
         if batch.num_rows > start:
             yield batch.slice(start)
+    release()
 
 
 def fresh(df: DataFrame, name: str) -> str:

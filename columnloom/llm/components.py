@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from columnloom.llm.common import discard, staged
+from columnloom.llm.common import discard, release, staged
 
 
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
@@ -138,6 +138,7 @@ def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
             last = key
     if held:
         yield pa.Table.from_batches(held)
+    release()
 
 
 def spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:

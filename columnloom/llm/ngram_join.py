@@ -34,14 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from columnloom.llm.common import drop_rows, fresh, keyed, pieces, small_side, staged, to_batch
+from columnloom.llm.common import batches_of, drop_rows, fresh, keyed, pieces, small_side, staged, to_batch
 from columnloom.llm.components import across, connected_components, far_blocks, grouped, pivots, runs, spanning, sure_links
 
 WORDS, THRESHOLD = 5, 0.8
 HASHES, BAND, STEP, TOLERANCE = 96, 4, 16, 1e-5
 #: Classes in a block of a bucket; classes and shingles of a component that is one block, or of a part of a larger one;
 #: classes and shingles of a part where differences are compared.
-BUCKET_ROWS, VERIFY_ROWS, VERIFY_SHINGLES, OPEN_ROWS, OPEN_SHINGLES = 512, 256, 1_000_000, 512, 1_000_000
+BUCKET_ROWS, VERIFY_ROWS, VERIFY_SHINGLES, OPEN_ROWS, OPEN_SHINGLES = 512, 256, 500_000, 512, 500_000
+#: Texts of an Arrow batch, and bytes of them worked on at once.
+TEXT_ROWS, TEXT_BYTES = 1000, 1_000_000
 
 _U = np.uint64
 _draw = np.random.default_rng(20240501)
@@ -192,7 +194,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
     schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 2_000_000):
+        for batch in pieces(batches, "text", TEXT_BYTES):
             sets = shingle_sets(batch.column(2).to_pylist())
             full = [s for s in sets if len(s)]
             marks = minhashes(full) if full else np.zeros((0, HASHES), np.uint32)
@@ -396,7 +398,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     if key is None:
         key = fresh(docs, "row_key")
         docs = keyed(docs.select(id_col, text_col), key)
-    signed = staged(_signed(docs, id_col, text_col, key), "ngram-signed")
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        signed = staged(_signed(docs, id_col, text_col, key), "ngram-signed")
     same = ["set_a", "set_b", "n"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key"))
     sets = staged(signed.where("n > 0").groupBy(*same).agg(F.min("row_key").alias("rep"), F.count(F.lit(1)).alias("copies"), first.alias("first")), "ngram-sets")
@@ -408,7 +411,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     sizes = near.join(of_class, "node").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
     chosen = staged(near.join(sizes, "component").join(of_class, "node").join(pivots(likely, near), "component").select(F.col("node").alias("row_key"), "component", "size", "weight", "copies", "pivot"), "ngram-chosen")
     texts = docs.select(F.col(key).alias("row_key"), F.col(text_col).alias("text")).join(small_side(chosen, chosen.count()), "row_key")
-    verified = staged(_verified(texts.withColumnRenamed("row_key", "rep"), threshold), "ngram-verified")
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        verified = staged(_verified(texts.withColumnRenamed("row_key", "rep"), threshold), "ngram-verified")
     found = staged(_all_links(verified, sets.select("rep", "copies"), threshold), "ngram-found")
 
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
