@@ -38,7 +38,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
 BLOCK_TOKENS = 4_000_000
 CLOSING_ID = 1
 #: Words in a worker's cache, and the length of one in characters; longer ones are encoded each time.
-CACHE_WORDS, CACHED_LENGTH = 400_000, 64
+CACHE_WORDS, CACHED_LENGTH = 250_000, 64
 #: A single space between words, which starts a pre-token whatever stands around it.
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 #: Letters and the signs behind them are a pre-token each.
