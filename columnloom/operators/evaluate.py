@@ -80,3 +80,12 @@ def false_negatives(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 def examples(pairs: DataFrame, n: int = 5) -> DataFrame:
     """The first n pairs in order."""
     return pairs.orderBy("col_a", "col_b").limit(n)
+
+
+def flagged(pairs: DataFrame, in_truth: bool, in_predicted: bool) -> DataFrame:
+    """Hits (both), false positives or false negatives of one table that says of each distinct pair where it is.
+
+    ``pairs``: col_a, col_b, in_truth, in_predicted. Nothing moves, unlike where truth and predictions are two tables.
+    """
+    where = [F.col(c) if x else ~F.col(c) for c, x in (("in_truth", in_truth), ("in_predicted", in_predicted))]
+    return pairs.where(where[0] & where[1]).select("col_a", "col_b")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from columnloom import queries
 from columnloom.functions.text import declared_type, json_object, safe_name
 from columnloom.operators import candidates, catalog, cluster, evaluate, graph, parse, providers, text, vectors
 from columnloom.plans import alignment
@@ -105,6 +106,52 @@ def test_blocks_find_every_pair_once(spark, monkeypatch):
     assert rows(vectors.topk_similar(columns(spark, data), 2).select("column_id", "other_id", "rank")) == top
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flagged_pairs(spark, monkeypatch):
+    """Flags of distinct pairs as those of all scored pairs, where ids repeat, a source is unknown and parts are many."""
+    draw = np.random.default_rng(2)
+    data = [(f"s{i % 3}" if i % 20 else None, draw.normal(size=4).tolist()) for i in range(60)]
+    once = columns(spark, data)
+    again = once.where("ordinal % 2 = 0").withColumn("vector", F.transform("vector", lambda x: -x * x)).unionByName(once.where("ordinal % 6 = 0"))
+    flags = {"in_truth": lambda s: (s >= 0.1) & (s < 0.5), "in_predicted": lambda s: s >= 0.3}
+    for table in (once, once.unionByName(again)):
+        known = [r for r in table.collect() if r.source_id]
+        truth, predicted = set(), set()
+        for i, a in enumerate(known):
+            for b in known[:i]:
+                score = np.dot(a.vector, b.vector) / np.linalg.norm(a.vector) / np.linalg.norm(b.vector)
+                if a.source_id != b.source_id:
+                    ids = tuple(sorted([a.column_id, b.column_id]))
+                    truth |= {ids} if 0.1 <= score < 0.5 else set()
+                    predicted |= {ids} if score >= 0.3 else set()
+        for block, strip in ((1024, 1 << 18), (7, 30)):
+            monkeypatch.setattr(vectors, "BLOCK", block)
+            monkeypatch.setattr(vectors, "STRIP", strip)
+            pairs = vectors.flagged_pairs(table, flags)
+            assert rows(pairs.drop("domain_id")) == sorted((*x, x in truth, x in predicted) for x in truth | predicted)
+            assert rows(evaluate.flagged(pairs, in_truth=False, in_predicted=True)) == sorted(predicted - truth)
+            assert rows(evaluate.flagged(pairs, in_truth=True, in_predicted=False)) == sorted(truth - predicted)
+            assert rows(evaluate.flagged(pairs, in_truth=True, in_predicted=True)) == sorted(truth & predicted)
+
+
+def test_rows_are_copied_to_few_parts(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    table = columns(spark, [("s1", [1.0, 0.0])] * 100)
+    assert vectors._blocks(table, "domain_id", vectors._few_parts).count() == 100 * vectors.PARTS
+    monkeypatch.setattr(vectors, "MOST", 4)
+    assert vectors._blocks(table, "domain_id", vectors._few_parts).count() == 100 * 25
+
+
+#: Queries over pairs that are flagged where they are scored: no exchange of pairs, so no more than those of vectors and sizes.
+@pytest.mark.parametrize("name", ["pairs_fp"])
+def test_pairs_do_not_move(spark, name):
+    plan = plan_of(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")]
+
+
 def linkage_by_definition(d, threshold):
     """Clusters by repeatedly joining the pair with the least mean distance below the threshold."""
     clusters = [[i] for i in range(len(d))]
