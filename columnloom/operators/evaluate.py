@@ -49,14 +49,18 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def _scores(sums: DataFrame) -> DataFrame:
+    out = sums.withColumn("precision", _ratio(F.col("tp"), F.col("n_predicted"))).withColumn("recall", _ratio(F.col("tp"), F.col("n_truth")))
+    both = F.col("precision") + F.col("recall")
+    return out.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), both))
+
+
 def eval_metrics(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """label, n_truth, n_predicted, tp, fp, fn, precision, recall, f1; a zero denominator gives 0."""
     t, p = F.col("in_truth"), F.col("in_predicted")
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     sums = compared(truth, predicted).groupBy("label").agg(count(t).alias("n_truth"), count(p).alias("n_predicted"), count(t & p).alias("tp"), count(~t & p).alias("fp"), count(t & ~p).alias("fn"))
-    out = sums.withColumn("precision", _ratio(F.col("tp"), F.col("n_predicted"))).withColumn("recall", _ratio(F.col("tp"), F.col("n_truth")))
-    both = F.col("precision") + F.col("recall")
-    return out.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), both))
+    return _scores(sums)
 
 
 def eval_all(truth: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -89,3 +93,19 @@ def flagged(pairs: DataFrame, in_truth: bool, in_predicted: bool) -> DataFrame:
     """
     where = [F.col(c) if x else ~F.col(c) for c, x in (("in_truth", in_truth), ("in_predicted", in_predicted))]
     return pairs.where(where[0] & where[1]).select("col_a", "col_b")
+
+
+def flagged_metrics(pairs: DataFrame) -> DataFrame:
+    """The scores of ``eval_metrics`` from one table of distinct pairs.
+
+    ``pairs``: col_a, col_b, labels (of the truth that has the pair; an empty array outside it), in_predicted. They are
+    counted by labels and sources first, so only counts move; labels and their sources are few.
+    """
+    counts = pairs.groupBy("labels", source_of(F.col("col_a")).alias("source_a"), source_of(F.col("col_b")).alias("source_b"), "in_predicted").agg(F.count(F.lit(1)).alias("n"))
+    those = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    # an outer explode, and conditions inside sums: no filter sinks below one use of the counts, so that pairs are made once
+    each = counts.select(F.explode_outer("labels").alias("label"), "source_a", "source_b", "in_predicted", "n")
+    truth = each.groupBy("label").agg(F.sum("n").alias("n_truth"), those(F.col("in_predicted")).alias("tp"), F.array_union(F.collect_set("source_a"), F.collect_set("source_b")).alias("sources")).where("label IS NOT NULL")
+    inside = F.array_contains("sources", F.col("source_a")) & F.array_contains("sources", F.col("source_b"))
+    sums = counts.crossJoin(F.broadcast(truth)).groupBy("label", "n_truth", "tp").agg(those(F.col("in_predicted") & inside).alias("n_predicted"))
+    return _scores(sums.select("label", "n_truth", "n_predicted", "tp", (F.col("n_predicted") - F.col("tp")).alias("fp"), (F.col("n_truth") - F.col("tp")).alias("fn")))

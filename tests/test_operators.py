@@ -145,6 +145,30 @@ def test_rows_are_copied_to_few_parts(spark, monkeypatch):
     assert vectors._blocks(table, "domain_id", vectors._few_parts).count() == 100 * 25
 
 
+def test_flagged_metrics(spark):
+    """As the scores of truth and predictions in two tables, for labels that share pairs and sources, or have no hits."""
+    truth = [("one", "s1.a", "s2.a"), ("one", "s1.b", "s2.a"), ("two", "s1.a", "s2.a"), ("two", "s2.a", "s3.a"), ("three", "s4.a", "s5.a")]
+    predicted = [("s1.a", "s2.a"), ("s1.a", "s2.b"), ("s1.a", "s3.a"), ("s2.b", "s3.b"), ("s1.a", "s4.a"), ("s6.a", "s7.a")]
+    of = {p: [x for x, *q in truth if tuple(q) == p] for p in {tuple(x[1:]) for x in truth} | set(predicted)}
+    schema = "col_a string, col_b string, labels array<string>, in_predicted boolean"
+    table = lambda more: spark.createDataFrame([(*p, x + more * bool(x), p in predicted) for p, x in of.items()], schema)
+    two = spark.createDataFrame(truth, "label string, col_a string, col_b string"), spark.createDataFrame(predicted, "col_a string, col_b string")
+    assert rows(evaluate.flagged_metrics(table([]))) == rows(evaluate.eval_metrics(*two))
+    assert rows(evaluate.flagged_metrics(table([evaluate.ALL]))) == rows(evaluate.eval_all(*two))
+    assert evaluate.flagged_metrics(table([]).where("size(labels) = 0")).count() == 0
+    assert evaluate.flagged_metrics(table([]).withColumn("in_predicted", F.lit(False))).agg(F.sum("n_predicted"), F.sum("f1")).first()[:] == (0, 0.0)
+
+
+@pytest.mark.parametrize("name", ["eval_all"])
+def test_only_counts_move(spark, name):
+    """Pairs are made once, and counted before anything else."""
+    found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    found.collect()
+    plan = plan_of(found)
+    plan = plan[: plan.find("== Initial Plan ==")]
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "ReusedExchange" in plan and "SortMergeJoin" not in plan
+
+
 #: Queries over pairs that are flagged where they are scored: no exchange of pairs, so no more than those of vectors and sizes.
 @pytest.mark.parametrize("name", ["pairs_fp"])
 def test_pairs_do_not_move(spark, name):
