@@ -106,6 +106,14 @@ def test_blocks_find_every_pair_once(spark, monkeypatch):
     assert rows(vectors.topk_similar(columns(spark, data), 2).select("column_id", "other_id", "rank")) == top
 
 
+def test_pairs_of_unknown_sources(spark, monkeypatch):
+    """A column whose source is unknown is not known to be of another one; only what is asked for leaves a block."""
+    data = [("s1", [1.0, 0.0]), (None, [1.0, 0.0]), ("s2", [1.0, 2.0])]
+    pairs = vectors.scored_pairs(columns(spark, data), digits=3, only=("id_a", "id_b", "score"))
+    assert pairs.columns == ["id_a", "id_b", "score"] and rows(pairs) == [("s1.c0", "s2.c2", 0.447)]
+    assert vectors.scored_pairs(columns(spark, data), cross_source=False).count() == 3
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
